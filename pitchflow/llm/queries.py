@@ -118,8 +118,8 @@ OP10_SQL = f"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
 each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
-shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM shared WHERE 100 * both >= 85 * (na + nb - both)),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n_both FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 100 * n_both >= 85 * (na + nb - n_both)),
 sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT sym.b, reach.c FROM reach JOIN sym ON sym.a = reach.doc_id),
 least_id AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
