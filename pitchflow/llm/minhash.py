@@ -25,6 +25,8 @@ BINS, BIN_BITS = 128, 7
 BANDS, ROWS = 25, 5
 #: Buckets up to this size are compared pair by pair (at most half as many pairs a row), larger ones by stars.
 SMALL_BUCKET = 12
+#: Sets in a block, and tasks that share the block pairs of one leader, when a star leaves members apart.
+BLOCK, SALTS = 64, 16
 
 _rng = np.random.default_rng(20_170_811)
 _SEEDS = _rng.integers(0, 1 << 63, 2 * BINS, dtype=np.uint64)
@@ -105,6 +107,58 @@ def _verified(texts: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(_linked(percent), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
+def _block_pairs(percent: int):
+    """Links between the sets of two blocks: for each left set, one for each group that it is linked with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for row in range(len(batch)):
+                sides = [batch.column(c)[row].values for c in ("left", "right")]
+                sets = [[np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in side.field("shingles")] for side in sides]
+                names = [side.field("c").to_numpy(zero_copy_only=False) for side in sides]
+                flat = [np.concatenate(x) for x in sets]
+                common = np.intersect1d(*flat)
+                if not len(common):
+                    continue
+                grids = []
+                for x, f in zip(sets, flat, strict=True):
+                    owner, at = np.repeat(np.arange(len(x)), [len(y) for y in x]), np.minimum(np.searchsorted(common, f), len(common) - 1)
+                    grid = np.zeros((len(x), len(common)), dtype=np.float32)
+                    hit = common[at] == f
+                    grid[owner[hit], at[hit]] = 1
+                    grids.append(grid)
+                both = grids[0] @ grids[1].T
+                n = [np.array([len(y) for y in x]) for x in sets]
+                near = (100 * both >= percent * (n[0][:, None] + n[1][None, :] - both)) & (names[0][:, None] != names[1][None, :])
+                for i in np.flatnonzero(near.any(axis=1)):
+                    js = np.flatnonzero(near[i])
+                    out += [(row, i, js[k]) for k in np.unique(names[1][js], return_index=True)[1]]
+            ids = [[batch.column(side)[r].values.field("id")[int((i, j)[k])].as_py() for r, i, j in out] for k, side in enumerate(("left", "right"))]
+            kind = batch.schema.field("left").type.value_type.field("id").type
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in ids], names=["a", "b"])
+
+    return run
+
+
+def _block_links(texts: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Links of the members apart from their leader's group with all members of that leader.
+
+    ``stars(leader, id, c, head)``. Blocks of about BLOCK sets are joined by leader, so that a group of m
+    members with r apart takes r * m / BLOCK**2 rows; the left blocks are dealt to SALTS tasks a leader.
+    """
+    kind = texts.schema["id"].dataType
+    sets = texts.join(small_side(stars.select("id").distinct()), "id", "left_semi").mapInArrow(_sets, T.StructType([T.StructField("id", kind), T.StructField("shingles", T.BinaryType())])).filter(F.length("shingles") > 0)
+    rows = Table(stars.join(sets, "id"), "star-sets").df
+    sizes = rows.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = rows.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    member = F.collect_list(F.struct("id", "c", "shingles"))
+    left = dealt.filter("c != head").groupBy("leader", "block").agg(member.alias("left")).withColumn("salt", F.pmod("block", F.lit(SALTS)))
+    right = dealt.groupBy("leader", "block").agg(member.alias("right")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    pairs = left.drop("block").join(right.drop("block"), ["leader", "salt"]).select("left", "right")
+    return pairs.mapInArrow(_block_pairs(percent), T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """Groups of documents linked by 100 * intersection >= ``percent`` * union of their shingle sets.
 
@@ -139,6 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = members.df.groupBy("id").agg(F.sum("m").alias("w"))
     leader = many.join(weight, "id").groupBy("key").agg(F.min_by(F.struct("id", "n"), F.struct(-F.col("w"), "id")).alias("x")).select("key", "x.*")
     unlike = F.col("ia") != F.col("ib")
+    stars = Table(many.select("key", "id").join(leader.select("key", F.col("id").alias("leader")), "key").filter("id != leader").select("leader", "id").distinct(), "stars")
     tried = Table(pairs(few, few, F.col("ia") < F.col("ib")).unionByName(pairs(many, leader, unlike)).distinct(), "tried")
 
     own = full.join(classes, same).select("id", "rep").distinct()
@@ -147,16 +202,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = Table(_verified(texts, tried.df, percent).unionByName(repeated), "links")
     groups = connected_components(links.df)
 
-    # In large buckets, what the stars left apart is compared with all other members, unless already joined.
-    at = many.join(groups, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    head = leader.join(groups, "id", "left").select("key", F.coalesce("component", "id").alias("head"))
-    apart = Table(at.join(head, "key").filter("c != head").drop("head"), "apart")
-    if not apart.df.isEmpty():
-        bands = full.select("id", "bands").dropDuplicates(["id"])
-        left, right = (x.join(bands, "id").select("key", *(F.col(c).alias(c + s) for c in ("id", "n", "c", "bands"))) for x, s in ((apart.df, "a"), (at, "b")))
-        rest = left.join(right, (left["key"] == right["key"]) & F.expr(f"ca != cb AND 100 * least(na, nb) >= {int(percent)} * greatest(na, nb) AND size(array_intersect(bandsa, bandsb)) > 1"))
-        rest = rest.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct().join(tried.df, ["a", "b"], "left_anti")
-        more = Table(_verified(texts, Table(rest, "rest").df, percent), "links")
+    # Members that no star joined to their leader's group are compared with all members of the leader, in blocks.
+    group_of = lambda c: F.coalesce("component", c)
+    stars = stars.df.join(groups.withColumnRenamed("id", "leader"), "leader", "left").select("leader", "id", group_of("leader").alias("head"))
+    stars = Table(stars.join(groups, "id", "left").select("leader", "id", group_of("id").alias("c"), "head"), "stars")
+    apart = stars.df.filter("c != head")
+    if not apart.isEmpty():
+        more = Table(_block_links(texts, stars.df.join(apart.select("leader").distinct(), "leader", "left_semi"), percent), "links")
         groups = connected_components(links.df.unionByName(more.df))
 
     by_rep = sketches.df.join(classes, same, "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
