@@ -37,9 +37,9 @@ def new_path(spark: SparkSession, name: str) -> str:
 class Table:
     """A DataFrame written as Parquet to the shared folder: cuts lineage and survives lost executors."""
 
-    def __init__(self, df: DataFrame, name: str, codec: str = "zstd"):
+    def __init__(self, df: DataFrame, name: str, level: int = 3):
         self.spark, self.path = df.sparkSession, new_path(df.sparkSession, name)
-        df.write.option("compression", codec).parquet(self.path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

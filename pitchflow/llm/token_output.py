@@ -31,6 +31,8 @@ SHARD_BYTES = 64 << 20
 #: Texts longer than this are encoded in parts, cut before a space or line end, as the pattern cuts there too.
 PART_CHARS = 1 << 20
 ROUNDS = 6
+#: zstd level of the ids on their way to the shards.
+LEVEL = 6
 
 
 class Feistel:
@@ -83,23 +85,41 @@ def text_parts(text: str) -> Iterator[str]:
 
 
 def _sequences(shared, seq_len: int):
+    """Chains the texts of a task, an end id after each, and cuts the chain in sequences."""
+
+    def cut(flat: np.ndarray, ids: pa.Array, lens: np.ndarray, n: int) -> pa.RecordBatch:
+        ends = np.cumsum(lens)
+        start = np.arange(n) * seq_len
+        stop = np.minimum(start + seq_len, ends[-1])
+        first, last = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop - 1, side="right")
+        counts = last - first + 1
+        begin = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        owner = np.repeat(np.arange(n), counts)
+        text = np.arange(begin[-1]) - begin[owner] + first[owner]
+        inside = np.minimum(ends[text], stop[owner]) - np.maximum(ends[text] - lens[text], start[owner])
+        lists = [pa.ListArray.from_arrays(pa.array(begin), x) for x in (ids.take(pa.array(text)), pa.array(inside.astype(np.int32)))]
+        data = [x.tobytes() for x in flat[: n * seq_len].reshape(n, seq_len)]
+        return pa.RecordBatch.from_arrays([*lists, pa.array(data, pa.binary())], names=["doc_ids", "lens", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoder(shared.value)
+        flat, ids, lens = np.zeros(0, dtype="<u2"), None, np.zeros(0, dtype=np.int64)
         for batch in batches:
-            rows, numbers, lens, data = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                if not text:
-                    continue
-                ids = [x for part in text_parts(text) for x in encoding.encode_ordinary(part)]
-                ids.append(END)
-                n = -(-len(ids) // seq_len)
-                flat = np.full(n * seq_len, END, dtype="<u2")
-                flat[: len(ids)] = ids
-                rows += [i] * n
-                numbers += range(n)
-                lens += [seq_len] * (n - 1) + [len(ids) - (n - 1) * seq_len]
-                data += [x.tobytes() for x in flat.reshape(n, seq_len)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int32())), pa.array(numbers, pa.int32()), pa.array(lens, pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "seq", "n_tokens", "ids"])
+            texts = batch.column("text").to_pylist()
+            full = [i for i, text in enumerate(texts) if text]
+            got = [np.array([x for part in text_parts(texts[i]) for x in encoding.encode_ordinary(part)] + [END], dtype="<u2") for i in full]
+            new = batch.column("doc_id").take(pa.array(full, pa.int32()))
+            flat, ids = np.concatenate([flat, *got]), new if ids is None else pa.concat_arrays([ids, new])
+            lens = np.concatenate([lens, [len(x) for x in got]]).astype(np.int64)
+            if n := len(flat) // seq_len:
+                yield cut(flat, ids, lens, n)
+                ends, flat = np.cumsum(lens), flat[n * seq_len :]
+                left = int(np.searchsorted(ends, n * seq_len, side="right"))
+                ids, lens = ids[left:], lens[left:].copy()
+                if len(lens):
+                    lens[0] = ends[left] - n * seq_len
+        if len(flat):
+            yield cut(np.concatenate([flat, np.full(seq_len - len(flat), END, dtype="<u2")]), ids, lens, 1)
 
     return run
 
@@ -107,13 +127,14 @@ def _sequences(shared, seq_len: int):
 def write_training_order(docs: DataFrame, out_dir: str | None = None, key: int = 1, seq_len: int = SEQ_LEN, shard_bytes: int = SHARD_BYTES, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards and returns one row per sequence.
 
-    Columns: ``doc_id``, ``seq`` (number of the sequence in its text), ``n_tokens`` (without filling, with
-    the end id), ``slot``, ``shard`` (file ``shard-########.bin``) and ``offset`` (bytes into it). Each
-    record is ``seq_len`` unsigned 16-bit little-endian ids; a text's last one is filled with the end id.
+    Columns: ``slot``, ``number`` (before the permutation), ``shard`` (file ``shard-########.bin``),
+    ``offset`` (bytes into it), ``doc_ids`` (of the texts that it has tokens of) and ``lens`` (how many of
+    each, with its end id). Each record is ``seq_len`` unsigned 16-bit little-endian ids. The texts of an
+    input split follow one another, each closed by the end id; the split's last record is filled with it.
 
-    * A null or empty text has no sequence. Repeated rows are written as often as they occur.
-    * Which sequence has which number, and so which slot, depends on how the input is split in files;
-      the set of sequences, the slots 0..N-1 and the records' contents do not.
+    * A null or empty text has no tokens. Repeated rows are written as often as they occur.
+    * How texts share sequences depends on how the input is split; that every text is whole, in
+      successive numbers, and that the slots are 0..N-1 does not.
     * An empty table writes no shard and gives an empty result.
     """
     spark = docs.sparkSession
@@ -121,8 +142,9 @@ def write_training_order(docs: DataFrame, out_dir: str | None = None, key: int =
     with open(vocabulary, "rb") as f:
         words = spark.sparkContext.broadcast(f.read())
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([texts.schema["doc_id"], T.StructField("seq", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.BinaryType())])
-    stored = Table(texts.mapInArrow(_sequences(words, seq_len), schema), "sequences")
+    id_list, int_list = T.StructField("doc_ids", T.ArrayType(texts.schema["doc_id"].dataType)), T.StructField("lens", T.ArrayType(T.IntegerType()))
+    schema = T.StructType([id_list, int_list, T.StructField("ids", T.BinaryType())])
+    stored = Table(texts.mapInArrow(_sequences(words, seq_len), schema), "sequences", level=LEVEL)
 
     # A sequence's number is its file's first number and its row in that file: one count per file, no sort.
     numbered = stored.df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
@@ -136,11 +158,12 @@ def write_training_order(docs: DataFrame, out_dir: str | None = None, key: int =
     n_shards = max(1, -(-total // per_shard))
     starts = spark.sparkContext.broadcast(first)
 
-    id_type = texts.schema["doc_id"].dataType
-    pack = T.StructType([T.StructField("shard", T.LongType()), T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("seqs", T.ArrayType(T.IntegerType())), T.StructField("lens", T.ArrayType(T.IntegerType())), T.StructField("blob", T.BinaryType())])
+    longs = T.ArrayType(T.LongType())
+    pack = T.StructType([T.StructField("shard", T.LongType()), T.StructField("slots", longs), T.StructField("numbers", longs), T.StructField("doc_ids", T.ArrayType(id_list.dataType)), T.StructField("lens", T.ArrayType(int_list.dataType)), T.StructField("blob", T.BinaryType())])
     packed = numbered.mapInArrow(_pack_by_shard(starts, total, key, per_shard), pack)
-    done = T.StructType([texts.schema["doc_id"], T.StructField("seq", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("offset", T.LongType())])
-    ranged = packed.repartition(n_shards, F.col("shard")).sortWithinPartitions("shard")
+    done = T.StructType([*(T.StructField(c, T.LongType()) for c in ("slot", "number", "shard", "offset")), id_list, int_list])
+    # Shard k is partition k: one task fills it, whatever its number.
+    ranged = packed.repartitionById(n_shards, F.col("shard").cast("int"))
     return ranged.mapInArrow(_write_shards(base, total, per_shard, stride), done)
 
 
@@ -150,7 +173,7 @@ def _pack_by_shard(starts, total: int, key: int, per_shard: int, flush_bytes: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        permutation, pack = Feistel(total, key), zstandard.ZstdCompressor(level=3)
+        permutation, pack = Feistel(total, key), zstandard.ZstdCompressor(level=LEVEL)
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -159,12 +182,12 @@ def _pack_by_shard(starts, total: int, key: int, per_shard: int, flush_bytes: in
             number = np.array([begin[f] for f in table.column("file").to_pylist()], dtype=np.int64) + table.column("row").to_numpy(zero_copy_only=False)
             slots = permutation.slot(number)
             order = np.argsort(slots)
-            slots, ids = slots[order], table.column("ids")
+            slots, number, ids = slots[order], number[order], table.column("ids")
             shard = slots // per_shard
             cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))).astype(np.int32)
             blobs = [pack.compress(b"".join(ids[int(i)].as_py() for i in order[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), x) for x in (pa.array(slots), *(table.column(c).take(pa.array(order)) for c in ("doc_id", "seq", "n_tokens")))]
-            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]]), *lists, pa.array(blobs, pa.binary())], names=["shard", "slots", "doc_ids", "seqs", "lens", "blob"])
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), x) for x in (pa.array(slots), pa.array(number), *(table.column(c).take(pa.array(order)) for c in ("doc_ids", "lens")))]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]]), *lists, pa.array(blobs, pa.binary())], names=["shard", "slots", "numbers", "doc_ids", "lens", "blob"])
 
         for batch in batches:
             if len(batch):
@@ -206,10 +229,10 @@ def _write_shards(base: str, total: int, per_shard: int, stride: int):
                         yield from close()
                     now, told = shard, []
                     data = np.zeros((min(per_shard, total - now * per_shard), stride), dtype=np.uint8)
-                slots, ids, seqs, lens = (batch.column(c)[i].values for c in ("slots", "doc_ids", "seqs", "lens"))
+                slots, numbers, ids, lens = (batch.column(c)[i].values for c in ("slots", "numbers", "doc_ids", "lens"))
                 at = slots.to_numpy() - now * per_shard
                 data[at] = np.frombuffer(unpack.decompress(batch.column("blob")[i].as_py()), dtype=np.uint8).reshape(-1, stride)
-                told.append(pa.RecordBatch.from_arrays([ids, seqs, lens, slots, pa.array(np.full(len(at), now)), pa.array(at * stride)], names=["doc_id", "seq", "n_tokens", "slot", "shard", "offset"]))
+                told.append(pa.RecordBatch.from_arrays([slots, numbers, pa.array(np.full(len(at), now)), pa.array(at * stride), ids, lens], names=["slot", "number", "shard", "offset", "doc_ids", "lens"]))
         if now is not None:
             yield from close()
 
