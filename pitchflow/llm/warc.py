@@ -150,7 +150,8 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
-    return manifest.select("file").repartition(F.col("file")).mapInArrow(run, RECORDS)
+    files = manifest.select("file").distinct()
+    return files.repartition(max(1, files.count())).mapInArrow(run, RECORDS)  # a fixed number: files are short rows, and would be put together in one task
 
 
 def assemble(records: DataFrame) -> DataFrame:
