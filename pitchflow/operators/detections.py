@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from pitchflow.schema import VOTES
 
+#: Team anchors are one colour a label, so a plan can hold them all.
+ANCHORS = 1000
+
 
 def boxes(log: DataFrame) -> DataFrame:
     """Boxes standing on each row's foot point, half as wide as high."""
@@ -58,8 +61,12 @@ def track_majority(sightings: DataFrame) -> DataFrame:
 
 
 def nearest_anchor(vectors: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Label of the nearest anchor; ties to the lowest label. Anchors are one row a label, at most a few."""
-    both = vectors.join(F.broadcast(anchors.limit(1000)), F.lit(True))
+    """Label of the nearest anchor; ties to the lowest label. Anchors are one row a label, at most ANCHORS of them."""
+    table = anchors.limit(ANCHORS + 1).collect()
+    if len(table) > ANCHORS:
+        raise ValueError(f"over {ANCHORS} anchors")
+    each = F.array(*(F.struct(F.lit(r["anchor_label"]).alias("anchor_label"), F.array(*map(F.lit, r["anchor"])).cast("array<bigint>").alias("anchor")) for r in table))
+    both = vectors.select("*", F.inline(each)) if table else vectors.crossJoin(anchors)
     d = F.aggregate(F.zip_with("vec", "anchor", lambda a, b: (a - b) * (a - b)), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return both.withColumn("d", d).groupBy("vec_id").agg(F.min_by(F.struct(F.col("anchor_label").alias("label"), F.col("d").alias("d2")), F.struct("d", "anchor_label")).alias("p")).select("vec_id", "p.*")
 

@@ -17,6 +17,7 @@ from pitchflow.operators import tactics as A
 from pitchflow.operators import tracks as T
 from pitchflow.sources.position_log import from_events
 from pitchflow.streaming import state as K
+from pitchflow.streaming.association import BOX, associate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -352,3 +353,7 @@ def mean_colors(pixels: DataFrame) -> DataFrame:
 
 plain("agg_mean_color", lambda s, d: mean_colors(_events(s, d).selectExpr("user_id % 50 AS crop", "event_id % 256 AS b", "(event_id * 7) % 256 AS g", "(event_id * 13) % 256 AS r", "event_id % 180 AS h", "(event_id * 3) % 256 AS s")),
       f"WITH p AS ({_PIXELS}), c AS (SELECT crop, count(*) AS n, count(*) FILTER (WHERE NOT (h BETWEEN 35 AND 95 AND s >= 60)) AS k, " + ", ".join(f"sum({x}) AS {x}a, sum({x}) FILTER (WHERE NOT (h BETWEEN 35 AND 95 AND s >= 60)) AS {x}k" for x in "bgr") + " FROM p GROUP BY crop) SELECT crop, " + ", ".join(f"round(CASE WHEN k < greatest(3.0, 0.05 * n) THEN {x}a / n ELSE {x}k / k END, 6) AS {x}" for x in "bgr") + " FROM c")
+
+over_log("st_bytetrack", None, "frame", "det_seq", "track_id")(lambda log: associate(D.boxes(log).select(F.lit("clip").alias("clip_id"), "frame", "det_seq", *BOX, "confidence")))
+over_log("agg_anchor_color", None)(lambda log: log.filter("class_name = 'person' AND frame < 20").groupBy("track_id").agg(*(F.round(F.avg((F.col("log_seq") * k) % 256), 6).alias(c) for c, k in zip("bgr", (1, 7, 13), strict=True))))
+SQL["agg_anchor_color"] = BASE + " SELECT track_id, round(avg((log_seq * 1) % 256), 6) AS b, round(avg((log_seq * 7) % 256), 6) AS g, round(avg((log_seq * 13) % 256), 6) AS r FROM log WHERE class_name = 'person' AND frame < 20 GROUP BY track_id"
