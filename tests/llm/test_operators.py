@@ -213,13 +213,64 @@ def test_perplexity(spark, empty):
     labels = spark.createDataFrame([(i, int(i < 40), 0) for i in range(50)] + [(None, 1, 0), (52, None, None)], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r for r in quality_classifier.classify_quality(docs, labels).collect()}
     assert [got[i].kept for i in range(53)] == [True] * 40 + [False] * 12 + [True] and got[50].perplexity is None
-    table = quality_classifier.train_kneser_ney(docs.filter("doc_id < 40"))
-    p = np.exp(table.astype(float)).reshape(-1, quality_classifier.BASE)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)  # every context gives a distribution
     assert quality_classifier.classify_quality(docs, labels.filter("false")).filter("kept").count() == 51
     assert quality_classifier.classify_quality(empty, labels).count() == 0
 
 
+def test_kneser_ney_matches_brute_force(spark):
+    texts, order, base = [prose(30, i) for i in range(6)] + ["A1 é!", "", None], 4, quality_classifier.BASE
+    model = quality_classifier.train_kneser_ney(spark.createDataFrame([(t,) for t in texts], "text string"), order=order)
+    counts = {order: Counter()}
+    for t in filter(None, texts):
+        symbols = (1,) * (order - 1) + tuple(int(quality_classifier.FOLD[b]) for b in t.encode())
+        counts[order].update(symbols[i : i + order] for i in range(len(symbols) - order + 1))
+    for w in range(order - 1, 0, -1):
+        counts[w] = Counter(g[1:] for g in counts[w + 1])
+
+    def discount(w, n):
+        t = Counter(counts[w].values())
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] else 0.5
+        k = min(n, 3)
+        return min(0.95 * k, max(0.05, k - (k + 1) * y * t[k + 1] / t[k])) if t[k] else 0.5 * k
+
+    def probability(g):
+        if not g:
+            return 1 / base
+        same = {x: n for x, n in counts[len(g)].items() if x[:-1] == g[:-1]}
+        total, shorter = sum(same.values()), probability(g[1:])
+        if not total:
+            return shorter
+        left = sum(discount(len(g), n) for n in same.values())
+        return max(0, same.get(g, 0) - discount(len(g), same.get(g, 0)) if g in same else 0) / total + left / total * shorter
+
+    seen = sorted(counts[order])[:: len(counts[order]) // 20]
+    asked = {(*g[:-1], s) for g in [*seen, (5, 9, 9, 0), (40, 40, 40, 40)] for s in range(base)}
+    number = lambda g: sum(s * base ** (order - 1 - i) for i, s in enumerate(g))
+    got = {r.gram: r.p for r in model.probabilities(spark.createDataFrame([(number(g),) for g in asked], "gram bigint")).collect()}
+    assert len(got) == len(asked)
+    sums = defaultdict(float)
+    for g in asked:
+        assert got[number(g)] == pytest.approx(probability(g), rel=1e-9)
+        sums[g[:-1]] += got[number(g)]
+    assert all(s == pytest.approx(1) for s in sums.values())  # every context gives a distribution
+
+
+def test_perplexity_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "BLOCK_BITS", 2)
+    monkeypatch.setattr(quality_classifier, "TALLY", 100)
+    rows = [(i, prose(5 + i, i), "en") for i in range(40)] + [(40, None, "en"), (41, "", None), (42, prose(3000, 1), "fr")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = quality_classifier.train_kneser_ney(docs.filter("doc_id < 20"), order=3)
+    got = {r.doc_id: r.perplexity for r in quality_classifier.perplexities(docs, model).collect()}
+    logs = np.zeros(quality_classifier.BASE**3)
+    every = model.probabilities(spark.range(quality_classifier.BASE**3).toDF("gram")).toPandas()
+    logs[every["gram"]] = np.log(every["p"])
+    for i, t, _ in rows:
+        data = np.frombuffer((t or "").encode(), dtype=np.uint8)
+        number = quality_classifier.grams(data, np.array([0, len(data)]), 3)[0]
+        assert got[i] is None if not t else got[i] == pytest.approx(np.exp(-logs[number].mean()), rel=1e-5)
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
