@@ -15,6 +15,7 @@ from pitchflow.operators import formation as M
 from pitchflow.operators import render as R
 from pitchflow.operators import tactics as A
 from pitchflow.operators import tracks as T
+from pitchflow.sources import files, position_log
 from pitchflow.sources.position_log import from_events
 from pitchflow.streaming import state as K
 from pitchflow.streaming.association import BOX, associate
@@ -337,8 +338,22 @@ def _errors(s: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.round(F.avg(e), 6).alias("mean_error_m"), F.round(F.max(e), 6).alias("max_error_m"), F.count("*").alias("n"))
 
 
-plain("agg_reproj_error", _errors)
-plain("udf_homography_fit", _errors)
+_H = ((0.1, 0.002, 1.0), (0.001, 0.09, -2.0), (0.00001, 0.00002, 1.0))
+
+
+def _reprojection(s: SparkSession, d: str) -> DataFrame:
+    pu, pv = G.project(np.array(_H), (F.col("event_id") % 1920).cast("double"), (F.col("user_id") % 1080).cast("double"))
+    dx, dy = pu - F.expr("(event_id % 1050) / 10.0D"), pv - F.expr("(user_id % 680) / 10.0D")
+    e = F.sqrt(dx * dx + dy * dy)
+    return _events(s, d).groupBy("event_type").agg(F.round(F.avg(e), 6).alias("mean_error_m"), F.round(F.max(e), 6).alias("max_error_m"), F.count("*").alias("n"))
+
+
+plain("agg_reproj_error", _reprojection, f"""WITH p AS (SELECT event_type, (event_id % 1920)::DOUBLE AS x, (user_id % 1080)::DOUBLE AS y, (event_id % 1050) / 10.0::DOUBLE AS u, (user_id % 680) / 10.0::DOUBLE AS v FROM events),
+q AS (SELECT *, {_H[2][0]}::DOUBLE * x + {_H[2][1]}::DOUBLE * y + {_H[2][2]}::DOUBLE AS w FROM p),
+e AS (SELECT event_type, ({_H[0][0]}::DOUBLE * x + {_H[0][1]}::DOUBLE * y + {_H[0][2]}::DOUBLE) / w - u AS dx, ({_H[1][0]}::DOUBLE * x + {_H[1][1]}::DOUBLE * y + ({_H[1][2]})::DOUBLE) / w - v AS dy FROM q)
+SELECT event_type, round(avg(sqrt(dx * dx + dy * dy)), 6) AS mean_error_m, round(max(sqrt(dx * dx + dy * dy)), 6) AS max_error_m, count(*) AS n FROM e GROUP BY event_type""")
+# The points fit a homography without error, so a right fit maps each onto its mate.
+plain("udf_homography_fit", _errors, f"SELECT 0.0::DOUBLE AS mean_error_m, 0.0::DOUBLE AS max_error_m, count(*) AS n FROM (VALUES {', '.join(map(str, _PX))}) t(px, py)")
 plain("lim_clamp", lambda s, d: _events(s, d).select("event_id", F.greatest(F.lit(0), F.least(F.col("event_id") - 5, F.lit(99))).alias("i")), "SELECT event_id, greatest(0, least(event_id - 5, 99)) AS i FROM events")
 _PIXELS = "SELECT event_id, user_id % 50 AS crop, event_id % 256 AS b, (event_id * 7) % 256 AS g, (event_id * 13) % 256 AS r, event_id % 180 AS h, (event_id * 3) % 256 AS s FROM events"
 
@@ -357,3 +372,60 @@ plain("agg_mean_color", lambda s, d: mean_colors(_events(s, d).selectExpr("user_
 over_log("st_bytetrack", None, "frame", "det_seq", "track_id")(lambda log: associate(D.boxes(log).select(F.lit("clip").alias("clip_id"), "frame", "det_seq", *BOX, "confidence")))
 over_log("agg_anchor_color", None)(lambda log: log.filter("class_name = 'person' AND frame < 20").groupBy("track_id").agg(*(F.round(F.avg((F.col("log_seq") * k) % 256), 6).alias(c) for c, k in zip("bgr", (1, 7, 13), strict=True))))
 SQL["agg_anchor_color"] = BASE + " SELECT track_id, round(avg((log_seq * 1) % 256), 6) AS b, round(avg((log_seq * 7) % 256), 6) AS g, round(avg((log_seq * 13) % 256), 6) AS r FROM log WHERE class_name = 'person' AND frame < 20 GROUP BY track_id"
+
+over_log("srt_frame", "SELECT " + _LOG + " FROM log", *LOG)(lambda log: log.orderBy("frame", "log_seq"))
+_STORED = ("frame", "track_id", "class_name", "team", "pixel_x", "pixel_y", "pitch_x", "pitch_y", "bbox_height", "is_predicted")
+
+
+def _stored_log(s: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(s, "log")
+    position_log.write_csv(from_events(_events(s, d)), path)
+    return position_log.read_csv(s, path).select(*_STORED)
+
+
+def _stored_pairs(s: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(s, "pairs")
+    pairs = _events(s, d).selectExpr("'v' || (event_id div 400) AS video", "event_id div 8 AS frame", "'p' || event_id AS name", "user_id / 2.0D AS pixel_x", "event_id / 4.0D AS pixel_y", "(user_id % 105) / 2.0D AS pitch_x", "(event_id % 68) / 2.0D AS pitch_y")
+    whole = pairs.join(pairs.groupBy("video", "frame").count().filter("count >= 4").drop("count"), ["video", "frame"], "left_semi")
+    files.write_correspondences(whole, path)
+    return files.read_correspondences(s, path, lines=True)
+
+
+_PAIRS = """WITH p AS (SELECT 'v' || (event_id // 400) AS video, event_id // 8 AS frame, 'p' || event_id AS name, user_id / 2.0::DOUBLE AS pixel_x, event_id / 4.0::DOUBLE AS pixel_y, (user_id % 105) / 2.0::DOUBLE AS pitch_x, (event_id % 68) / 2.0::DOUBLE AS pitch_y FROM events)
+SELECT * FROM p WHERE (video, frame) IN (SELECT (video, frame) FROM p GROUP BY video, frame HAVING count(*) >= 4)"""
+
+
+def _stored_homography(s: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(s, "homography")
+    files.save_homography(s, np.array(_H), path)
+    return s.createDataFrame([(i, float(v)) for i, v in enumerate(files.load_homography(s, path).ravel())], "i bigint, v double")
+
+
+def _stored_dataset(s: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(s, "dataset")
+    files.write_labels(D.curate_labels(_yolo(s, d), {1: 0, 3: 1}), path, ["ball", "person"])
+    return s.read.text(f"{path}/labels").select("split", "image", F.col("value").alias("line"))
+
+
+def _stored_labels(s: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(s, "labels")
+    for split in ("train", "valid"):
+        D.curate_labels(_yolo(s, d), {1: 0, 3: 1}).filter(F.col("split") == split).select("line").write.text(f"{path}/{split}/labels")
+    return files.read_labels(s, path).select("split", "line")
+
+
+def _stored_options(s: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(s, "options")
+    files.write_options(s, files.Options(max_coast_frames=9, ball_confidence=0.2), path)
+    return s.createDataFrame([(k, float(v)) for k, v in vars(files.read_options(s, path)).items()], "name string, value double")
+
+
+plain("sink_position_log", _stored_log, f"{BASE} SELECT {', '.join(_STORED)} FROM log")
+plain("src_correspondences", _stored_pairs, _PAIRS)
+plain("sink_correspondences", lambda s, d: _stored_pairs(s, d).groupBy("video", "frame").agg(F.count("*").alias("n")), f"SELECT video, frame, count(*) AS n FROM ({_PAIRS}) GROUP BY video, frame")
+plain("src_homography", _stored_homography, "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, ({v})::DOUBLE)" for i, v in enumerate(v for row in _H for v in row)) + ") t(i, v)")
+plain("sink_dataset", _stored_dataset, _YOLO)
+plain("src_yolo_labels", _stored_labels, f"SELECT split, line FROM ({_YOLO})")
+plain("src_config", _stored_options, "SELECT * FROM (VALUES ('max_coast_frames', 9.0::DOUBLE), ('process_noise', 5.0::DOUBLE), ('measurement_noise', 10.0::DOUBLE), ('person_confidence', 0.3::DOUBLE), ('ball_confidence', 0.2::DOUBLE)) t(name, value)")
+# Lengths of stored files have no SQL; tests/test_files.py holds the reader against files of its own.
+plain("src_upload", lambda s, d: files.read_binary(s, d, "*.parquet").select("name", "length"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+import tempfile
+import uuid
+from dataclasses import dataclass, fields
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,15 +25,44 @@ class Options:
     ball_confidence: float = 0.1
 
 
-def read_correspondences(spark: SparkSession, path: str) -> DataFrame:
-    """One row per pair of points: video, frame, name, pixel_x, pixel_y, pitch_x, pitch_y."""
-    raw = spark.read.schema(CORRESPONDENCES).json(path, multiLine=True)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; in one of our own only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_options(spark: SparkSession, options: Options, path: str) -> None:
+    """``key: value`` lines, a flat subset of YAML."""
+    lines = [(f"{f.name}: {getattr(options, f.name)}",) for f in fields(options)]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_options(spark: SparkSession, path: str) -> Options:
+    """Options from ``key: value`` lines; comments, blank lines and other keys are passed over."""
+    line = F.split(F.regexp_replace("value", r"\s*#.*$", ""), r"\s*:\s*", 2)
+    rows = spark.read.text(path).select(F.trim(line[0]).alias("k"), F.trim(line[1]).alias("v")).filter(F.col("k").isin([f.name for f in fields(Options)]))
+    return Options(**{r.k: type(getattr(Options, r.k))(r.v) for r in rows.limit(len(fields(Options))).collect()})
+
+
+def read_binary(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """Uploads, anchor images or frames split from a video: ``name``, ``number`` (the last digits of the name), ``length``, ``content``."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)
+    name = F.element_at(F.split("path", "/"), -1)
+    return raw.select(name.alias("name"), F.nullif(F.regexp_extract(name, r"(\d+)\D*$", 1), F.lit("")).cast("bigint").alias("number"), "length", "content")
+
+
+def read_correspondences(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per pair of points: video, frame, name, pixel_x, pixel_y, pitch_x, pitch_y.
+
+    A file holds one document over any number of lines or, with ``lines``, one on each line.
+    """
+    raw = spark.read.schema(CORRESPONDENCES).json(path, multiLine=not lines)
     each = raw.select("video", "frame", F.explode("correspondences").alias("c"))
     return each.select("video", "frame", "c.name", *(F.col(f"c.{s}")[i].alias(f"{s}_{a}") for s in ("pixel", "pitch") for i, a in enumerate("xy")))
 
 
 def write_correspondences(pairs: DataFrame, path: str) -> None:
-    """One JSON document per video and frame; fewer than four pairs are refused."""
+    """One JSON document per video and frame, each on a line; fewer than four pairs are refused."""
     pair = F.struct(F.array("pixel_x", "pixel_y").alias("pixel"), F.array("pitch_x", "pitch_y").alias("pitch"), "name")
     told = pairs.groupBy("video", "frame").agg(F.sort_array(F.collect_list(pair)).alias("correspondences"))
     if not told.filter(F.size("correspondences") < 4).isEmpty():
@@ -57,5 +88,5 @@ def read_labels(spark: SparkSession, root: str) -> DataFrame:
 
 def write_labels(labels: DataFrame, root: str, names: list[str]) -> str:
     """Label lines partitioned by split and image; returns the data set's description."""
-    labels.select("split", "image", "line").write.partitionBy("split", "image").mode("overwrite").text(f"{root}/labels")
+    labels.select("split", "image", "line").repartition("split", "image").write.partitionBy("split", "image").mode("overwrite").text(f"{root}/labels")
     return json.dumps({"path": root, "train": "labels/split=train", "val": "labels/split=valid", "names": names})

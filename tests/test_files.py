@@ -28,6 +28,15 @@ def test_label_files(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out/labels")).count() == 2
 
 
+def test_options_and_binary_files(spark, tmp_path):
+    (tmp_path / "o.yaml").write_text("# run\nmax_coast_frames: 7  # frames\n\nother: x\nperson_confidence : 0.25\n")
+    assert files.read_options(spark, str(tmp_path / "o.yaml")) == files.Options(max_coast_frames=7, person_confidence=0.25)
+    for name, data in (("frame_012.jpg", b"ab"), ("anchor.png", b""), ("note.txt", b"x")):
+        (tmp_path / name).write_bytes(data)
+    got = {r.name: (r.number, r.length, bytes(r.content)) for r in files.read_binary(spark, str(tmp_path), "*.{jpg,png}").collect()}
+    assert got == {"frame_012.jpg": (12, 2, b"ab"), "anchor.png": (None, 0, b"")}
+
+
 def test_association(spark):
     rows = [("c", f, f * 10 + k, x + f, 0.0, x + f + 10, 10.0, c) for f in (0, 1, 2, 5, 60) for k, (x, c) in enumerate(((0.0, 0.9), (100.0, 0.9 if f != 2 else 0.1), (300.0, 0.1)))]
     boxes = spark.createDataFrame(rows, "clip_id string, frame bigint, det_seq bigint, x1 double, y1 double, x2 double, y2 double, confidence double")
