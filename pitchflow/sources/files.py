@@ -45,7 +45,10 @@ def read_options(spark: SparkSession, path: str) -> Options:
 
 
 def read_binary(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Uploads, anchor images or frames split from a video: ``name``, ``number`` (the last digits of the name), ``length``, ``content``."""
+    """Uploads, anchor images or frames split from a video: ``name``, ``number`` (the last digits of the name), ``length``, ``content``.
+
+    Files without bytes are passed over, as Spark's scans do.
+    """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)
     name = F.element_at(F.split("path", "/"), -1)
     return raw.select(name.alias("name"), F.nullif(F.regexp_extract(name, r"(\d+)\D*$", 1), F.lit("")).cast("bigint").alias("number"), "length", "content")

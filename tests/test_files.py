@@ -31,10 +31,10 @@ def test_label_files(spark, tmp_path):
 def test_options_and_binary_files(spark, tmp_path):
     (tmp_path / "o.yaml").write_text("# run\nmax_coast_frames: 7  # frames\n\nother: x\nperson_confidence : 0.25\n")
     assert files.read_options(spark, str(tmp_path / "o.yaml")) == files.Options(max_coast_frames=7, person_confidence=0.25)
-    for name, data in (("frame_012.jpg", b"ab"), ("anchor.png", b""), ("note.txt", b"x")):
+    for name, data in (("frame_012.jpg", b"ab"), ("anchor.png", b"c"), ("empty7.png", b""), ("note.txt", b"x")):
         (tmp_path / name).write_bytes(data)
     got = {r.name: (r.number, r.length, bytes(r.content)) for r in files.read_binary(spark, str(tmp_path), "*.{jpg,png}").collect()}
-    assert got == {"frame_012.jpg": (12, 2, b"ab"), "anchor.png": (None, 0, b"")}
+    assert got == {"frame_012.jpg": (12, 2, b"ab"), "anchor.png": (None, 1, b"c")}
 
 
 def test_association(spark):
