@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, bounded_batches
+from .common import Table, bounded_batches, join_counted
 
 FANOUT, BATCHES = 4, 5
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -80,8 +80,9 @@ class LineRuns:
         return reduce(DataFrame.unionByName, runs).groupBy("hash").agg(F.sum("n").alias("n")) if runs else None
 
     def frequent(self) -> DataFrame | None:
+        """``(hash, n)`` of the settled lines; n grows with a line's documents, though it isn't kept up once settled."""
         totals = self.totals()
-        return totals if totals is None else totals.filter(F.col("n") >= self.threshold).select("hash")
+        return totals if totals is None else totals.filter(F.col("n") >= self.threshold)
 
     def unseen(self, lines: DataFrame) -> DataFrame:
         """The rows of ``lines`` whose hash is in no run."""
@@ -128,7 +129,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = LineRuns(spark, min_documents)
     for k in range(BATCHES):
         runs.add(lines.df.filter(F.col("batch") == k).select("hash"))
-    drops = lines.df.join(runs.frequent(), "hash", "left_semi").groupBy("id", "text_hash").agg(F.collect_set("hash").alias("drop"))
+    frequent = Table(runs.frequent(), "frequent")
+    drops = join_counted(lines.df.select("id", "text_hash", "hash"), frequent.df, ["hash"], "n", "left_semi").groupBy("id", "text_hash").agg(F.collect_set("hash").alias("drop"))
     same = texts["id"].eqNullSafe(drops["id"]) & (texts["text_hash"] == drops["text_hash"])
     joined = texts.join(drops, same, "left").select(texts["id"], "text", "drop")
     out = T.StructType([field, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
