@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, bounded_batches, new_path
+from .common import Table, bounded_batches, join_counted, new_path
 
 FILE_BYTES = 64 << 20
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -74,8 +74,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     base = path or new_path(spark, "warc")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    firsts = rows.groupBy("sha1").agg(F.min("page_id").alias("first_id"))
-    told = rows.join(firsts, "sha1").select("page_id", "url", "html", "first_id", F.col("page_id").eqNullSafe(F.col("first_id")).alias("is_response"))
+    firsts = rows.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    told = join_counted(rows, firsts, ["sha1"], "n").select("page_id", "url", "html", "first_id", F.col("page_id").eqNullSafe(F.col("first_id")).alias("is_response"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(base)
@@ -169,7 +169,12 @@ def assemble(records: DataFrame) -> DataFrame:
     metadata = side("metadata", ["record_id", "fields"])
     origins = captures.filter("type = 'response'").join(metadata, "record_id", "left").groupBy("record_id")
     origins = origins.agg(F.min(F.element_at("metadata.fields", "page-id")).alias("page_id"), F.min("payload_bytes").alias("payload_bytes")).select(F.col("record_id").alias("refers_to"), F.struct("page_id", "payload_bytes").alias("origin"))
-    whole = captures.join(side("request", ["record_id", "uri", "fields"]), "record_id", "left").join(metadata, "record_id", "left").join(origins, "refers_to", "left")
+    # What a capture refers to may be the origin of a third of them; what refers to nothing isn't joined.
+    refer = captures.filter("refers_to IS NOT NULL")
+    origins = refer.groupBy("refers_to").agg(F.count("*").alias("n")).join(origins, "refers_to", "left")
+    alone = captures.filter("refers_to IS NULL").withColumn("origin", F.lit(None).cast(origins.schema["origin"].dataType))
+    told = join_counted(refer, origins, ["refers_to"], "n").unionByName(alone)
+    whole = told.join(side("request", ["record_id", "uri", "fields"]), "record_id", "left").join(metadata, "record_id", "left")
     return whole.select("record_id", "type", "uri", "digest", "digest_ok", "payload_bytes", "payload", "request", "metadata", "origin")
 
 
