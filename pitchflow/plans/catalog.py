@@ -232,7 +232,9 @@ _clicks = lambda log: log.filter("class_name = 'sports ball'").select("frame", F
 over_log("jn_click_box", """, c AS (SELECT frame, pixel_x AS cx, pixel_y AS cy FROM log WHERE class_name = 'sports ball'),
 q AS (SELECT c.frame, b.det_seq, NOT (cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND y2) AS far, sqrt((cx - (x1 + x2) / 2) * (cx - (x1 + x2) / 2) + (cy - (y1 + y2) / 2) * (cy - (y1 + y2) / 2)) AS d, (x2 - x1) * (y2 - y1) AS area FROM c JOIN boxes b ON b.frame = c.frame AND b.class_name = 'person')
 SELECT frame, det_seq, far AS by_centre FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY far, CASE WHEN far THEN d ELSE area END, det_seq) AS k FROM q WHERE NOT far OR d <= 80) WHERE k = 1""")(lambda log: D.click_boxes(_clicks(log), D.boxes(log).filter("class_name = 'person'")))
-over_log("win_track_forward", None)(lambda log: K.follow(D.boxes(log).filter("class_name = 'person'").select(F.lit("clip").alias("clip_id"), "frame", "det_seq", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy")), log.filter("class_name = 'person' AND frame % 100 = 0").select(F.col("log_seq").alias("start_id"), "clip_id", "frame", F.col("pixel_x").alias("x"), (F.col("pixel_y") - F.col("bbox_height") / 2).alias("y"))))
+_boxes = lambda log: D.boxes(log).filter("class_name = 'person'").select(F.lit("clip").alias("clip_id"), "frame", "det_seq", *BOX)
+_centres = lambda log: log.filter("class_name = 'person'").select(F.col("log_seq").alias("start_id"), "clip_id", "frame", F.col("pixel_x").alias("x"), (F.col("pixel_y") - F.col("bbox_height") / 2).alias("y"))
+over_log("win_track_forward", None)(lambda log: K.follow(_boxes(log), _centres(log)))
 
 # Drawing
 over_log("rnd_topdown", """SELECT frame, 'ball' AS kind, CAST(-1 AS BIGINT) AS track_id, CAST(trunc((x + 4) * 10) AS INTEGER) AS px, CAST(trunc((y + 4) * 10) AS INTEGER) AS py, 'ball' AS color, NOT was_interpolated AS filled FROM ball

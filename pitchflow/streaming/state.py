@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "clip_id string, frame bigint, x double, y double, is_observed boolean"
+#: Frames of a task of follow(), and pairs of a point and a box that it compares at once.
+CHUNK, PAIRS = 256, 1 << 20
 STATE = "x double, y double, vx double, vy double, a double, b double, c double, missed bigint"
 
 
@@ -76,20 +79,49 @@ def ball_rows(log: DataFrame, tracked: DataFrame) -> DataFrame:
     return log.filter("class_name <> 'sports ball'").unionByName(ball)
 
 
+def _picked(at: np.ndarray, frame: np.ndarray, box: np.ndarray, frames: np.ndarray, reach: float) -> np.ndarray:
+    """For each point, the number of the box that it lands on in its frame, or -1; boxes are in order of frame, then of preference."""
+    out = np.full(len(at), -1)
+    centre, area = (box[:, :2] + box[:, 2:]) / 2, (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+    if not len(at) or not len(box):
+        return out
+    order = np.argsort(frame, kind="stable")
+    names, first = np.unique(frame[order], return_index=True)
+    for rows, a, z in zip(np.split(order, first[1:]), np.searchsorted(frames, names), np.searchsorted(frames, names, "right"), strict=True):
+        if a == z:
+            continue
+        for part in np.array_split(rows, 1 + len(rows) * int(z - a) // PAIRS):
+            p = at[part][:, None]
+            inside = (box[a:z, :2] <= p).all(axis=2) & (p <= box[a:z, 2:]).all(axis=2)
+            size = np.where(inside, area[a:z], np.inf)
+            d = np.sqrt(((centre[a:z] - p) ** 2).sum(axis=2))
+            d = np.where(d <= reach, d, np.inf)
+            out[part] = a + np.where(inside.any(axis=1), size.argmin(axis=1), np.where(np.isfinite(d).any(axis=1), d.argmin(axis=1), -1 - a))
+    return out
+
+
 def follow(boxes: DataFrame, starts: DataFrame, reach: float = 40.0, frames: int = 20) -> DataFrame:
-    """From each start ``(start_id, clip_id, frame, x, y)``, the nearest box of each next frame within reach, until a miss."""
-    near = starts.withColumn("until", F.col("frame") + frames).select("start_id", "clip_id", F.col("frame").alias("f0"), F.col("x").alias("sx"), F.col("y").alias("sy"), "until")
-    rows = near.join(boxes, "clip_id").filter("frame > f0 AND frame <= until")
+    """From each start ``(start_id, clip_id, frame, x, y)``, a box of each of the next ``frames`` frames, until a miss.
+
+    ``boxes(clip_id, frame, det_seq, x1, y1, x2, y2)``. A frame's box is the smallest that contains the last
+    centre, else that with the nearest centre within reach; ties go to the first. Where a box leads to depends on
+    the box only, so each is looked up once, in chunks of CHUNK frames with the boxes that their starts can reach.
+    """
+    chunk = lambda c: F.floor(c / CHUNK)
+    corners = ["x1", "y1", "x2", "y2"]
+    near = boxes.select("clip_id", "frame", F.col("det_seq").alias("id"), *corners, F.lit(False).alias("starts"), F.explode(F.sequence(chunk(F.col("frame") - frames), chunk(F.col("frame") - 1))).alias("chunk"))
+    from_ = starts.select("clip_id", "frame", F.col("start_id").alias("id"), *(F.col(c[0]).alias(c) for c in corners), F.lit(True).alias("starts"), chunk(F.col("frame")).alias("chunk"))
 
     def chain(p: pd.DataFrame) -> pd.DataFrame:
-        at, out, last = (p["sx"].iloc[0], p["sy"].iloc[0]), [], p["f0"].iloc[0]
-        for frame, rows_ in p.sort_values(["frame", "det_seq"]).groupby("frame"):
-            d = ((rows_["cx"] - at[0]) ** 2 + (rows_["cy"] - at[1]) ** 2) ** 0.5
-            if frame != last + 1 or d.min() > reach:
-                break
-            row, last = rows_.loc[d.idxmin()], frame
-            at = (row["cx"], row["cy"])
-            out.append((p["start_id"].iloc[0], frame, row["det_seq"]))
-        return pd.DataFrame(out, columns=["start_id", "frame", "det_seq"])
-
-    return rows.groupBy("start_id").applyInPandas(chain, "start_id bigint, frame bigint, det_seq bigint")
+        p = p.sort_values(["frame", "id"])
+        s, b = p[p["starts"]], p[~p["starts"]]
+        frame, seq, box, start = b["frame"].to_numpy(), b["id"].to_numpy(), b[corners].to_numpy(float), s["id"].to_numpy()
+        now = _picked(s[corners[:2]].to_numpy(float), s["frame"].to_numpy() + 1, box, frame, reach)
+        after, out = _picked((box[:, :2] + box[:, 2:]) / 2, frame + 1, box, frame, reach), []
+        for _ in range(frames):
+            start, now = start[now >= 0], now[now >= 0]
+            out.append(pd.DataFrame({"start_id": start, "frame": frame[now], "det_seq": seq[now]}))
+            now = after[now]
+        return pd.concat(out)
+
+    return near.unionByName(from_).groupBy("clip_id", "chunk").applyInPandas(chain, "start_id bigint, frame bigint, det_seq bigint")

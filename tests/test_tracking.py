@@ -103,6 +103,38 @@ def test_kalman_resets_and_streams_alike(spark, tmp_path):
     assert sorted(map(tuple, spark.table("kalman").collect())) == batch
 
 
+def followed(boxes, x, y, frame, frames=20, reach=40.0):
+    out = []
+    for k in range(1, frames + 1):
+        rows = [b for b in boxes if b[1] == frame + k]
+        inside = [((b[5] - b[3]) * (b[6] - b[4]), b[2], b) for b in rows if b[3] <= x <= b[5] and b[4] <= y <= b[6]]
+        far = [(d, b[2], b) for b in rows if (d := ((b[3] + b[5]) / 2 - x) ** 2 + ((b[4] + b[6]) / 2 - y) ** 2) <= reach**2]
+        if not inside and not far:
+            break
+        b = min(inside or far)[2]
+        x, y = (b[3] + b[5]) / 2, (b[4] + b[6]) / 2
+        out.append((frame + k, b[2]))
+    return out
+
+
+def test_follow_matches_brute_force(spark):
+    r = np.random.default_rng(3)
+    boxes = [("c", f, 10 * f + k, x - w, y - h, x + w, y + h) for f in range(240, 300) if f != 270 for k in range(6) for x, y, w, h in [map(float, r.integers(4, (120, 120, 20, 30)))]]
+    b = spark.createDataFrame(boxes, "clip_id string, frame bigint, det_seq bigint, x1 double, y1 double, x2 double, y2 double")
+    starts = [(i, "c", f, float(x), float(y)) for i, (f, x, y) in enumerate(zip(r.integers(230, 300, 80).tolist(), *r.integers(-60, 160, (2, 80)), strict=True))]
+    s = spark.createDataFrame(starts, "start_id bigint, clip_id string, frame bigint, x double, y double")
+    want = sorted((i, *p) for i, _, f, x, y in starts for p in followed(boxes, x, y, f))
+    assert sorted(map(tuple, K.follow(b, s).collect())) == want and want
+
+
+def test_all_persons_are_followed(spark):
+    from pitchflow.plans import catalog
+
+    rows = catalog.QUERIES["win_track_forward"](spark, "/root/testdata/sf0.001").select("start_id").distinct()
+    log = catalog.log_of(spark, "/root/testdata/sf0.001").filter("class_name = 'person'")
+    assert {x.start_id // 24 for x in rows.collect()} == {x.frame for x in log.select("frame").distinct().collect()} - {log.agg({"frame": "max"}).first()[0]}
+
+
 def test_homography():
     h = np.array([[0.1, 0.01, 1], [0.0, 0.12, 2], [0.0001, 0.0002, 1]])
     px = np.array([(0, 0), (500, 0), (500, 400), (0, 400), (250, 100), (400, 300)], float)
