@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, drop_ids
+from .common import Table, bounded_batches
 
 #: Edits allowed for each 100 characters of an item.
 EDITS_PER_100 = 8
@@ -124,17 +124,22 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    schema = T.StructType([texts.schema["doc_id"], items.schema["item_id"], T.StructField("edits", T.IntegerType()), T.StructField("end", T.LongType())])
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n, found = 1 + size // SLICE_CHARS, None
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        part = texts.mapInArrow(_search(spark.sparkContext.broadcast([tuple(r) for r in rows]), edits_per_100, schema), schema)
+    schema = T.StructType([texts.schema["doc_id"], benchmark.schema["item_id"], T.StructField("edits", T.IntegerType()), T.StructField("end", T.LongType())])
+    found = None
+    for rows in _slices(benchmark):
+        part = texts.mapInArrow(_search(spark.sparkContext.broadcast(rows), edits_per_100, schema), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def _slices(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """Ids and texts of the test items in slices of about SLICE_CHARS characters; one empty slice if there are none."""
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    n = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // SLICE_CHARS
+    for k in range(n):
+        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+
+
 def _search(shared, edits_per_100: int, schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -151,9 +156,21 @@ def _search(shared, edits_per_100: int, schema: T.StructType):
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a test item; those with a null id stay only if they hold none."""
-    from .common import Table
+def _clean(shared, edits_per_100: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher([text for _, text in shared.value], edits_per_100)
+        for batch in batches:
+            texts = batch.column("text").cast(pa.string()).to_pylist()
+            yield batch.filter(pa.array([not matcher.find(text) for text in texts], pa.bool_()))
+
+    return run
+
 
-    found = Table(find_benchmark(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return drop_ids(docs, found.df)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose text holds a test item. Each row is judged by its own text, whatever its id."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    for k, rows in enumerate(_slices(benchmark)):
+        before = Table(docs, "clean").df if k else docs  # one slice's automaton in a task at a time
+        docs = before.mapInArrow(_clean(spark.sparkContext.broadcast(rows), EDITS_PER_100), docs.schema)
+    return docs

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, bounded_batches, small_side
+from .common import Table, bounded_batches, drop_ids, small_side
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -27,6 +27,8 @@ BANDS, ROWS = 25, 5
 SMALL_BUCKET = 12
 #: Sets in a block, and tasks that share the block pairs of one leader, when a star leaves members apart.
 BLOCK, SALTS = 64, 16
+#: Column that numbers rows while they are reduced to one of each group.
+ROW = "_near_row"
 
 _rng = np.random.default_rng(20_170_811)
 _SEEDS = _rng.integers(0, 1 << 63, 2 * BINS, dtype=np.uint64)
@@ -218,16 +220,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: that with the smallest id.
+    """``docs`` with one row of each near-duplicate group: that with the smallest id.
 
-    Rows that repeat the kept id are reduced to one; rows with a null id stay.
+    Each row is judged by its own text: rows that repeat an id are apart unless their texts are linked.
+    Of rows with the same smallest id one is kept. Rows with a null id, or without shingles, stay.
     """
-    from .common import drop_ids
-
-    groups = Table(near_duplicates(docs, percent=percent), "groups")
-    kept = drop_ids(docs, groups.df.filter(~F.col("kept")))
-    twice = groups.df.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    again = small_side(twice)
-    return drop_ids(kept, twice).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    rows = Table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows").df  # written, so that numbers stay
+    named = rows.filter("doc_id IS NOT NULL")
+    groups = Table(near_duplicates(named, id_col=ROW, percent=percent).select(F.col("doc_id").alias(ROW), "component_id"), "groups").df
+    order = named.select(ROW, F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("hash"), ROW).alias("place"))
+    first = groups.join(order, ROW).groupBy("component_id").agg(F.min("place")[ROW].alias(ROW)).select(ROW)
+    extra = Table(groups.select(ROW).join(first, ROW, "left_anti"), "extra").df
+    return drop_ids(rows, extra, ROW).select(*docs.columns)

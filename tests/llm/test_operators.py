@@ -299,6 +299,25 @@ def test_decontamination(spark, empty):
     assert decontaminate.find_benchmark(empty, bench).count() == 0 == decontaminate.find_benchmark(docs, bench.filter("false")).count()
 
 
+def test_rows_are_judged_apart_from_their_ids(spark, monkeypatch):
+    item, other = prose(12, 950), prose(12, 951)
+    texts = [(None, prose(20, 1) + " " + item), (None, prose(20, 2)), (1, item), (1, prose(20, 3)), (2, other), (None, None), (3, None)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(0, item), (1, other)], "item_id bigint, text string")
+    want = sorted([texts[i] for i in (1, 3, 5, 6)], key=repr)
+    for chars in (decontaminate.SLICE_CHARS, 20):  # one slice of items, several
+        monkeypatch.setattr(decontaminate, "SLICE_CHARS", chars)
+        assert sorted(map(tuple, decontaminate.drop_contaminated(docs, bench).collect()), key=repr) == want
+    assert decontaminate.drop_contaminated(docs, bench.filter("false")).count() == 7
+    assert decontaminate.drop_contaminated(docs.filter("false"), bench).count() == 0
+    a, b, c, d = (prose(60, 960 + i) for i in range(4))
+    near = a + " tail"
+    texts = [(5, a), (5, b), (5, c), (7, near), (7, d), (4, c), (5, b), (None, a), (8, None), (8, None)]
+    kept = minhash.keep_one_of_each(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    want = [(5, a), (5, b), (7, d), (4, c), (None, a), (8, None), (8, None)]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_line_dedup_matches_brute_force(spark, empty):
     texts = [f"\t Common Line\x0b\nown {i}\ncommon line\n\n" + ("rare" if i < 9 else "x") for i in range(14)] + [None, "", "COMMON LINE", "É common", "é common"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
