@@ -266,6 +266,9 @@ over_log("st_kalman_ball", _KALMAN + " SELECT frame, round(round(x, 6), 4) AS x,
 over_log("st_coast_rows", _KALMAN + " SELECT frame, round(round(x, 6), 4) AS pixel_x, round(round(y, 6), 4) AS pixel_y FROM k WHERE live AND NOT seen", "frame", "pixel_x", "pixel_y")(lambda log: K.ball_rows(log, K.kalman(K.observations(log), max_coast=10)).filter("is_predicted").withColumns({c: F.round(c, 4) for c in ("pixel_x", "pixel_y")}))
 over_log("st_ball_selection", _KALMAN + " SELECT k.frame, CAST(-1 AS BIGINT) AS track_id, l.bbox_height, NOT k.seen AS is_predicted FROM k LEFT JOIN log l ON l.frame = k.frame AND l.class_name = 'sports ball' AND k.seen WHERE live", "frame", "track_id", "bbox_height", "is_predicted")(lambda log: K.ball_rows(log, K.kalman(K.observations(log), max_coast=10)).filter("class_name = 'sports ball'"))
 over_log("set_append_predicted", _KALMAN + " SELECT (SELECT count(*) FROM log WHERE class_name <> 'sports ball') + (SELECT count(*) FROM k WHERE live) AS n")(lambda log: K.ball_rows(log, K.kalman(K.observations(log), max_coast=10)).groupBy("clip_id").agg(F.count("*").alias("n")))
+#: Ten pixels a metre, as in the derived log.
+LOG_H = np.diag([0.1, 0.1, 1.0])
+over_log("st_ball_log", None)(lambda log: K.ball_rows(log, K.kalman(K.observations(log), max_coast=10), LOG_H))
 
 
 def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pitchflow.functions.geometry import project
+
 OUT = "clip_id string, frame bigint, x double, y double, is_observed boolean"
 #: Frames of a task of follow(), and pairs of a point and a box that it compares at once.
 CHUNK, PAIRS = 256, 1 << 20
@@ -70,13 +72,19 @@ def observations(log: DataFrame) -> DataFrame:
     return spine.join(ball, ["clip_id", "frame"], "left")
 
 
-def ball_rows(log: DataFrame, tracked: DataFrame) -> DataFrame:
-    """The log's other rows and the tracked ball (track -1), with coasted frames marked as predicted."""
+def ball_rows(log: DataFrame, tracked: DataFrame, h: np.ndarray | None = None) -> DataFrame:
+    """The log with the tracked ball (track -1) in place of the row it was observed in, and coasted frames marked as predicted.
+
+    Other balls of a frame keep their rows and ids. The tracked ball's pitch position is its pixel's through the
+    homography ``h``, null without one.
+    """
     known = log.filter("class_name = 'sports ball'").groupBy("clip_id", "frame").agg(F.min_by(F.struct("log_seq", "bbox_height"), "log_seq").alias("k"))
+    seen = lambda c: F.when(F.col("is_observed"), F.col(f"k.{c}")).alias(c)
     rows = tracked.join(known, ["clip_id", "frame"], "left")
     none = F.lit(None).cast("double")
-    ball = rows.select("clip_id", F.col("k.log_seq").alias("log_seq"), "frame", F.lit(-1).cast("bigint").alias("track_id"), F.lit("sports ball").alias("class_name"), F.lit(None).cast("int").alias("team"), F.col("x").alias("pixel_x"), F.col("y").alias("pixel_y"), none.alias("pitch_x"), none.alias("pitch_y"), F.when(F.col("is_observed"), F.col("k.bbox_height")).alias("bbox_height"), (~F.col("is_observed")).alias("is_predicted"))
-    return log.filter("class_name <> 'sports ball'").unionByName(ball)
+    px, py = (none, none) if h is None else project(h, F.col("x"), F.col("y"))
+    ball = rows.select("clip_id", seen("log_seq"), "frame", F.lit(-1).cast("bigint").alias("track_id"), F.lit("sports ball").alias("class_name"), F.lit(None).cast("int").alias("team"), F.col("x").alias("pixel_x"), F.col("y").alias("pixel_y"), px.alias("pitch_x"), py.alias("pitch_y"), seen("bbox_height"), (~F.col("is_observed")).alias("is_predicted"))
+    return log.join(ball.select("clip_id", "log_seq"), ["clip_id", "log_seq"], "left_anti").unionByName(ball)
 
 
 def _picked(at: np.ndarray, frame: np.ndarray, box: np.ndarray, frames: np.ndarray, reach: float) -> np.ndarray:

@@ -135,6 +135,19 @@ def test_all_persons_are_followed(spark):
     assert {x.start_id // 24 for x in rows.collect()} == {x.frame for x in log.select("frame").distinct().collect()} - {log.agg({"frame": "max"}).first()[0]}
 
 
+def test_other_balls_stay_and_the_tracked_one_has_a_pitch_position(spark):
+    rows = [("c", i, f, t, "sports ball", None, x, x, x / 10, x / 10, 9.0, False) for i, (f, t, x) in enumerate(((0, 7, 10.0), (0, 8, 90.0), (1, 8, 20.0)))]
+    rows += [("c", 3 + f, f, 1, "person", 0, 5.0, 5.0, 0.5, 0.5, 99.0, False) for f in range(3)]
+    game = spark.createDataFrame(rows, S.POSITION_LOG)
+    out = K.ball_rows(game, K.kalman(K.observations(game)), np.diag([0.1, 0.1, 1.0]))
+    assert out.columns == game.columns and out.count() == 7
+    balls = {(r.frame, r.track_id): r for r in out.filter("class_name = 'sports ball'").collect()}
+    assert set(balls) == {(0, -1), (0, 8), (1, -1), (2, -1)} and tuple(balls[0, 8]) == rows[1]
+    assert all(r.pitch_x == pytest.approx(r.pixel_x / 10) and r.is_predicted == (f == 2) for (f, _), r in balls.items())
+    assert T.raw_ball(out).count() == 3
+    assert K.ball_rows(game, K.kalman(K.observations(game))).filter("track_id = -1 AND pitch_x IS NULL").count() == 3
+
+
 def test_homography():
     h = np.array([[0.1, 0.01, 1], [0.0, 0.12, 2], [0.0001, 0.0002, 1]])
     px = np.array([(0, 0), (500, 0), (500, 400), (0, 400), (250, 100), (400, 300)], float)
