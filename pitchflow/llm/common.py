@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,23 +21,51 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Python workers get Arrow batches of so many rows, so that long texts can't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Python workers get Arrow batches of so many rows at most, so that long texts can't fill a worker.
+
+    The plan is made when its result is asked for, so the session keeps the bound; a lower one of its own stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+@contextmanager
+def session_setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """``key`` is ``value`` for the plans made inside; afterwards it is as before."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where the setting is unset, as in tests."""
+    """The session's folder under spark.checkpoint.dir. Only a local session may have none; it gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-llm-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what this session wrote to the shared folder, once no result that reads it is needed."""
+    delete(spark, shared_dir(spark))
+
+
 class Table:
     """A DataFrame written as Parquet to the shared folder: cuts lineage and survives lost executors."""
 
@@ -45,9 +75,7 @@ class Table:
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path)
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -59,14 +87,14 @@ def join_counted(rows: DataFrame, side: DataFrame, key: list[str], count: str, h
     """``rows`` joined with ``side``, which has one row a key and in ``count`` how many rows the key has in ``rows``.
 
     The HOT_KEYS keys with the most rows are broadcast, so that the rows of a hot key stay in their
-    tasks; all others are dealt by key. ``how`` is inner or left_semi. ``count`` isn't returned.
+    tasks; all others are dealt by key. ``how`` is inner, left or left_semi. ``count`` isn't returned.
     ``rows`` and ``side`` are read twice.
     """
     plain = side.drop(count)
     hot = Table(side.filter(F.col(count) > 1).orderBy(F.desc(count), *key).limit(HOT_KEYS).drop(count), "hot-keys").df
     names = F.broadcast(hot.select(*key))
     rest = rows.join(names, key, "left_anti").join(plain.join(names, key, "left_anti"), key, how)
-    return rows.join(F.broadcast(hot), key, how).unionByName(rest)
+    return rows.join(F.broadcast(hot), key, "inner" if how == "left" else how).unionByName(rest)
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
