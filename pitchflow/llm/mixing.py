@@ -14,14 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Table
+from .common import Table, small_side
 
 LEVELS = ("domain", "lang", "source")
 WORD = r"[^\x20\x09-\x0D]+"
 #: Leaves are planned on the driver, so there are at most so many.
 MAX_LEAVES = 200_000
-#: Slices of the hash order in which a leaf's tokens are summed; only the slice where its budget ends is sorted.
-SLICE_BITS = 12
+#: Where a leaf's budget ends is found in so many steps, each among 2**SLICE_BITS slices of the slice before.
+#: Only the documents of the last slice, one of 262,144, are sorted.
+SLICE_BITS, STEPS = 6, 3
 
 
 @dataclass
@@ -57,7 +58,8 @@ def share_out(budget: int, children: list[tuple[float, int]]) -> list[int]:
         for i in short:
             budget -= children[i][1] - given[i]
             given[i] = children[i][1]
-        open_ = [i for i in open_ if i not in short]
+        full = set(short)
+        open_ = [i for i in open_ if i not in full]
     return given
 
 
@@ -84,6 +86,27 @@ def plan_budgets(leaves: dict[tuple, int], weights: dict[tuple, float], budget:
     return out
 
 
+def _prefix_ends(rows: DataFrame) -> DataFrame:
+    """``(leaf, slice, before)``: the slice of a leaf's order in which its prefix ends, and its tokens before that.
+
+    ``rows(leaf, n, h, rest)``. Every step sums the tokens of at most 2**SLICE_BITS slices a leaf, so that the
+    ordered sums are over few rows whatever the leaf's size.
+    """
+    ends = None
+    for step in range(1, STEPS + 1):
+        here = rows.withColumn("slice", F.shiftrightunsigned("h", 64 - SLICE_BITS * step))
+        if ends is None:
+            here = here.withColumn("before", F.lit(0).cast("bigint"))
+        else:  # at most MAX_LEAVES rows
+            inside = F.broadcast(ends.select("leaf", F.col("slice").alias("within"), "before"))
+            here = here.join(inside, "leaf").filter(F.shiftright("slice", SLICE_BITS) == F.col("within"))
+        sums = here.groupBy("leaf", "slice").agg(F.sum("n").alias("tokens"), F.first("rest").alias("rest"), F.first("before").alias("start"))
+        upto = F.col("start") + F.sum("tokens").over(Window.partitionBy("leaf").orderBy("slice"))
+        sums = sums.withColumn("before", upto - F.col("tokens"))
+        ends = Table(sums.filter("before < rest AND before + tokens >= rest").select("leaf", "slice", "before"), "mix-ends").df
+    return ends
+
+
 def mix_sources(docs: DataFrame, domain: Column, weights: dict[tuple, float], fraction: float = 0.8, max_epochs: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of the mixture, one row for each time that one is taken.
 
@@ -92,43 +115,41 @@ def mix_sources(docs: DataFrame, domain: Column, weights: dict[tuple, float], fr
     of a leaf's prefix, which may be used in part). ``fraction`` of all tokens is the budget.
 
     * A null or blank text has no tokens and is never taken; null languages and sources are values of their own.
-    * Repeated rows are separate documents. Ties in the order go by id and then by length.
+    * Repeated rows are separate documents. The order is by a hash of seed, epoch, id and whole text; rows that
+      agree in these come in any order among themselves.
+    * All columns come back as they were, whatever their names, but for one named ``mix``, which is replaced.
     * A budget beyond all supply takes ``max_epochs`` of everything; an empty table gives an empty result.
     """
-    names = [f"_mix_{x}" for x in (*LEVELS, "n", "h", "slice")]
-    level, n, h, slice_ = names[:3], *names[3:]
-    tokens = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = docs.select("*", domain.alias(level[0]), F.col("lang").alias(level[1]), F.col("source").alias(level[2]), tokens.alias(n))
-    sizes = rows.groupBy(*level).agg(F.sum(n).alias("tokens")).limit(MAX_LEAVES + 1).collect()
+    spark, text = docs.sparkSession, F.col(text_col).cast("string")
+    tokens = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+    # Texts are read and counted once. The document stays in a struct of its own, so that no column can clash with ours.
+    told = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "mix")).alias("document"),
+        F.struct(domain.alias("domain"), F.col("lang"), F.col("source")).alias("leaf"),
+        tokens.alias("n"),
+        F.xxhash64(F.col(id_col), text).alias("key"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    told = Table(told, "mix-documents").df
+    sizes = told.groupBy("leaf").agg(F.sum("n").alias("tokens")).limit(MAX_LEAVES + 1).collect()
     if len(sizes) > MAX_LEAVES:
         raise ValueError(f"over {MAX_LEAVES} leaves: group the sources")
-    leaves = {tuple(r)[:3]: r["tokens"] for r in sizes}
+    leaves = {tuple(r["leaf"]): r["tokens"] for r in sizes}
     budgets = plan_budgets(leaves, weights, int(fraction * sum(leaves.values())), max_epochs)
-    plan = [(*leaf, b // leaves[leaf], b % leaves[leaf]) for leaf, b in budgets.items() if b]
-    spark, kinds = docs.sparkSession, {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    shape = ", ".join(f"{x} {kinds[x]}" for x in level)
-    plan = F.broadcast(spark.createDataFrame(plan, f"{shape}, full bigint, rest bigint"))  # at most MAX_LEAVES rows
-
-    def with_plan(df: DataFrame, side: DataFrame, more: Column | None = None) -> DataFrame:
-        on = [df[x].eqNullSafe(side[x]) for x in level] + ([] if more is None else [more])
-        joined = df.join(side, on)
-        return joined.select(*(df[c] for c in df.columns), *(side[c] for c in side.columns if c not in level))
-
-    # The order of the last epoch is set by the seed and that epoch's number.
-    order = F.xxhash64(F.lit(seed), F.col("full") + 1, F.col(id_col), F.col(n))
-    planned = with_plan(rows.filter(F.col(n) > 0), plan).withColumn(h, order).withColumn(slice_, F.shiftrightunsigned(h, 64 - SLICE_BITS))
-    sums = planned.filter("rest > 0").groupBy(*level, slice_).agg(F.sum(n).alias("in_slice"), F.first("rest").alias("need"))
-    before = F.sum("in_slice").over(Window.partitionBy(*level).orderBy(slice_)) - F.col("in_slice")
-    ends = sums.withColumn("before", before).filter("before < need AND before + in_slice >= need").select(*level, F.col(slice_).alias("end_slice"), "before")
-    ends = Table(ends, "mix-ends")
-
-    whole = planned.select("*", F.lit(None).cast("bigint").alias("taken"))
-    told = whole.join(F.broadcast(ends.df), [whole[x].eqNullSafe(ends.df[x]) for x in level], "left").select(*(whole[c] for c in whole.columns), "end_slice", "before")
-    at_end = Window.partitionBy(*level).orderBy(h, id_col, n).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    full = told.filter("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("full")))).withColumn("taken", F.col(n))
-    part = told.filter("rest > 0").withColumn("epoch", F.col("full") + 1)
-    sure = part.filter(F.col(slice_) < F.col("end_slice")).withColumn("taken", F.col(n))
-    last = part.filter(F.col(slice_) == F.col("end_slice")).withColumn("taken", F.least(F.col(n), F.col("rest") - F.col("before") - F.sum(n).over(at_end) + F.col(n))).filter("taken > 0")
-    out = full.unionByName(sure).unionByName(last)
-    mix = F.struct(F.col(level[0]).alias("domain"), F.col(n).alias("n_tokens"), "epoch", "taken").alias("mix")
-    return out.select(*(c for c in docs.columns if c != "mix"), mix)
+    plan = [(leaf, b // leaves[leaf], b % leaves[leaf]) for leaf, b in budgets.items() if b]
+    plan = F.broadcast(spark.createDataFrame(plan, f"leaf {told.schema['leaf'].dataType.simpleString()}, full bigint, rest bigint"))  # at most MAX_LEAVES rows
+
+    # Structs are equal if their fields are, null ones too. The order of the last epoch is set by the seed and its number.
+    planned = told.filter("n > 0").join(plan, "leaf").withColumn("h", F.xxhash64(F.lit(seed), F.col("full") + 1, "key"))
+    ends = F.broadcast(_prefix_ends(planned.filter("rest > 0").select("leaf", "n", "h", "rest")))  # at most MAX_LEAVES rows
+    planned = planned.join(ends, "leaf", "left").withColumn("at", F.shiftrightunsigned("h", 64 - SLICE_BITS * STEPS) - F.col("slice"))
+    upto = F.sum("n").over(Window.partitionBy("leaf").orderBy("h", "key", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    left = F.col("rest") - F.col("before") - (upto - F.col("n"))
+    last = planned.filter("at = 0").select("row", F.least("n", left).alias("part")).filter("part > 0")
+    planned = planned.join(small_side(Table(last, "mix-last").df), "row", "left")
+
+    part = F.when(F.col("at") < 0, F.col("n")).otherwise(F.coalesce("part", F.lit(0)))
+    each = planned.withColumn("part", part).withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("full") + 1)))
+    each = each.withColumn("taken", F.when(F.col("epoch") <= F.col("full"), F.col("n")).otherwise(F.col("part"))).filter("taken > 0")
+    mix = F.struct(F.col("leaf.domain").alias("domain"), F.col("n").alias("n_tokens"), "epoch", "taken").alias("mix")
+    return each.select("document.*", mix)
