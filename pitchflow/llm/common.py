@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast by a join on ids (about 16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Keys whose rows are joined where they are, those with the most rows; no other key has over 1 / HOT_KEYS of all rows.
-HOT_KEYS = 10_000
+#: Keys whose rows are joined where they are, those with the most rows, if they have over HOT_ROWS of them;
+#: no other key has over 1 / HOT_KEYS of all rows.
+HOT_KEYS, HOT_ROWS = 10_000, 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,12 +87,14 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def join_counted(rows: DataFrame, side: DataFrame, key: list[str], count: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``side``, which has one row a key and in ``count`` how many rows the key has in ``rows``.
 
-    The HOT_KEYS keys with the most rows are broadcast, so that the rows of a hot key stay in their
-    tasks; all others are dealt by key. ``how`` is inner, left or left_semi. ``count`` isn't returned.
+    The HOT_KEYS keys with the most rows, of those with over HOT_ROWS, are broadcast, so that the rows of
+    a hot key stay in their tasks; all others are dealt by key. ``how`` is inner, left or left_semi. ``count`` isn't returned.
     ``rows`` and ``side`` are read twice.
     """
     plain = side.drop(count)
-    hot = Table(side.filter(F.col(count) > 1).orderBy(F.desc(count), *key).limit(HOT_KEYS).drop(count), "hot-keys").df
+    hot = Table(side.filter(F.col(count) > HOT_ROWS).orderBy(F.desc(count), *key).limit(HOT_KEYS).drop(count), "hot-keys").df
+    if hot.isEmpty():
+        return rows.join(plain, key, how)
     names = F.broadcast(hot.select(*key))
     rest = rows.join(names, key, "left_anti").join(plain.join(names, key, "left_anti"), key, how)
     return rows.join(F.broadcast(hot), key, "inner" if how == "left" else how).unionByName(rest)

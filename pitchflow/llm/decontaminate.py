@@ -7,6 +7,7 @@ each place that a hit suggests is verified by Myers' bit-parallel edit distance.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,8 +21,8 @@ from .common import Table, bounded_batches
 
 #: Edits allowed for each 100 characters of an item.
 EDITS_PER_100 = 8
-#: Items go to the executors in slices of about so many characters, so that what is broadcast is bounded.
-SLICE_CHARS = 8 << 20
+#: Items go to the executors in slices of about so many characters, so that a worker's automaton is bounded.
+SLICE_CHARS = 2 << 20
 
 
 def normalise(text: str | None) -> str:
@@ -111,6 +112,17 @@ class Matcher:
         return out
 
 
+#: The matcher that this Python worker built last, and for which slice.
+_held: list = [None, None]
+
+
+def _matcher(shared, name: str, edits_per_100: int) -> Matcher:
+    """The slice's matcher, built once in each Python worker and not in each task."""
+    if _held[0] != name:
+        _held[:] = name, Matcher([text for _, text in shared.value], edits_per_100)
+    return _held[1]
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_per_100: int = EDITS_PER_100) -> DataFrame:
     """Which test items each document holds, whole, with at most ``edits_per_100`` percent of edits.
 
@@ -118,6 +130,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     text in lower case with single spaces): one row per document row and item.
 
     * Null, empty or blank texts and items match nothing. Items with a null id are matched too.
+    * A text may have any length. Other columns than the two named aren't read.
     * Repeated documents and repeated items each give their own rows.
     * Empty tables give an empty result.
     """
@@ -126,28 +139,31 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([texts.schema["doc_id"], benchmark.schema["item_id"], T.StructField("edits", T.IntegerType()), T.StructField("end", T.LongType())])
     found = None
-    for rows in _slices(benchmark):
-        part = texts.mapInArrow(_search(spark.sparkContext.broadcast(rows), edits_per_100, schema), schema)
+    for rows, last in _slices(benchmark):
+        shared = spark.sparkContext.broadcast(rows)
+        part = texts.mapInArrow(_search(shared, edits_per_100, schema), schema)
+        if not last:  # one slice's items and automata at a time
+            part = Table(part, "found").df
+            shared.unpersist()
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _slices(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """Ids and texts of the test items in slices of about SLICE_CHARS characters; one empty slice if there are none."""
+def _slices(benchmark: DataFrame) -> Iterator[tuple[list[tuple], bool]]:
+    """Ids and texts of the test items in slices of about SLICE_CHARS characters, and whether it is the last; one empty slice if there are none."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     n = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // SLICE_CHARS
     for k in range(n):
-        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], k + 1 == n
 
 
 def _search(shared, edits_per_100: int, schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kinds = [to_arrow_type(schema[c].dataType) for c in ("doc_id", "item_id")]
+    kinds, name = [to_arrow_type(schema[c].dataType) for c in ("doc_id", "item_id")], uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        matcher = Matcher([text for _, text in items], edits_per_100)
+        items, matcher = shared.value, _matcher(shared, name, edits_per_100)
         for batch in batches:
             rows = [(i, *m) for i, text in enumerate(batch.column("text").to_pylist()) for m in matcher.find(text)]
             at = pa.array([r[0] for r in rows], pa.int32())
@@ -157,8 +173,10 @@ def _search(shared, edits_per_100: int, schema: T.StructType):
 
 
 def _clean(shared, edits_per_100: int):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher([text for _, text in shared.value], edits_per_100)
+        matcher = _matcher(shared, name, edits_per_100)
         for batch in batches:
             texts = batch.column("text").cast(pa.string()).to_pylist()
             yield batch.filter(pa.array([not matcher.find(text) for text in texts], pa.bool_()))
@@ -167,10 +185,16 @@ def _clean(shared, edits_per_100: int):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text holds a test item. Each row is judged by its own text, whatever its id."""
+    """``docs`` without the rows whose text holds a test item. Each row is judged by its own text, whatever its id.
+
+    All columns come back, whatever their names; null and empty texts, and every row if there are no items, stay.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
-    for k, rows in enumerate(_slices(benchmark)):
-        before = Table(docs, "clean").df if k else docs  # one slice's automaton in a task at a time
-        docs = before.mapInArrow(_clean(spark.sparkContext.broadcast(rows), EDITS_PER_100), docs.schema)
+    for rows, last in _slices(benchmark):
+        shared = spark.sparkContext.broadcast(rows)
+        docs = docs.mapInArrow(_clean(shared, EDITS_PER_100), docs.schema)
+        if not last:  # one slice's items and automata at a time
+            docs = Table(docs, "clean").df
+            shared.unpersist()
     return docs

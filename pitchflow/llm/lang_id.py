@@ -24,7 +24,8 @@ from .shingles import byte_view, chunks
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: The training sample: about so many documents of each language, so many windows of each.
 DOCS_PER_LANG, WINDOWS_PER_DOC = 240, 6
-MAX_LANGS = 200
+#: The sample comes to the driver (about 370 kB a language), so that more languages than this are an error.
+MAX_LANGS = 1000
 EPOCHS, BATCH, RATE = 10, 128, 0.01
 UNDETERMINED = "und"
 #: Bytes of text that go through the filters at once.
@@ -40,14 +41,44 @@ class ByteConvNet:
     dense_bias: np.ndarray
     _pairs: list = field(default_factory=list, repr=False)
 
+    @classmethod
+    def untrained(cls, langs: list[str], rng: np.random.Generator) -> ByteConvNet:
+        n = len(WIDTHS) * FILTERS
+        tables = [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS]
+        return cls(langs, tables, np.zeros(n, np.float32), rng.normal(0, 0.2, (n, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32))
+
+    def parameters(self) -> list[np.ndarray]:
+        return [*self.tables, self.bias, self.dense, self.dense_bias]
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        """Of the cross-entropy, summed by ``weight``, for each of the parameters. ``x`` has one window a row."""
+        rows, pooled, where = np.arange(len(x)), [], []
+        for table in self.tables:
+            w = len(table)
+            conv = sum(table[j][x[:, j : WINDOW - w + 1 + j]] for j in range(w))
+            where.append(conv.argmax(axis=1))
+            pooled.append(np.take_along_axis(conv, where[-1][:, None], 1)[:, 0])
+        raw = np.concatenate(pooled, axis=1) + self.bias
+        hidden = np.maximum(raw, 0)
+        p = _softmax(hidden @ self.dense + self.dense_bias)
+        p[rows, y] -= 1
+        p *= weight[:, None]
+        back, out = (p @ self.dense.T) * (raw > 0), []
+        for k, table in enumerate(self.tables):
+            g, part = np.zeros_like(table), back[:, k * FILTERS : (k + 1) * FILTERS]
+            for j in range(len(table)):
+                np.add.at(g[j], (x[rows[:, None], where[k] + j], np.arange(FILTERS)), part)
+            out.append(g)
+        return [*out, back.sum(axis=0), hidden.T @ p, p.sum(axis=0)]
+
     @classmethod
     def train(cls, windows: np.ndarray, labels: list[str], seed: int = 7) -> ByteConvNet:
-        """Adam on the cross-entropy. ``windows`` has one row of WINDOW bytes for each label."""
+        """Adam on the cross-entropy, languages weighing alike. ``windows`` has one row of WINDOW bytes for each label."""
         rng, langs = np.random.default_rng(seed), sorted(set(labels))
-        y = np.array([langs.index(x) for x in labels])
-        n = len(WIDTHS) * FILTERS
-        net = cls(langs, [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros(n, np.float32), rng.normal(0, 0.2, (n, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32))
-        params = [*net.tables, net.bias, net.dense, net.dense_bias]
+        number = {x: i for i, x in enumerate(langs)}
+        y = np.array([number[x] for x in labels])
+        net = cls.untrained(langs, rng)
+        params = net.parameters()
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
         share = 1 / np.bincount(y, minlength=len(langs))[y]
         share *= len(y) / share.sum()
@@ -55,28 +86,8 @@ class ByteConvNet:
         for _ in range(EPOCHS):
             order = rng.permutation(len(y))
             for at in range(0, len(y), BATCH):
-                rows = order[at : at + BATCH]
-                x, step = windows[rows], step + 1
-                pooled, where = [], []
-                for table in net.tables:
-                    w = len(table)
-                    conv = sum(table[j][x[:, j : WINDOW - w + 1 + j]] for j in range(w))
-                    where.append(conv.argmax(axis=1))
-                    pooled.append(np.take_along_axis(conv, where[-1][:, None], 1)[:, 0])
-                raw = np.concatenate(pooled, axis=1) + net.bias
-                hidden = np.maximum(raw, 0)
-                p = _softmax(hidden @ net.dense + net.dense_bias)
-                p[np.arange(len(rows)), y[rows]] -= 1
-                p *= (share[rows] / len(rows))[:, None]
-                back = (p @ net.dense.T) * (raw > 0)
-                grads = []
-                for k, table in enumerate(net.tables):
-                    g, part = np.zeros_like(table), back[:, k * FILTERS : (k + 1) * FILTERS]
-                    for j in range(len(table)):
-                        np.add.at(g[j], (x[np.arange(len(rows))[:, None], where[k] + j], np.arange(FILTERS)), part)
-                    grads.append(g)
-                grads += [back.sum(axis=0), hidden.T @ p, p.sum(axis=0)]
-                for param, grad, (m, v) in zip(params, grads, moments, strict=True):
+                rows, step = order[at : at + BATCH], step + 1
+                for param, grad, (m, v) in zip(params, net.gradients(windows[rows], y[rows], share[rows] / len(rows)), moments, strict=True):
                     m += 0.1 * (grad - m)
                     v += 0.001 * (grad * grad - v)
                     param -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
@@ -132,10 +143,11 @@ def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """WINDOWS_PER_DOC windows of each text at places drawn over the whole of it."""
     for batch in batches:
         data, offs = byte_view(batch.column("text"))
+        draws = batch.column("draw").to_numpy(zero_copy_only=False)
         rows, windows = [], []
         for i in range(len(batch)):
             length = int(offs[i + 1] - offs[i])
-            rng = np.random.default_rng(length)
+            rng = np.random.default_rng(int(draws[i]) % (1 << 63))
             for at in rng.integers(0, max(1, length - WINDOW + 1), min(WINDOWS_PER_DOC, 1 + length // WINDOW)):
                 rows.append(i)
                 windows.append(data[offs[i] + at : min(offs[i] + at + WINDOW, offs[i + 1])].tobytes())
@@ -143,17 +155,19 @@ def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def train_language_id(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteConvNet | None:
-    """Trains on a bounded sample: about DOCS_PER_LANG documents of each of at most MAX_LANGS languages.
+    """Trains on a bounded sample: about DOCS_PER_LANG documents of each language, WINDOWS_PER_DOC windows of each.
 
-    Rows with a null text or language are left out; without any row left there is no network.
-    ``key_col`` only takes part in drawing the sample.
+    Rows with a null text or language are left out; without any row left there is no network. Repeated rows
+    are drawn together. ``key_col`` only takes part in drawing the sample. Over MAX_LANGS languages are an error.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(key_col, text_col).alias("draw")).filter("lang IS NOT NULL AND length(text) > 0")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
     if not sizes:
         return None
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages")
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, DOCS_PER_LANG / r["count"])))])
-    drawn = rows.filter(F.pmod("draw", F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003).select("text", "lang").limit(2 * DOCS_PER_LANG * len(sizes))
+    drawn = rows.filter(F.pmod("draw", F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003).select("text", "lang", "draw").limit(2 * DOCS_PER_LANG * len(sizes))
     got = drawn.mapInArrow(_sample_windows, "lang string, bytes binary").collect()
     got = sorted((r["lang"], bytes(r["bytes"])) for r in got)
     if not got:
@@ -166,7 +180,9 @@ def identify_languages(docs: DataFrame, net: ByteConvNet | None, text_col: str =
     """Adds ``lang_pred`` and ``score`` (its probability, 0 to 1) to the rows of ``docs``.
 
     A null text, one without a letter, and every text if there is no network, is ``und`` with score 0.
-    Columns of these two names are replaced; all others pass through, the text with any length.
+    Of languages that score alike the first by name is taken; repeated rows are judged alike, and an empty
+    table gives an empty result. Columns of these two names are replaced; all others pass through, the text
+    with any length.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

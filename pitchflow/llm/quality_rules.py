@@ -156,12 +156,14 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     * A null, empty or blank text has no words, fails the base rules and isn't kept.
     * A row that passes the base rules is kept unless a rule of the list holds.
-    * Repeated rows are judged alike; rows with a null id are judged but not learned from.
+    * Repeated rows are judged alike and learned from once; of labels of one id that disagree the best holds.
+      Rows with a null id are judged but not learned from.
+    * A text may have any length; other columns than the two named aren't read.
     * Without labels the list is empty; an empty table gives an empty result.
     """
     stats = Table(text_statistics(docs, id_col, text_col), "statistics")
-    bad = labels.select("doc_id", (F.col("quality") == 0).alias("bad"))
-    rules = learn_decision_list(stats.df.join(bad, "doc_id"))
+    bad = labels.filter("quality IS NOT NULL").groupBy("doc_id").agg((F.max("quality") == 0).alias("bad"))
+    rules = learn_decision_list(stats.df.join(bad, "doc_id").dropDuplicates(["doc_id", *stats.df.columns]))
     number = F.coalesce(*(F.when(_all(r), F.lit(i)) for i, r in enumerate(rules)), F.lit(None).cast("int"))
     judged = _features(stats.df).withColumns({"base_failed": base_failed(), "rule": number})
     return judged.withColumn("kept", F.when(F.col("base_failed"), False).when(F.col("rule").isNotNull(), False).otherwise(True))

@@ -28,6 +28,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 END = 50_256
 SEQ_LEN = 512
 SHARD_BYTES = 64 << 20
+#: Tasks that write shards, at most; beyond it a task writes a range of shards, one after the other.
+WRITE_TASKS = 20_000
 #: Texts longer than this are encoded in parts, cut before a space or line end, as the pattern cuts there too.
 PART_CHARS = 1 << 20
 ROUNDS = 6
@@ -133,6 +135,8 @@ def write_training_order(docs: DataFrame, out_dir: str | None = None, key: int =
     input split follow one another, each closed by the end id; the split's last record is filled with it.
 
     * A null or empty text has no tokens. Repeated rows are written as often as they occur.
+    * A long text goes on through as many sequences as it needs; its ids must fit in a task.
+    * Other columns than the two named aren't read.
     * How texts share sequences depends on how the input is split; that every text is whole, in
       successive numbers, and that the slots are 0..N-1 does not.
     * An empty table writes no shard and gives an empty result.
@@ -162,8 +166,11 @@ def write_training_order(docs: DataFrame, out_dir: str | None = None, key: int =
     pack = T.StructType([T.StructField("shard", T.LongType()), T.StructField("slots", longs), T.StructField("numbers", longs), T.StructField("doc_ids", T.ArrayType(id_list.dataType)), T.StructField("lens", T.ArrayType(int_list.dataType)), T.StructField("blob", T.BinaryType())])
     packed = numbered.mapInArrow(_pack_by_shard(starts, total, key, per_shard), pack)
     done = T.StructType([*(T.StructField(c, T.LongType()) for c in ("slot", "number", "shard", "offset")), id_list, int_list])
-    # Shard k is partition k: one task fills it, whatever its number.
-    ranged = packed.repartitionById(n_shards, F.col("shard").cast("int"))
+    # A task has a range of shards and fills them one by one.
+    tasks = min(n_shards, WRITE_TASKS)
+    ranged = packed.repartitionById(tasks, F.expr(f"shard * {tasks} div {n_shards}").cast("int"))
+    if tasks < n_shards:
+        ranged = ranged.sortWithinPartitions("shard")
     return ranged.mapInArrow(_write_shards(base, total, per_shard, stride), done)
 
 

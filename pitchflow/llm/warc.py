@@ -186,17 +186,22 @@ def page_captures(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     * A null html is an empty payload; a null URL has no target URI; both may repeat.
     * Of pages with equal payloads that with the smallest page_id is the response. Rows that repeat that
       id are responses too. Null ids come last: they are revisits unless all ids of the payload are null.
-    * An empty table gives an empty result.
+    * A payload may have any length that a task can hold. Other columns than page_id, url and html aren't read.
+    * The archives stay where they were written. An empty table gives an empty result.
     """
-    manifest = write_archives(pages, id_col)
-    # Each page's own row of the archives, without payloads: what the result needs of them has been checked on reading.
-    records = Table(read_archives(manifest.df, with_payload=False), "warc-records")
-    kind = pages.schema[id_col].dataType
+    return captures_of(write_archives(pages, id_col).df, pages.schema[id_col].dataType)
+
+
+def captures_of(manifest: DataFrame, kind: T.DataType) -> DataFrame:
+    """The rows of ``page_captures`` from the archives of ``manifest(file)``; a payload that isn't that of its digest is an error."""
+    # Each page's own row of the archives, without payloads: their sizes and digests are taken on reading.
+    records = Table(read_archives(manifest, with_payload=False), "warc-records")
     whole = assemble(records.df)
+    damaged = F.raise_error(F.concat(F.lit("payload differs from its digest in "), "record_id")).cast("string")
     return whole.select(
         F.element_at("metadata.fields", "page-id").cast(kind).alias("page_id"),
         F.coalesce("payload_bytes", "origin.payload_bytes").alias("payload_bytes"),
-        F.col("digest").alias("payload_digest"),
+        F.when(~F.col("digest_ok"), damaged).otherwise(F.col("digest")).alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.when(F.col("type") == "revisit", F.col("origin.page_id").cast(kind)).alias("refers_to"),
     )
