@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table
+from .common import Table, join_counted
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """The smallest neighbour of each node, and how many it has: a third of all nodes may hang on one."""
+    return edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each neighbour above a node links to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = _least(both).withColumn("m", F.least("a", "m"))
+    return join_counted(both, least, ["a"], "n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its lower neighbours link to the lowest of them. Edges go from a down to b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    lower = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _least(edges)
+    lower = join_counted(edges, least, ["a"], "n").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return lower.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -35,5 +40,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         if sign == before or not sign["n"]:
             return now.df.select(F.col("a").alias("id"), F.col("b").alias("component"))
         before, last = sign, now
-        now = Table(_small_star(_large_star(last.df)), "edges")
+        large = Table(_large_star(last.df), "edges")
+        now = Table(_small_star(large.df), "edges")
         last.drop()
+        large.drop()

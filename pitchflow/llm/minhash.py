@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, bounded_batches, drop_ids, small_side
+from .common import HOT_ROWS, Table, bounded_batches, drop_ids, join_counted, small_side
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -25,8 +25,11 @@ BINS, BIN_BITS = 128, 7
 BANDS, ROWS = 25, 5
 #: Buckets up to this size are compared pair by pair (at most half as many pairs a row), larger ones by stars.
 SMALL_BUCKET = 12
-#: Sets in a block, and tasks that share the block pairs of one leader, when a star leaves members apart.
-BLOCK, SALTS = 64, 16
+#: Edges of one node that are verified together; its set is sent once for each such part of its edges.
+STAR = 1024
+#: When a star leaves members apart: sets in a block, its bytes (about: a longer set is alone with few others),
+#: and blocks of either side that a task compares.
+BLOCK, BLOCK_BYTES, TILE = 64, 16 << 20, 16
 #: Column that numbers rows while they are reduced to one of each group.
 ROW = "_near_row"
 
@@ -99,13 +102,21 @@ def _linked(percent: int):
     return run
 
 
+def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The non-empty shingle sets of the texts with these ids."""
+    schema = T.StructType([texts.schema["id"], T.StructField("shingles", T.BinaryType())])
+    return texts.join(small_side(ids.distinct()), "id", "left_semi").mapInArrow(_sets, schema).filter(F.length("shingles") > 0)
+
+
 def _verified(texts: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """The edges whose whole shingle sets are similar enough."""
-    nodes = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    """The edges (a, b) whose whole shingle sets are similar enough. b may have many edges, a has few."""
     kind = texts.schema["id"].dataType
-    sets = texts.join(small_side(nodes), "id", "left_semi").mapInArrow(_sets, T.StructType([T.StructField("id", kind), T.StructField("shingles", T.BinaryType())]))
-    sets = sets.filter(F.length("shingles") > 0)
-    pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    sets = _sets_of(texts, edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))))
+    degree = edges.groupBy("b").agg(F.count("*").alias("n"), F.ceil(F.count("*") / STAR).alias("salts"))
+    dealt = join_counted(edges, degree, ["b"], "n").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
+    centres = sets.join(degree.select(F.col("b").alias("id"), "salts"), "id")
+    centres = centres.select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
+    pairs = dealt.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(centres, ["b", "salt"])
     return pairs.select("a", "b", "sa", "sb").mapInArrow(_linked(percent), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
@@ -146,18 +157,26 @@ def _block_pairs(percent: int):
 def _block_links(texts: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     """Links of the members apart from their leader's group with all members of that leader.
 
-    ``stars(leader, id, c, head)``. Blocks of about BLOCK sets are joined by leader, so that a group of m
-    members with r apart takes r * m / BLOCK**2 rows; the left blocks are dealt to SALTS tasks a leader.
+    ``stars(leader, id, c, head)``. Both sides are cut in blocks of about BLOCK sets and BLOCK_BYTES, and the
+    blocks in tiles of TILE: a task compares two tiles, and a block is sent once for each tile of the other
+    side. A group of m members with r apart takes r * m / BLOCK**2 rows.
     """
     kind = texts.schema["id"].dataType
-    sets = texts.join(small_side(stars.select("id").distinct()), "id", "left_semi").mapInArrow(_sets, T.StructType([T.StructField("id", kind), T.StructField("shingles", T.BinaryType())])).filter(F.length("shingles") > 0)
-    rows = Table(stars.join(sets, "id"), "star-sets").df
-    sizes = rows.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = rows.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = Table(stars.join(_sets_of(texts, stars.select("id")), "id"), "star-sets").df
+    away, size = F.col("c") != F.col("head"), F.length("shingles")
+    blocks = lambda n, total: F.greatest(F.ceil(n / BLOCK), F.ceil(total / BLOCK_BYTES), F.lit(1))
+    sizes = rows.groupBy("leader").agg(F.count("*").alias("n"), blocks(F.count("*"), F.sum(size)).alias("rights"), blocks(F.count_if(away), F.coalesce(F.sum(F.when(away, size)), F.lit(0))).alias("lefts"))
+    dealt = join_counted(rows, sizes, ["leader"], "n")
     member = F.collect_list(F.struct("id", "c", "shingles"))
-    left = dealt.filter("c != head").groupBy("leader", "block").agg(member.alias("left")).withColumn("salt", F.pmod("block", F.lit(SALTS)))
-    right = dealt.groupBy("leader", "block").agg(member.alias("right")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    pairs = left.drop("block").join(right.drop("block"), ["leader", "salt"]).select("left", "right")
+    tiles = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / TILE)))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.col(f"{name}s"))
+        other = "rights" if name == "left" else "lefts"
+        made = df.groupBy("leader", other, block.alias("block")).agg(member.alias(name))
+        return made.select("leader", name, F.floor(F.col("block") / TILE).alias(f"{name}_tile"), tiles(other).alias(f"{other[:-1]}_tile"))
+
+    pairs = side(dealt.filter(away), "left").join(side(dealt, "right"), ["leader", "left_tile", "right_tile"]).select("left", "right")
     return pairs.mapInArrow(_block_pairs(percent), T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -180,43 +199,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = Table(texts.mapInArrow(_sketches, schema), "sketches")
     full = sketches.df.filter("n > 0 AND id IS NOT NULL")
     same = ["n", "fp1", "fp2"]
-    classes = full.groupBy(*same).agg(F.min("id").alias("rep"))
-
-    banded = full.join(classes.withColumnRenamed("rep", "id"), [*same, "id"], "left_semi").select(F.explode("bands").alias("key"), "id", "n")
-    shared = banded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    members = Table(banded.join(shared, "key"), "members")
-    fits = F.expr(f"100 * least(na, nb) >= {int(percent)} * greatest(na, nb)")
-
-    def pairs(left: DataFrame, right: DataFrame, on) -> DataFrame:
-        l, r = (x.select("key", F.col("id").alias(i), F.col("n").alias(k)) for x, i, k in ((left, "ia", "na"), (right, "ib", "nb")))
-        return l.join(r, "key").filter(on & fits).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
-
-    few, many = members.df.filter(F.col("m") <= SMALL_BUCKET), members.df.filter(F.col("m") > SMALL_BUCKET)
-    weight = members.df.groupBy("id").agg(F.sum("m").alias("w"))
-    leader = many.join(weight, "id").groupBy("key").agg(F.min_by(F.struct("id", "n"), F.struct(-F.col("w"), "id")).alias("x")).select("key", "x.*")
-    unlike = F.col("ia") != F.col("ib")
-    stars = Table(many.select("key", "id").join(leader.select("key", F.col("id").alias("leader")), "key").filter("id != leader").select("leader", "id").distinct(), "stars")
-    tried = Table(pairs(few, few, F.col("ia") < F.col("ib")).unionByName(pairs(many, leader, unlike)).distinct(), "tried")
-
-    own = full.join(classes, same).select("id", "rep").distinct()
-    twice = own.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("id", "lo")
-    repeated = own.join(twice, "id").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
-    links = Table(_verified(texts, tried.df, percent).unionByName(repeated), "links")
-    groups = connected_components(links.df)
+    # Copies are one row from here on; written, so that what follows is dealt by other keys than what copies share.
+    classes = Table(full.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes").df
+    mapped = Table(join_counted(full.select("id", *same), classes.drop("bands"), same, "copies").select("id", "n", "rep"), "class-of").df
+
+    banded = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "n")
+    shared = banded.groupBy("key").agg(F.count("*").alias("m"), F.count("*").alias("rows")).filter("m > 1")
+    members = Table(join_counted(banded, shared, ["key"], "rows"), "members").df
+    fits = lambda x, y: 100 * F.least(x, y) >= int(percent) * F.greatest(x, y)
+
+    few, many = members.filter(F.col("m") <= SMALL_BUCKET), members.filter(F.col("m") > SMALL_BUCKET)
+    weight = members.groupBy("id").agg(F.sum("m").alias("w"))
+    leader = many.join(weight, "id").groupBy("key", "m").agg(F.min_by(F.struct("id", "n"), F.struct(-F.col("w"), "id")).alias("x"))
+    leader = leader.select("key", "m", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n"))
+    stars = Table(join_counted(many.select("key", "id", "n"), leader, ["key"], "m").filter("id != leader").drop("key").distinct(), "stars").df
+    a, b = (few.select("key", F.col("id").alias(i), F.col("n").alias(n)) for i, n in (("a", "na"), ("b", "nb")))
+    small = a.join(b, "key").filter((F.col("a") < F.col("b")) & fits("na", "nb")).select("a", "b")
+    large = stars.filter(fits("n", "leader_n")).select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    tried = Table(small.unionByName(large).distinct(), "tried").df
+
+    own = mapped.select("id", "rep").distinct()
+    twice = own.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("m")).filter("lo < hi").drop("hi")
+    repeated = join_counted(own, twice, ["id"], "m").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
+    links = Table(_verified(texts, tried, percent).unionByName(repeated), "links").df
+    groups = connected_components(links)
 
     # Members that no star joined to their leader's group are compared with all members of the leader, in blocks.
-    group_of = lambda c: F.coalesce("component", c)
-    stars = stars.df.join(groups.withColumnRenamed("id", "leader"), "leader", "left").select("leader", "id", group_of("leader").alias("head"))
-    stars = Table(stars.join(groups, "id", "left").select("leader", "id", group_of("id").alias("c"), "head"), "stars")
-    apart = stars.df.filter("c != head")
-    if not apart.isEmpty():
-        more = Table(_block_links(texts, stars.df.join(apart.select("leader").distinct(), "leader", "left_semi"), percent), "links")
-        groups = connected_components(links.df.unionByName(more.df))
-
-    by_rep = sketches.df.join(classes, same, "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
-    found = by_rep.join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    out = found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
-    return out
+    heads = stars.groupBy("leader").agg(F.count("*").alias("m")).join(groups.withColumnRenamed("id", "leader"), "leader", "left")
+    heads = heads.select("leader", "m", F.coalesce("component", "leader").alias("head"))
+    stars = join_counted(stars.select("leader", "id"), heads, ["leader"], "m").join(groups, "id", "left")
+    stars = Table(stars.select("leader", "id", F.coalesce("component", "id").alias("c"), "head"), "stars").df
+    split = stars.groupBy("leader").agg(F.count("*").alias("m"), F.count_if(F.col("c") != F.col("head")).alias("away")).filter("away > 0").drop("away")
+    if not split.isEmpty():
+        more = Table(_block_links(texts, join_counted(stars, split, ["leader"], "m", "left_semi"), percent), "links").df
+        groups = connected_components(links.unionByName(more))
+
+    # Classes of many copies are told too if no link leads to them, so that their rows stay where they are.
+    told = classes.groupBy("rep").agg(F.sum("copies").alias("copies")).join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+    found = join_counted(mapped, told.filter((F.col("copies") > HOT_ROWS) | F.col("component").isNotNull()), ["rep"], "copies", "left")
+    found = found.select("id", "n", F.coalesce("component", "rep").alias("component_id"))
+    alone = sketches.df.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
+    out = found.unionByName(alone)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
