@@ -1,6 +1,6 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over folded bytes, so that an n-gram is a number below 41**n. Trusted text is counted in
+The model is over bytes, so that an n-gram is a number below 256**n. Trusted text is counted in
 full, each task summing before the shuffle, and the counts of every order stay sharded tables. Texts
 are written as numbered blocks; the n-grams that a block holds are joined with the counts, their
 contexts and ever shorter n-grams, and each block gets back the probabilities that it asked for. A
@@ -26,6 +26,8 @@ from .shingles import byte_view, chunks
 ORDER = 5
 #: Rows of a block are 2**BLOCK_BITS at most; a task holds the distinct n-grams of one block.
 BLOCK_BITS = 14
+#: Answers are written in row groups of so many bytes, so that one block of a folder can be read alone.
+GROUP_BYTES = 8 << 20
 #: Distinct n-grams that a task sums before it hands them on.
 TALLY = 2_000_000
 #: Of every FOLDS trusted documents, by a hash of the id, one isn't counted but sets the upper bound: a text that was counted scores too well.
@@ -34,20 +36,8 @@ FOLDS = 4
 LOW, HIGH, SLACK = 0.001, 0.995, 1.1
 
 
-def _fold_table() -> np.ndarray:
-    """Bytes to symbols: space, line end, a-z, capitals, digits, '.', ',', marks, symbols, other ASCII, and five classes of non-ASCII bytes."""
-    out = np.full(256, 34, dtype=np.int64)
-    out[[32, 9, 11, 12, 13]], out[10] = 0, 1
-    out[97:123] = np.arange(2, 28)
-    out[65:91], out[48:58] = 28, 29
-    for k, group in enumerate((b".", b",", b"!?", b"#*$%&|<>"), 30):
-        out[list(group)] = k
-    out[128:192] = 35 + np.arange(64) % 4
-    out[192:] = 39 + np.arange(64) % 2
-    return out
-
-
-FOLD, BASE = _fold_table(), 41
+#: Symbols are bytes as they are, so that no script and no way of writing is taken for another.
+BASE, START = 256, 10
 
 
 def grams(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,9 +45,9 @@ def grams(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, n
     lens = np.diff(offs)
     pad = order - 1
     text = np.repeat(np.arange(len(lens)), lens)
-    spread = np.ones(len(data) + pad * len(lens), dtype=np.int64)
+    spread = np.full(len(data) + pad * len(lens), START, dtype=np.int64)
     place = np.arange(len(data)) + pad * (text + 1)
-    spread[place] = FOLD[data]
+    spread[place] = data
     number = np.zeros(len(data), dtype=np.int64)
     for k in range(order):
         number = number * BASE + spread[place - (order - 1 - k)]
@@ -190,10 +180,10 @@ def _asked(order: int):
     return run
 
 
-def _answers(files: fs.FileSystem, folder: str) -> tuple[np.ndarray, np.ndarray]:
+def _answers(files: fs.FileSystem, folder: str, block: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of a block, in order, and the logs of their probabilities."""
     paths = [f.path for f in files.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet")]
-    got = pa.concat_tables([pq.read_table(x, columns=["gram", "log"], filesystem=files, partitioning=None) for x in paths])
+    got = pa.concat_tables([pq.read_table(x, columns=["gram", "log"], filters=[("block", "=", block)], filesystem=files, partitioning=None) for x in paths])
     gram, log = got["gram"].to_numpy(), got["log"].to_numpy()
     order = np.argsort(gram, kind="stable")
     return gram[order], log[order]
@@ -212,9 +202,10 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text
     blocks = Table(rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "blocks").df
     asked = Table(blocks.select("block", "text").mapInArrow(_asked(model.order), "block long, gram long"), "asked").df
     answers = asked.join(model.probabilities(asked), "gram").select("block", "gram", F.ln("p").cast("float").alias("log"))
-    base = new_path(spark, "answers")
-    answers.repartition("block").sortWithinPartitions("block", "gram").write.option("compression", "zstd").partitionBy("block").parquet(base)
-    order = model.order
+    base, order, buckets = new_path(spark, "answers"), model.order, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("block"), F.lit(buckets)).alias("bucket")
+    dealt = answers.select(bucket, "*").repartition(buckets, "bucket").sortWithinPartitions("bucket", "block", "gram")
+    dealt.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(base)
@@ -222,12 +213,13 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text
         for batch in batches:
             data, offs = byte_view(batch.column("text"))
             lens, total = np.diff(offs), np.zeros(len(batch))
+            folders = dict(zip(batch.column("block").to_pylist(), batch.column("bucket").to_pylist(), strict=True))
             for block, a, b in _block_chunks(batch.column("block").to_numpy(), offs):
                 number, text = grams(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], order)
                 if not len(number):
                     continue
                 if block != now:
-                    now, (known, logs) = block, _answers(files, f"{root}/block={block}")
+                    now, (known, logs) = block, _answers(files, f"{root}/bucket={folders[block]}", block)
                 at = np.minimum(np.searchsorted(known, number), len(known) - 1)
                 if not np.array_equal(known[at], number):
                     raise ValueError(f"block {block} lacks probabilities of its n-grams")
@@ -236,7 +228,7 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(lens), perplexity], names=["doc_id", "lang", "n_bytes", "perplexity"])
 
     schema = T.StructType([rows.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("perplexity", T.DoubleType())])
-    return blocks.mapInArrow(run, schema)
+    return blocks.select("*", bucket).mapInArrow(run, schema)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
