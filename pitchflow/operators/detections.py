@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitchflow.schema import VOTES
 
-#: Team anchors are one colour a label, so a plan can hold them all.
+#: Anchors that a row is compared with at once.
 ANCHORS = 1000
 
 
@@ -61,14 +61,60 @@ def track_majority(sightings: DataFrame) -> DataFrame:
 
 
 def nearest_anchor(vectors: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Label of the nearest anchor; ties to the lowest label. Anchors are one row a label, at most ANCHORS of them."""
-    table = anchors.limit(ANCHORS + 1).collect()
-    if len(table) > ANCHORS:
-        raise ValueError(f"over {ANCHORS} anchors")
-    each = F.array(*(F.struct(F.lit(r["anchor_label"]).alias("anchor_label"), F.array(*map(F.lit, r["anchor"])).cast("array<bigint>").alias("anchor")) for r in table))
-    both = vectors.select("*", F.inline(each)) if table else vectors.crossJoin(anchors)
-    d = F.aggregate(F.zip_with("vec", "anchor", lambda a, b: (a - b) * (a - b)), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return both.withColumn("d", d).groupBy("vec_id").agg(F.min_by(F.struct(F.col("anchor_label").alias("label"), F.col("d").alias("d2")), F.struct("d", "anchor_label")).alias("p")).select("vec_id", "p.*")
+    """Label of the nearest anchor; ties to the lowest label. ``anchors`` has one row a label.
+
+    A vector is compared with a block of ANCHORS anchors at a time in its own row. With one block, as with
+    colours of teams, nothing is shuffled. Without anchors the result is empty.
+    """
+    n = anchors.count()
+    blocks = -(-n // ANCHORS)
+    told = anchors.groupBy(F.pmod(F.xxhash64("anchor_label"), F.lit(max(1, blocks))).alias("block")).agg(F.collect_list(F.struct("anchor_label", "anchor")).alias("anchors"))
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
+    each = vectors.withColumn("block", F.explode(places)) if blocks > 1 else vectors.withColumn("block", F.lit(0).cast("bigint"))
+    far = lambda anchor: F.aggregate(F.zip_with("vec", anchor, lambda a, b: (a - b) * (a - b)), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    least = F.array_min(F.transform("anchors", lambda a: F.struct(far(a["anchor"]).alias("d2"), a["anchor_label"].alias("label"))))
+    found = each.join(F.broadcast(told) if blocks <= 1 else told, "block").select("vec_id", least.alias("p"))
+    if blocks > 1:
+        found = found.groupBy("vec_id").agg(F.min("p").alias("p"))
+    return found.select("vec_id", "p.label", "p.d2")
+
+
+def suppress(b: DataFrame, overlap: float = 0.5) -> DataFrame:
+    """Without the boxes that overlap a surer box of their frame and class, that stays, by more than ``overlap``."""
+    size = lambda x: (x["x2"] - x["x1"]) * (x["y2"] - x["y1"])
+    side = lambda p, q, c: F.greatest(F.lit(0.0), F.least(p[f"{c}2"], q[f"{c}2"]) - F.greatest(p[f"{c}1"], q[f"{c}1"]))
+    both = lambda p, q: side(p, q, "x") * side(p, q, "y")
+    covers = lambda p, q: both(p, q) > overlap * (size(p) + size(q) - both(p, q))
+    box = F.struct((-F.col("confidence")).alias("doubt"), "det_seq", "track_id", "x1", "y1", "x2", "y2")
+    found = b.groupBy("frame", "class_name").agg(F.sort_array(F.collect_list(box)).alias("boxes"))  # a frame's boxes are few
+    stays = F.aggregate("boxes", F.slice("boxes", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: covers(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
+    rows = found.select("frame", "class_name", F.explode(stays).alias("x")).select("frame", "class_name", "x.*")
+    return rows.select("frame", "det_seq", "track_id", "class_name", "x1", "y1", "x2", "y2", (-F.col("doubt")).alias("confidence"))
+
+
+def detect(b: DataFrame, ball: str, sure: float = 0.3, ball_sure: float = 0.1, overlap: float = 0.5) -> DataFrame:
+    """What is taken of a model's boxes: sure enough for their class, not suppressed, and of balls the surest of a frame."""
+    enough = F.col("confidence") >= F.when(F.col("class_name") == ball, ball_sure).otherwise(sure)
+    return best_of_singletons(suppress(b.filter(enough), overlap), (ball,))
+
+
+def crop_sums(pixels: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of the b, g and r of a crop's pixels without grass (hue 35 to 95, saturation from 60), and their number ``n``;
+    of all pixels if under 3 or 5 percent are left. ``pixels(crop, b, g, r, h, s)``."""
+    ok = ~(F.col("h").between(35, 95) & (F.col("s") >= 60))
+    c = pixels.groupBy("crop", *extra).agg(F.count("*").alias("every"), F.count_if(ok).alias("kept"), *(F.sum(x).alias(f"{x}_all") for x in "bgr"), *(F.sum(F.when(ok, F.col(x))).alias(f"{x}_kept") for x in "bgr"))
+    few = F.col("kept") < F.greatest(F.lit(3.0), 0.05 * F.col("every"))
+    return c.select("crop", *extra, F.when(few, F.col("every")).otherwise(F.col("kept")).alias("n"), *(F.when(few, F.col(f"{x}_all")).otherwise(F.col(f"{x}_kept")).alias(x) for x in "bgr"))
+
+
+def mean_colors(pixels: DataFrame) -> DataFrame:
+    return crop_sums(pixels).select("crop", *(F.round(F.col(x) / F.col("n"), 6).alias(x) for x in "bgr"))
+
+
+def anchor_colors(sightings: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Mean colour of each clicked player over the crops of the boxes that it was followed through. ``sightings(start_id, crop)``."""
+    pooled = sightings.join(crop_sums(pixels), "crop").groupBy("start_id").agg(*(F.sum(c).alias(c) for c in (*"bgr", "n")))
+    return pooled.select("start_id", *(F.round(F.col(x) / F.col("n"), 6).alias(x) for x in "bgr"))
 
 
 def parse_job_output(lines: DataFrame) -> DataFrame:
@@ -79,6 +125,17 @@ def parse_job_output(lines: DataFrame) -> DataFrame:
     return rows.withColumn("team", F.last("t", True).over(Window.partitionBy("job").orderBy("seq"))).drop("t")
 
 
+def progress(lines: DataFrame, frame_count: Column, low: float = 0.05, high: float = 0.7) -> DataFrame:
+    """How far a job is, from the frames that its output names, between ``low`` and ``high``; null before the first."""
+    done = F.least(F.max("frame") / frame_count, F.lit(1.0))
+    return parse_job_output(lines).groupBy("job").agg(F.max("frame").alias("frame"), F.round(low + done * (high - low), 6).alias("progress"))
+
+
+def parse_class_map(text: str) -> dict[int, int]:
+    """``a:b,c:d`` as a map of class numbers; blanks are passed over, anything else is an error."""
+    return {int(a): int(b) for a, b in (pair.split(":") for pair in text.replace(" ", "").split(",") if pair)}
+
+
 def curate_labels(lines: DataFrame, classes: dict[int, int]) -> DataFrame:
     """Label lines ``class x y w h`` with the classes mapped; others are dropped. ``lines(split, image, line)``."""
     table = F.create_map(*[F.lit(x) for kv in classes.items() for x in kv])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitchflow.functions.geometry import metres_to_canvas
 from pitchflow.operators.tracks import CLIP, players
-from pitchflow.schema import BALL, FADE
+from pitchflow.schema import BALL, CIRCLE, FADE, LENGTH, TEAM_COLORS, UNKNOWN_COLOR, WIDTH, keypoints
 
 
 def topdown(log: DataFrame, ball: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def topdown(log: DataFrame, ball: DataFrame) -> DataFrame:
 def fading_passes(events: DataFrame, life: int = FADE) -> DataFrame:
     """Each pass on every frame of its life, fading."""
     lived = events.withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(life - 1))))
-    return lived.select((F.col("event_frame") + F.col("age")).alias("frame"), "from_track", "to_track", F.round(1 - F.col("age") / life, 6).alias("alpha"))
+    ends = [F.col(c).cast("int").alias(c) for c in ("from_x", "from_y", "to_x", "to_y")]
+    return lived.select(CLIP, (F.col("event_frame") + F.col("age")).alias("frame"), "from_track", "to_track", F.round(1 - F.col("age") / life, 6).alias("alpha"), *ends)
 
 
 def running_passes(events: DataFrame) -> DataFrame:
@@ -39,5 +40,50 @@ def overlay(log: DataFrame, possession: DataFrame) -> DataFrame:
 
 
 def annotations(log: DataFrame) -> DataFrame:
-    label = F.when(F.col("class_name") == BALL, F.lit("ball")).otherwise(F.concat(F.lit("#"), F.col("track_id").cast("string")))
+    """``ball``, or the track's number and, where it is known, its team."""
+    team = F.coalesce(F.concat(F.lit(" T"), F.col("team").cast("string")), F.lit(""))
+    label = F.when(F.col("class_name") == BALL, F.lit("ball")).otherwise(F.concat(F.lit("#"), F.col("track_id").cast("string"), team))
     return log.select("log_seq", "frame", label.alias("label"), F.coalesce(F.concat(F.lit("team_"), F.col("team").cast("string")), F.lit("none")).alias("color"))
+
+
+def team_color(team: Column) -> Column:
+    """The drawing colour of a team; grey for none."""
+    table = F.create_map(*[F.lit(x) for kv in TEAM_COLORS.items() for x in kv])
+    return F.coalesce(F.element_at(table, team), F.lit(UNKNOWN_COLOR))
+
+
+def pass_overlay(log: DataFrame, possession: DataFrame, events: DataFrame) -> DataFrame:
+    """What goes over each frame: a ring round the possessor, arrows of passes that fade, and the count of passes so far."""
+    none = lambda kind: F.lit(None).cast(kind)
+    spot = log.groupBy(CLIP, "track_id", "frame").agg(F.max_by(F.struct("pixel_x", "pixel_y"), "log_seq").alias("p"))
+    ring = possession.join(spot, [CLIP, "track_id", "frame"])
+    ring = ring.select("frame", F.lit("ring").alias("kind"), "track_id", none("bigint").alias("to_track"), F.col("p.pixel_x").cast("int").alias("x"), F.col("p.pixel_y").cast("int").alias("y"), none("int").alias("to_x"), none("int").alias("to_y"), F.lit(1.0).alias("alpha"), none("bigint").alias("passes"))
+    last = log.groupBy(CLIP).agg(F.max("frame").alias("last"))
+    arrows = fading_passes(events).join(last, CLIP).filter("frame <= last")
+    arrows = arrows.select("frame", F.lit("arrow"), "from_track", "to_track", "from_x", "from_y", "to_x", "to_y", "alpha", none("bigint"))
+    spine = last.select(CLIP, F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("frame"))
+    made = events.groupBy(CLIP, F.col("event_frame").alias("frame")).agg(F.count("*").alias("n"))
+    upto = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(CLIP).orderBy("frame"))
+    count = spine.join(made, [CLIP, "frame"], "left")
+    count = count.select("frame", F.lit("count"), none("bigint"), none("bigint"), F.lit(20), F.lit(40), none("int"), none("int"), F.lit(1.0), upto)
+    return ring.union(arrows).union(count)
+
+
+def network_drawing(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Circles by touches and team, and lines by weight, of a passing network in metres."""
+    at = lambda c: metres_to_canvas(F.coalesce(c, F.lit(0.0)))
+    circles = nodes.select(CLIP, "track_id", "team", "touches", (200 + 100 * F.col("touches")).alias("size"), team_color(F.col("team")).alias("color"), at("x").alias("px"), at("y").alias("py"))
+    end = lambda t: circles.select(CLIP, F.col("track_id").alias(t), F.col("px").alias(f"{t}x"), F.col("py").alias(f"{t}y"))
+    lines = edges.join(end("a"), [CLIP, "a"]).join(end("b"), [CLIP, "b"]).select(CLIP, "a", "b", (1 + F.col("weight")).alias("width"), "ax", "ay", "bx", "by")
+    return circles, lines
+
+
+def pitch_shapes() -> list[tuple[str, float, float, float, float]]:
+    """Lines (two ends) and circles (centre, radius in metres, 0 for a spot) of the empty pitch."""
+    at = {name: (x, y) for _, name, x, y in keypoints()}
+    rings = [[(0.0, 0.0), (LENGTH, 0.0), (LENGTH, WIDTH), (0.0, WIDTH)]]
+    rings += [[at[f"{side}_{box}_{corner}"] for corner in ("top_left", "top_right", "bottom_right", "bottom_left")] for side in ("left", "right") for box in ("penalty_area", "six_yard")]
+    lines = [("line", *a, *b) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    lines.append(("line", *at["halfway_top"], *at["halfway_bottom"]))
+    spots = [("circle", *at[name], 0.0, 0.0) for name in ("center_spot", "left_penalty_spot", "right_penalty_spot")]
+    return [*lines, ("circle", *at["center_spot"], CIRCLE, 0.0), *spots]

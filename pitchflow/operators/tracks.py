@@ -152,7 +152,7 @@ def node_positions(log: DataFrame, space: str = "pitch") -> DataFrame:
     return players(log, space).groupBy(CLIP, "track_id").agg(F.round(F.avg(f"{space}_x"), 6).alias("x"), F.round(F.avg(f"{space}_y"), 6).alias("y"))
 
 
-def network_nodes(log: DataFrame, runs: DataFrame) -> DataFrame:
+def network_nodes(log: DataFrame, runs: DataFrame, space: str = "pitch") -> DataFrame:
     """Players with a touch: team of their first run, mean position over the whole log, touches."""
     team = runs.groupBy(CLIP, "track_id").agg(F.min_by("team", "start_frame").alias("team"))
-    return touches(runs).join(team, [CLIP, "track_id"]).join(node_positions(log), [CLIP, "track_id"], "left")
+    return touches(runs).join(team, [CLIP, "track_id"]).join(node_positions(log, space), [CLIP, "track_id"], "left")

@@ -162,7 +162,6 @@ _NODES = ", pos AS (SELECT track_id, round(avg(pitch_x), 6) AS x, round(avg(pitc
 over_log("win_passing_network", _NODES)(lambda log: T.network_nodes(log, runs(log)))
 over_log("jn_avg_pos", "SELECT r.start_frame, r.track_id, p.x, p.y FROM runs r JOIN (SELECT track_id, round(avg(pitch_x), 6) AS x, round(avg(pitch_y), 6) AS y FROM players GROUP BY ALL) p USING (track_id)", "start_frame", "track_id", "x", "y")(lambda log: runs(log).join(T.node_positions(log), [T.CLIP, "track_id"], "left"))
 over_log("win_running_pass_count", "SELECT event_frame, CAST(sum(count(*)) OVER (ORDER BY event_frame) AS BIGINT) AS passes FROM passes GROUP BY event_frame")(lambda log: R.running_passes(T.pass_events(log, runs(log))))
-over_log("win_fade", "SELECT event_frame + age AS frame, from_track, to_track, round(1 - age / 40.0::DOUBLE, 6) AS alpha FROM passes, (SELECT unnest(range(40)) AS age)")(lambda log: R.fading_passes(T.pass_events(log, runs(log))))
 
 # Team shape
 over_log("agg_team_centroid", "SELECT frame, team, round(avg(pitch_x), 6) AS x, round(avg(pitch_y), 6) AS y FROM teamed GROUP BY ALL")(A.centroid)
@@ -185,7 +184,6 @@ over_log("agg_heatmap", "SELECT team, CAST(least(floor(pitch_x * 21 / 105.0::DOU
 over_log("rnd_heatmap", None)(A.heatmap_density)
 over_log("agg_team_counts", "SELECT team, count(*) AS n FROM log WHERE class_name = 'person' AND team IS NOT NULL GROUP BY team")(A.team_counts)
 over_log("agg_ball_coverage", "SELECT count(*) FILTER (WHERE class_name = 'sports ball' AND NOT is_predicted) AS real, count(*) FILTER (WHERE class_name = 'sports ball') AS balls, max(frame) + 1 AS frames FROM log")(A.ball_coverage)
-over_log("qa_quality_checks", "SELECT 'calibration_error' AS warnings FROM log LIMIT 1")(lambda log: A.quality_checks(log, mean_error_m=1.5).withColumn("warnings", F.concat_ws(",", "warnings")))
 over_log("srt_teams", "SELECT DISTINCT team FROM log WHERE team IS NOT NULL")(lambda log: log.filter("team IS NOT NULL").select("team").distinct().orderBy("team"))
 over_log("set_label_membership", "SELECT bool_or(team = 0) AND bool_or(team = 1) AS both_labels FROM log")(lambda log: log.groupBy(T.CLIP).agg((F.array_contains(F.collect_set("team"), 0) & F.array_contains(F.collect_set("team"), 1)).alias("both_labels")))
 
@@ -226,7 +224,6 @@ _SINGLE = ("sports ball", "ref")
 over_log("top_singleton", "SELECT det_seq FROM (SELECT *, row_number() OVER (PARTITION BY frame, class_name ORDER BY confidence DESC, det_seq) AS k FROM boxes) WHERE k = 1 OR class_name NOT IN ('sports ball', 'ref')", "det_seq")(lambda log: D.best_of_singletons(D.boxes(log), _SINGLE))
 over_log("top_ball_fallback", "SELECT frame, det_seq FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY confidence DESC, det_seq) AS k FROM boxes WHERE class_name = 'person') WHERE k = 1", "frame", "det_seq")(lambda log: D.best_of_singletons(D.boxes(log), ("person",)).filter("class_name = 'person'"))
 over_log("top_first_ball", "SELECT frame, min(det_seq) AS det_seq FROM boxes WHERE class_name = 'sports ball' GROUP BY frame")(lambda log: D.boxes(log).filter("class_name = 'sports ball'").groupBy("frame").agg(F.min("det_seq").alias("det_seq")))
-over_log("udf_detect", "SELECT det_seq, class_name FROM boxes WHERE (class_name = 'sports ball' AND confidence >= 0.1) OR (class_name <> 'sports ball' AND confidence >= 0.3)", "det_seq", "class_name")(lambda log: D.boxes(log).filter(F.col("confidence") >= F.when(F.col("class_name") == S.BALL, 0.1).otherwise(0.3)))
 over_log("set_union_detections", "SELECT det_seq, pass FROM (SELECT det_seq, 0 AS pass FROM boxes WHERE class_name = 'sports ball' UNION ALL SELECT det_seq, 1 FROM boxes WHERE class_name = 'person')")(lambda log: (lambda b: b.filter("class_name = 'sports ball'").select("det_seq", F.lit(0).alias("pass")).unionByName(b.filter("class_name = 'person'").select("det_seq", F.lit(1).alias("pass"))))(D.boxes(log)))
 _clicks = lambda log: log.filter("class_name = 'sports ball'").select("frame", F.col("pixel_x").alias("cx"), F.col("pixel_y").alias("cy"))
 over_log("jn_click_box", """, c AS (SELECT frame, pixel_x AS cx, pixel_y AS cy FROM log WHERE class_name = 'sports ball'),
@@ -234,7 +231,6 @@ q AS (SELECT c.frame, b.det_seq, NOT (cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND
 SELECT frame, det_seq, far AS by_centre FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY far, CASE WHEN far THEN d ELSE area END, det_seq) AS k FROM q WHERE NOT far OR d <= 80) WHERE k = 1""")(lambda log: D.click_boxes(_clicks(log), D.boxes(log).filter("class_name = 'person'")))
 _boxes = lambda log: D.boxes(log).filter("class_name = 'person'").select(F.lit("clip").alias("clip_id"), "frame", "det_seq", *BOX)
 _centres = lambda log: log.filter("class_name = 'person'").select(F.col("log_seq").alias("start_id"), "clip_id", "frame", F.col("pixel_x").alias("x"), (F.col("pixel_y") - F.col("bbox_height") / 2).alias("y"))
-over_log("win_track_forward", None)(lambda log: K.follow(_boxes(log), _centres(log)))
 
 # Drawing
 over_log("rnd_topdown", """SELECT frame, 'ball' AS kind, CAST(-1 AS BIGINT) AS track_id, CAST(trunc((x + 4) * 10) AS INTEGER) AS px, CAST(trunc((y + 4) * 10) AS INTEGER) AS py, 'ball' AS color, NOT was_interpolated AS filled FROM ball
@@ -243,9 +239,7 @@ over_log("jn_topdown", "SELECT s.frame, b.frame IS NOT NULL AS has_ball, coalesc
     lambda log: log.groupBy(T.CLIP).agg(F.max("frame").alias("z")).select(T.CLIP, F.explode(F.sequence(F.lit(0).cast("bigint"), "z")).alias("frame")).join(ball(log).select(T.CLIP, "frame", F.lit(True).alias("b")), [T.CLIP, "frame"], "left").join(T.players(log).groupBy(T.CLIP, "frame").agg(F.count("*").alias("n")), [T.CLIP, "frame"], "left").select("frame", F.coalesce("b", F.lit(False)).alias("has_ball"), F.coalesce("n", F.lit(0)).alias("players"))
 )
 over_log("jn_overlay", "SELECT p.frame, p.track_id, p.team, l.pixel_x, l.pixel_y FROM possession p LEFT JOIN log l ON l.track_id = p.track_id AND l.frame = p.frame")(lambda log: R.overlay(log, T.possessors(log)))
-over_log("rnd_pass_overlay", "SELECT event_frame + age AS frame, from_track, to_track, round(1 - age / 40.0::DOUBLE, 6) AS alpha FROM passes, (SELECT unnest(range(40)) AS age)")(lambda log: R.fading_passes(T.pass_events(log, runs(log))))
-over_log("rnd_annotate", "SELECT log_seq, frame, CASE WHEN class_name = 'sports ball' THEN 'ball' ELSE '#' || track_id END AS label, coalesce('team_' || team, 'none') AS color FROM log")(R.annotations)
-over_log("rnd_network", _NODES.replace("SELECT r.track_id,", "SELECT r.track_id, 300 + 60 * count(*) AS size,"))(lambda log: T.network_nodes(log, runs(log)).withColumn("size", 300 + 60 * F.col("touches")))
+over_log("rnd_annotate", "SELECT log_seq, frame, CASE WHEN class_name = 'sports ball' THEN 'ball' ELSE '#' || track_id || coalesce(' T' || team, '') END AS label, coalesce('team_' || team, 'none') AS color FROM log")(R.annotations)
 over_log("rnd_formation", None)(lambda log: M.detect(log, ball(log)).select("team", "label", F.posexplode("lines").alias("i", "l")).select("team", "label", "i", "l.role", F.round("l.avg_depth_m", 4).alias("avg_depth_m")))
 
 # State over frames
@@ -263,12 +257,8 @@ UNION ALL SELECT o.frame, CASE WHEN o.ox IS NOT NULL THEN true ELSE k.live AND k
  CASE WHEN o.ox IS NOT NULL THEN 0 ELSE k.missed + 1 END, o.ox IS NOT NULL
 FROM k JOIN obs o ON o.frame = k.frame + 1, LATERAL (SELECT k.a + 2 * k.b + k.c + 5 AS a, k.b + k.c AS b, k.c + 5 AS c) p)"""
 over_log("st_kalman_ball", _KALMAN + " SELECT frame, round(round(x, 6), 4) AS x, round(round(y, 6), 4) AS y, seen AS is_observed FROM k WHERE live")(lambda log: K.kalman(K.observations(log), max_coast=10).withColumns({c: F.round(c, 4) for c in "xy"}))
-over_log("st_coast_rows", _KALMAN + " SELECT frame, round(round(x, 6), 4) AS pixel_x, round(round(y, 6), 4) AS pixel_y FROM k WHERE live AND NOT seen", "frame", "pixel_x", "pixel_y")(lambda log: K.ball_rows(log, K.kalman(K.observations(log), max_coast=10)).filter("is_predicted").withColumns({c: F.round(c, 4) for c in ("pixel_x", "pixel_y")}))
-over_log("st_ball_selection", _KALMAN + " SELECT k.frame, CAST(-1 AS BIGINT) AS track_id, l.bbox_height, NOT k.seen AS is_predicted FROM k LEFT JOIN log l ON l.frame = k.frame AND l.class_name = 'sports ball' AND k.seen WHERE live", "frame", "track_id", "bbox_height", "is_predicted")(lambda log: K.ball_rows(log, K.kalman(K.observations(log), max_coast=10)).filter("class_name = 'sports ball'"))
-over_log("set_append_predicted", _KALMAN + " SELECT (SELECT count(*) FROM log WHERE class_name <> 'sports ball') + (SELECT count(*) FROM k WHERE live) AS n")(lambda log: K.ball_rows(log, K.kalman(K.observations(log), max_coast=10)).groupBy("clip_id").agg(F.count("*").alias("n")))
 #: Ten pixels a metre, as in the derived log.
 LOG_H = np.diag([0.1, 0.1, 1.0])
-over_log("st_ball_log", None)(lambda log: K.ball_rows(log, K.kalman(K.observations(log), max_coast=10), LOG_H))
 
 
 def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +282,6 @@ _KEYPOINTS = "VALUES " + ", ".join(f"({i}, '{n}', {x!r}D, {y!r}D)" for i, n, x,
 keypoint_table = lambda s: s.sql(f"SELECT * FROM ({_KEYPOINTS}) AS k(id, name, x, y)")
 _KP_SQL = "SELECT * FROM (" + _KEYPOINTS.replace("D,", "::DOUBLE,").replace("D)", "::DOUBLE)") + ") AS k(id, name, x, y)"
 plain("src_keypoints", lambda s, d: keypoint_table(s), _KP_SQL)
-plain("rnd_pitch", lambda s, d: keypoint_table(s).select("id", G.metres_to_canvas(F.col("x")).alias("px"), G.metres_to_canvas(F.col("y")).alias("py")), f"SELECT id, CAST(trunc((x + 4) * 10) AS INTEGER) AS px, CAST(trunc((y + 4) * 10) AS INTEGER) AS py FROM ({_KP_SQL})")
 plain("jn_keypoint", lambda s, d: _events(s, d).select("event_id", (F.col("user_id") % 29).cast("int").alias("id")).join(F.broadcast(keypoint_table(s)), "id").select("event_id", "x", "y"), f"SELECT event_id, x, y FROM events JOIN ({_KP_SQL}) k ON k.id = user_id % 29")
 
 
@@ -319,7 +308,6 @@ def _job_lines(s: SparkSession, d: str) -> DataFrame:
 plain("fn_parse_job_output", lambda s, d: D.parse_job_output(_job_lines(s, d)), f"""WITH l AS ({_LINES}), p AS (SELECT job, seq, CAST(nullif(regexp_extract(line, 'frame (\\d+):', 1), '') AS BIGINT) AS frame, CAST(nullif(regexp_extract(line, 'Team (\\d+): (.+?) \\(confidence=(\\w+)\\)', 1), '') AS INTEGER) AS t,
 nullif(regexp_extract(line, 'Team (\\d+): (.+?) \\(confidence=(\\w+)\\)', 2), '') AS label, nullif(regexp_extract(line, 'Team (\\d+): (.+?) \\(confidence=(\\w+)\\)', 3), '') AS confidence, nullif(regexp_extract(line, 'caveat: (.+)', 1), '') AS caveat FROM l)
 SELECT job, seq, frame, label, confidence, caveat, last_value(t IGNORE NULLS) OVER (PARTITION BY job ORDER BY seq ROWS UNBOUNDED PRECEDING) AS team FROM p""")
-plain("st_progress", lambda s, d: D.parse_job_output(_job_lines(s, d)).groupBy("job").agg(F.max("frame").alias("frame")), f"SELECT job, max(CAST(nullif(regexp_extract(line, 'frame (\\d+):', 1), '') AS BIGINT)) AS frame FROM ({_LINES}) GROUP BY job")
 
 
 def _yolo(s: SparkSession, d: str) -> DataFrame:
@@ -363,20 +351,10 @@ plain("lim_clamp", lambda s, d: _events(s, d).select("event_id", F.greatest(F.li
 _PIXELS = "SELECT event_id, user_id % 50 AS crop, event_id % 256 AS b, (event_id * 7) % 256 AS g, (event_id * 13) % 256 AS r, event_id % 180 AS h, (event_id * 3) % 256 AS s FROM events"
 
 
-def mean_colors(pixels: DataFrame) -> DataFrame:
-    """Mean colour of a crop's pixels without grass (hue 35 to 95, saturation from 60); of all if under 3 or 5 percent are left."""
-    ok = ~(F.col("h").between(35, 95) & (F.col("s") >= 60))
-    c = pixels.groupBy("crop").agg(F.count("*").alias("n"), F.count_if(ok).alias("kept"), *(F.sum(x).alias(f"{x}_all") for x in "bgr"), *(F.sum(F.when(ok, F.col(x))).alias(f"{x}_kept") for x in "bgr"))
-    few = F.col("kept") < F.greatest(F.lit(3.0), 0.05 * F.col("n"))
-    return c.select("crop", *(F.round(F.when(few, F.col(f"{x}_all") / F.col("n")).otherwise(F.col(f"{x}_kept") / F.nullif("kept", F.lit(0))), 6).alias(x) for x in "bgr"))
-
-
-plain("agg_mean_color", lambda s, d: mean_colors(_events(s, d).selectExpr("user_id % 50 AS crop", "event_id % 256 AS b", "(event_id * 7) % 256 AS g", "(event_id * 13) % 256 AS r", "event_id % 180 AS h", "(event_id * 3) % 256 AS s")),
+plain("agg_mean_color", lambda s, d: D.mean_colors(_events(s, d).selectExpr("user_id % 50 AS crop", "event_id % 256 AS b", "(event_id * 7) % 256 AS g", "(event_id * 13) % 256 AS r", "event_id % 180 AS h", "(event_id * 3) % 256 AS s")),
       f"WITH p AS ({_PIXELS}), c AS (SELECT crop, count(*) AS n, count(*) FILTER (WHERE NOT (h BETWEEN 35 AND 95 AND s >= 60)) AS k, " + ", ".join(f"sum({x}) AS {x}a, sum({x}) FILTER (WHERE NOT (h BETWEEN 35 AND 95 AND s >= 60)) AS {x}k" for x in "bgr") + " FROM p GROUP BY crop) SELECT crop, " + ", ".join(f"round(CASE WHEN k < greatest(3.0, 0.05 * n) THEN {x}a / n ELSE {x}k / k END, 6) AS {x}" for x in "bgr") + " FROM c")
 
 over_log("st_bytetrack", None, "frame", "det_seq", "track_id")(lambda log: associate(D.boxes(log).select(F.lit("clip").alias("clip_id"), "frame", "det_seq", *BOX, "confidence")))
-over_log("agg_anchor_color", None)(lambda log: log.filter("class_name = 'person' AND frame < 20").groupBy("track_id").agg(*(F.round(F.avg((F.col("log_seq") * k) % 256), 6).alias(c) for c, k in zip("bgr", (1, 7, 13), strict=True))))
-SQL["agg_anchor_color"] = BASE + " SELECT track_id, round(avg((log_seq * 1) % 256), 6) AS b, round(avg((log_seq * 7) % 256), 6) AS g, round(avg((log_seq * 13) % 256), 6) AS r FROM log WHERE class_name = 'person' AND frame < 20 GROUP BY track_id"
 
 over_log("srt_frame", "SELECT " + _LOG + " FROM log", *LOG)(lambda log: log.orderBy("frame", "log_seq"))
 _STORED = ("frame", "track_id", "class_name", "team", "pixel_x", "pixel_y", "pitch_x", "pitch_y", "bbox_height", "is_predicted")

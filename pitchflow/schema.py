@@ -23,15 +23,40 @@ SHAPES = ("4-4-2", "4-3-3", "4-2-3-1", "4-1-4-1", "4-5-1", "4-1-3-2", "4-3-1-2",
 VOTES, FADE = 5, 40
 
 
+TEAM_COLORS, UNKNOWN_COLOR = {0: "#e63946", 1: "#457b9d"}, "#999999"
+#: The 29 landmarks in metres; a landmark's number is its place in this table.
+KEYPOINTS = (
+    ("corner_top_left", 0.0, 0.0),
+    ("corner_bottom_left", 0.0, 68.0),
+    ("corner_top_right", 105.0, 0.0),
+    ("corner_bottom_right", 105.0, 68.0),
+    ("halfway_top", 52.5, 0.0),
+    ("halfway_bottom", 52.5, 68.0),
+    ("center_spot", 52.5, 34.0),
+    ("center_circle_top", 52.5, 24.85),
+    ("center_circle_bottom", 52.5, 43.15),
+    ("center_circle_left", 43.35, 34.0),
+    ("center_circle_right", 61.65, 34.0),
+    ("left_penalty_area_top_left", 0.0, 13.84),
+    ("left_penalty_area_top_right", 16.5, 13.84),
+    ("left_penalty_area_bottom_left", 0.0, 54.16),
+    ("left_penalty_area_bottom_right", 16.5, 54.16),
+    ("left_six_yard_top_left", 0.0, 24.84),
+    ("left_six_yard_top_right", 5.5, 24.84),
+    ("left_six_yard_bottom_left", 0.0, 43.16),
+    ("left_six_yard_bottom_right", 5.5, 43.16),
+    ("left_penalty_spot", 11.0, 34.0),
+    ("right_penalty_area_top_left", 88.5, 13.84),
+    ("right_penalty_area_top_right", 105.0, 13.84),
+    ("right_penalty_area_bottom_left", 88.5, 54.16),
+    ("right_penalty_area_bottom_right", 105.0, 54.16),
+    ("right_six_yard_top_left", 99.5, 24.84),
+    ("right_six_yard_top_right", 105.0, 24.84),
+    ("right_six_yard_bottom_left", 99.5, 43.16),
+    ("right_six_yard_bottom_right", 105.0, 43.16),
+    ("right_penalty_spot", 94.0, 34.0),
+)
+
+
 def keypoints() -> list[tuple[int, str, float, float]]:
-    """The 29 landmarks, numbered in a fixed order: corners, halfway line and circle, then each end's boxes."""
-    mx, my = LENGTH / 2, WIDTH / 2
-    out = [(f"corner_{v}_{h}", x, y) for h, x in (("left", 0.0), ("right", LENGTH)) for v, y in (("top", 0.0), ("bottom", WIDTH))]
-    out += [("halfway_top", mx, 0.0), ("halfway_bottom", mx, WIDTH), ("center_spot", mx, my)]
-    out += [("center_circle_top", mx, my - CIRCLE), ("center_circle_bottom", mx, my + CIRCLE), ("center_circle_left", mx - CIRCLE, my), ("center_circle_right", mx + CIRCLE, my)]
-    for side in ("left", "right"):
-        for box, depth, width in (("penalty_area", PENALTY_DEPTH, PENALTY_WIDTH), ("six_yard", SIX_YARD_DEPTH, SIX_YARD_WIDTH)):
-            xs = (0.0, depth) if side == "left" else (LENGTH - depth, LENGTH)
-            out += [(f"{side}_{box}_{v}_{h}", x, my + s * width / 2) for v, s in (("top", -1), ("bottom", 1)) for h, x in zip(("left", "right"), xs, strict=True)]
-        out.append((f"{side}_penalty_spot", SPOT if side == "left" else LENGTH - SPOT, my))
-    return [(i, *k) for i, k in enumerate(out)]
+    return [(i, *k) for i, k in enumerate(KEYPOINTS)]

@@ -25,6 +25,16 @@ def write_parquet(log: DataFrame, path: str) -> None:
     log.write.partitionBy("clip_id").mode("overwrite").parquet(path)
 
 
+def in_clips(log: DataFrame, frames: int) -> DataFrame:
+    """The log cut in clips of so many frames, each numbered from 0."""
+    return log.withColumns({"clip_id": F.concat(F.lit("clip"), F.expr(f"frame div {frames}").cast("string")), "frame": F.col("frame") % frames})
+
+
+def uncalibrated(log: DataFrame) -> DataFrame:
+    """The log as it is without a calibration: no pitch positions."""
+    return log.withColumns({c: F.lit(None).cast("double") for c in ("pitch_x", "pitch_y")})
+
+
 def from_events(events: DataFrame, clip_id: str = "clip") -> DataFrame:
     """A deterministic log from the events table: 24 slots a frame, in integer centimetres until the last step."""
     e = events.select(

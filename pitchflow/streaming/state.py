@@ -108,8 +108,9 @@ def _picked(at: np.ndarray, frame: np.ndarray, box: np.ndarray, frames: np.ndarr
     return out
 
 
-def follow(boxes: DataFrame, starts: DataFrame, reach: float = 40.0, frames: int = 20) -> DataFrame:
-    """From each start ``(start_id, clip_id, frame, x, y)``, a box of each of the next ``frames`` frames, until a miss.
+def follow(boxes: DataFrame, starts: DataFrame, reach: float = 40.0, frames: int = 19) -> DataFrame:
+    """From each start ``(start_id, clip_id, frame, x, y)``, a box of each of the next ``frames`` frames, until a miss:
+    with the start's own box 20.
 
     ``boxes(clip_id, frame, det_seq, x1, y1, x2, y2)``. A frame's box is the smallest that contains the last
     centre, else that with the nearest centre within reach; ties go to the first. Where a box leads to depends on
