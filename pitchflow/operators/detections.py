@@ -127,7 +127,7 @@ def parse_job_output(lines: DataFrame) -> DataFrame:
 
 def progress(lines: DataFrame, frame_count: Column, low: float = 0.05, high: float = 0.7) -> DataFrame:
     """How far a job is, from the frames that its output names, between ``low`` and ``high``; null before the first."""
-    done = F.least(F.max("frame") / frame_count, F.lit(1.0))
+    done = F.when(F.max("frame") > frame_count, 1.0).otherwise(F.max("frame") / frame_count)
     return parse_job_output(lines).groupBy("job").agg(F.max("frame").alias("frame"), F.round(low + done * (high - low), 6).alias("progress"))
 
 

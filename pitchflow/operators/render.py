@@ -78,6 +78,18 @@ def network_drawing(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     return circles, lines
 
 
+def formation_drawing(found: DataFrame) -> DataFrame:
+    """Players of each line, the line's number above its middle, and the goalkeeper or that none was found."""
+    lines = found.select(CLIP, "team", F.posexplode("lines").alias("i", "l"))
+    each = lines.select(CLIP, "team", F.explode(F.arrays_zip("l.track_ids", "l.xs", "l.ys")).alias("p"))
+    people = each.select("team", F.lit("player").alias("kind"), F.col("p.track_ids").cast("string").alias("label"), metres_to_canvas(F.col("p.xs")).alias("px"), metres_to_canvas(F.col("p.ys")).alias("py"))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
+    names = lines.select("team", F.lit("line"), F.concat(F.lit("L"), (F.col("i") + 1).cast("string")), metres_to_canvas(F.round(mean("l.xs"), 6)), metres_to_canvas(F.round(mean("l.ys"), 6) - 6))
+    keeper = found.filter("goalkeeper IS NOT NULL").select("team", F.lit("goalkeeper"), F.col("goalkeeper").cast("string"), metres_to_canvas(F.col("gk_x")), metres_to_canvas(F.col("gk_y")))
+    none = found.filter("goalkeeper IS NULL").select("team", F.lit("no_goalkeeper"), F.lit(""), F.greatest(metres_to_canvas(F.col("own_goal_x")) - 60, F.lit(5)), metres_to_canvas(F.lit(WIDTH / 2)) - 20)
+    return people.union(names).union(keeper).union(none)
+
+
 def pitch_shapes() -> list[tuple[str, float, float, float, float]]:
     """Lines (two ends) and circles (centre, radius in metres, 0 for a spot) of the empty pitch."""
     at = {name: (x, y) for _, name, x, y in keypoints()}

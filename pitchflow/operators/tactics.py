@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
 from pitchflow.functions.geometry import distance
 from pitchflow.operators.tracks import CLIP, team_positions
@@ -82,13 +83,23 @@ def heatmap_bins(log: DataFrame, nx: int = 21, ny: int = 17) -> DataFrame:
 
 
 def heatmap_density(log: DataFrame, nx: int = 21, ny: int = 17) -> DataFrame:
-    """Gaussian density at the cells' centres with Scott's bandwidth, from the binned counts."""
+    """Gaussian density at the cells' centres from the binned counts, with the positions' covariance by Scott's factor.
+
+    ``share`` is how much of the density lies in cells no denser than this one: what is under 0.05 isn't drawn.
+    Positions on a line have no density.
+    """
     bins = heatmap_bins(log, nx, ny).select(CLIP, "team", ((F.col("bx") + 0.5) * LENGTH / nx).alias("px"), ((F.col("by") + 0.5) * WIDTH / ny).alias("py"), "n")
-    stats = team_positions(log).groupBy(CLIP, "team").agg(F.count("*").alias("all"), F.stddev_samp("pitch_x").alias("sx"), F.stddev_samp("pitch_y").alias("sy"))
-    factor = F.pow("all", F.lit(-1.0 / 6))
-    grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(nx * ny - 1))).alias("cell")).withColumns({"gx": (F.col("cell") % nx + 0.5) * LENGTH / nx, "gy": (F.expr(f"cell div {nx}") + 0.5) * WIDTH / ny, "hx": F.col("sx") * factor, "hy": F.col("sy") * factor})
-    kernel = F.exp(-0.5 * (F.pow((F.col("gx") - F.col("px")) / F.col("hx"), 2) + F.pow((F.col("gy") - F.col("py")) / F.col("hy"), 2)))
-    return grid.join(bins, [CLIP, "team"]).groupBy(CLIP, "team", "gx", "gy").agg((F.sum(F.col("n") * kernel) / F.first(F.col("all") * 2 * np.pi * F.col("hx") * F.col("hy"))).alias("density"))
+    stats = team_positions(log).groupBy(CLIP, "team").agg(F.count("*").alias("all"), F.var_samp("pitch_x").alias("vx"), F.var_samp("pitch_y").alias("vy"), F.covar_samp("pitch_x", "pitch_y").alias("vxy"))
+    factor = F.pow("all", F.lit(-1.0 / 3))
+    stats = stats.withColumns({c: F.col(c) * factor for c in ("vx", "vy", "vxy")}).withColumn("det", F.col("vx") * F.col("vy") - F.col("vxy") * F.col("vxy")).filter("det > 1e-9")
+    grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(nx * ny - 1))).alias("cell")).withColumns({"gx": (F.col("cell") % nx + 0.5) * LENGTH / nx, "gy": (F.expr(f"cell div {nx}") + 0.5) * WIDTH / ny})
+    dx, dy = F.col("gx") - F.col("px"), F.col("gy") - F.col("py")
+    far = (F.col("vy") * dx * dx - 2 * F.col("vxy") * dx * dy + F.col("vx") * dy * dy) / F.col("det")
+    near = grid.join(bins, [CLIP, "team"]).groupBy(CLIP, "team", "cell", "gx", "gy").agg((F.sum(F.col("n") * F.exp(-0.5 * far)) / F.first(F.col("all") * 2 * np.pi * F.sqrt("det"))).alias("density"))
+    near = near.withColumn("density", F.round("density", 9))
+    team = Window.partitionBy(CLIP, "team")
+    upto = F.sum("density").over(team.orderBy("density", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return near.withColumn("share", F.round(upto / F.sum("density").over(team), 4)).select(CLIP, "team", "gx", "gy", "density", "share")
 
 
 def team_counts(log: DataFrame) -> DataFrame:

@@ -181,7 +181,6 @@ over_log("agg_tactical_summary", _HULL + _PAIR + """ SELECT team, round(avg(area
 JOIN (SELECT team, round(avg(w), 4) AS width, round(avg(d), 4) AS depth FROM (SELECT frame, team, max(pitch_y) - min(pitch_y) AS w, max(pitch_x) - min(pitch_x) AS d FROM teamed GROUP BY ALL) GROUP BY team) USING (team)
 JOIN (SELECT team, round(avg(m), 4) AS mean_distance FROM (SELECT frame, team, round(avg(dist), 6) AS m FROM tp GROUP BY ALL) GROUP BY team) USING (team) GROUP BY team""")(A.summary)
 over_log("agg_heatmap", "SELECT team, CAST(least(floor(pitch_x * 21 / 105.0::DOUBLE), 20) AS BIGINT) AS bx, CAST(least(floor(pitch_y * 17 / 68.0::DOUBLE), 16) AS BIGINT) AS by, count(*) AS n FROM teamed WHERE pitch_x BETWEEN 0 AND 105 AND pitch_y BETWEEN 0 AND 68 GROUP BY ALL")(A.heatmap_bins)
-over_log("rnd_heatmap", None)(A.heatmap_density)
 over_log("agg_team_counts", "SELECT team, count(*) AS n FROM log WHERE class_name = 'person' AND team IS NOT NULL GROUP BY team")(A.team_counts)
 over_log("agg_ball_coverage", "SELECT count(*) FILTER (WHERE class_name = 'sports ball' AND NOT is_predicted) AS real, count(*) FILTER (WHERE class_name = 'sports ball') AS balls, max(frame) + 1 AS frames FROM log")(A.ball_coverage)
 over_log("srt_teams", "SELECT DISTINCT team FROM log WHERE team IS NOT NULL")(lambda log: log.filter("team IS NOT NULL").select("team").distinct().orderBy("team"))
@@ -216,8 +215,6 @@ over_log("win_phase_possession", "SELECT * FROM phase")(lambda log: M.phase_poss
 _PHASE = ", own AS (SELECT s.team, p.frame FROM sides s JOIN phase p ON p.team <> s.team), cnt AS (SELECT s.team, (SELECT count(*) FROM own o WHERE o.team = s.team) AS frames, (SELECT count(*) FROM log l JOIN own o ON o.frame = l.frame AND o.team = l.team WHERE l.team = s.team AND l.class_name = 'person') AS rows FROM sides s)"
 over_log("frm_defensive_phase", _PHASE + " SELECT team, frames, rows, frames >= 50 AND rows >= 50 AS by_phase, CASE WHEN NOT (frames >= 50 AND rows >= 50) THEN 'few_defensive_frames' END AS caveat FROM cnt")(lambda log: M.defensive_phase(log, ball(log))[1])
 over_log("jn_defensive_semi", _PHASE + " SELECT l.log_seq, l.team FROM log l JOIN cnt c ON c.team = l.team WHERE l.class_name = 'person' AND (NOT (frames >= 50 AND rows >= 50) OR EXISTS (SELECT 1 FROM own o WHERE o.team = l.team AND o.frame = l.frame))", "log_seq", "team")(lambda log: M.defensive_phase(log, ball(log))[0])
-over_log("frm_detect", None)(lambda log: M.detect(log, ball(log)))
-over_log("frm_roles", None, "team", "role", "track_id")(lambda log: M.detect(log, ball(log)).select(T.CLIP, "team", F.explode("lines").alias("l")).select("team", "l.role", F.explode("l.track_ids").alias("track_id")))
 
 # Detections, clicks and labels
 _SINGLE = ("sports ball", "ref")
@@ -240,7 +237,6 @@ over_log("jn_topdown", "SELECT s.frame, b.frame IS NOT NULL AS has_ball, coalesc
 )
 over_log("jn_overlay", "SELECT p.frame, p.track_id, p.team, l.pixel_x, l.pixel_y FROM possession p LEFT JOIN log l ON l.track_id = p.track_id AND l.frame = p.frame")(lambda log: R.overlay(log, T.possessors(log)))
 over_log("rnd_annotate", "SELECT log_seq, frame, CASE WHEN class_name = 'sports ball' THEN 'ball' ELSE '#' || track_id || coalesce(' T' || team, '') END AS label, coalesce('team_' || team, 'none') AS color FROM log")(R.annotations)
-over_log("rnd_formation", None)(lambda log: M.detect(log, ball(log)).select("team", "label", F.posexplode("lines").alias("i", "l")).select("team", "label", "i", "l.role", F.round("l.avg_depth_m", 4).alias("avg_depth_m")))
 
 # State over frames
 _KALMAN = """, obs AS (SELECT f.frame, l.pixel_x AS ox, l.pixel_y AS oy FROM (SELECT unnest(generate_series(0, (SELECT max(frame) FROM log))) AS frame) f LEFT JOIN log l ON l.frame = f.frame AND l.class_name = 'sports ball'),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pitchflow import schema as S
 from pitchflow.functions.geometry import metres_to_canvas
 from pitchflow.operators import detections as D
+from pitchflow.operators import formation as M
 from pitchflow.operators import render as R
 from pitchflow.operators import tactics as A
 from pitchflow.operators import tracks as T
@@ -188,5 +189,41 @@ FROM walk w JOIN crops c ON c.crop = w.det_seq JOIN people p ON p.det_seq = w.st
 _LAST = 5000
 plain(
     "st_progress", lambda s, d: D.progress(_job_lines(s, d), F.lit(_LAST)),
-    f"SELECT job, max(frame) AS frame, round(0.05::DOUBLE + least(max(frame) / {_LAST}, 1.0) * {0.7 - 0.05!r}::DOUBLE, 6) AS progress FROM (SELECT job, CAST(nullif(regexp_extract(line, 'frame (\\d+):', 1), '') AS BIGINT) AS frame FROM ({_JOB_LINES})) GROUP BY job",
+    f"SELECT job, max(frame) AS frame, round(0.05::DOUBLE + CASE WHEN max(frame) > {_LAST} THEN 1.0 ELSE max(frame) / {_LAST} END * {0.7 - 0.05!r}::DOUBLE, 6) AS progress FROM (SELECT job, CAST(nullif(regexp_extract(line, 'frame (\\d+):', 1), '') AS BIGINT) AS frame FROM ({_JOB_LINES})) GROUP BY job",
 )
+
+# Formations over the defensive phase, in so far as a threshold gives plausible lines
+_FOUND = """, own AS (SELECT s.team, p.frame FROM sides s JOIN phase p ON p.team <> s.team),
+told AS (SELECT *, frames >= 50 AND rows >= 50 AS by_phase FROM (SELECT s.team, (SELECT count(*) FROM own o WHERE o.team = s.team) AS frames, (SELECT count(*) FROM log l JOIN own o ON o.frame = l.frame AND o.team = l.team WHERE l.team = s.team AND l.class_name = 'person') AS rows FROM sides s)),
+seen AS (SELECT p.* FROM players p JOIN told t USING (team) WHERE NOT t.by_phase OR EXISTS (SELECT 1 FROM own o WHERE o.team = p.team AND o.frame = p.frame)),
+dpool AS (SELECT team, track_id, median(pitch_x) AS x, median(pitch_y) AS y, count(*) AS n_frames FROM seen WHERE pitch_x BETWEEN -5 AND 110 AND pitch_y BETWEEN -5 AND 73 GROUP BY ALL HAVING count(*) >= 5),
+ranked AS (SELECT d.*, k.gk, row_number() OVER (PARTITION BY team ORDER BY n_frames DESC, track_id) AS rank FROM dpool d LEFT JOIN keeper k USING (team) WHERE k.gk IS NULL OR d.track_id <> k.gk),
+indeep AS (SELECT r.*, CASE WHEN own_goal_x = 0 THEN x ELSE 105 - x END AS depth FROM ranked r JOIN direction USING (team) WHERE rank <= 10),
+dgaps AS (SELECT team, track_id, depth, x, y, t.threshold, CASE WHEN depth - lag(depth) OVER (PARTITION BY team, t.threshold ORDER BY depth, track_id) <= t.threshold THEN 0 ELSE 1 END AS new FROM indeep, (SELECT unnest([4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0, 12.0])::DOUBLE AS threshold) t),
+dlines AS (SELECT *, CAST(sum(new) OVER (PARTITION BY team, threshold ORDER BY depth, track_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM dgaps),
+dsized AS (SELECT team, threshold, count(*) AS n_lines, sum(n) AS total, max(n) AS most, first(n ORDER BY line) AS back, string_agg(n, '-' ORDER BY line) AS label FROM (SELECT team, threshold, line, count(*) AS n FROM dlines GROUP BY ALL) GROUP BY ALL),
+dnext AS (SELECT *, lead(label) OVER (PARTITION BY team ORDER BY threshold) AS nxt FROM dsized),
+best AS (SELECT team, threshold, label, CASE WHEN coalesce(nxt, label) = label THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY threshold) AS k FROM dnext WHERE n_lines BETWEEN 2 AND 5 AND most <= 6 AND most / total <= 0.7 AND back BETWEEN 3 AND 5) WHERE k = 1)"""
+_DETECT = f"""{_FOUND}, sizes AS (SELECT team, count(*) AS n_candidates FROM dpool GROUP BY team), cut AS (SELECT team, max(n_frames) FILTER (WHERE rank = 10) AS last_in, max(n_frames) FILTER (WHERE rank = 11) AS first_out, count(*) FILTER (WHERE rank <= 10) AS n_included FROM ranked GROUP BY team)
+SELECT b.team, b.label, b.confidence, b.threshold, k.gk AS goalkeeper, d.direction, d.own_goal_x, n_candidates, n_included,
+       concat_ws(',', CASE WHEN k.gk IS NULL THEN 'goalkeeper_not_found' END, CASE WHEN NOT by_phase THEN 'few_defensive_frames' END, CASE WHEN n_candidates > 12 THEN 'track_fragmentation' WHEN n_candidates < 10 THEN 'tracks_missing' END,
+                 CASE WHEN (last_in - first_out) / last_in < 0.15 THEN 'cutoff_ambiguous' END) AS caveats
+FROM best b JOIN direction d USING (team) JOIN told USING (team) JOIN sizes USING (team) JOIN cut USING (team) LEFT JOIN keeper k USING (team)"""
+_TOLD = ("team", "label", "confidence", "threshold", "goalkeeper", "direction", "own_goal_x", "n_candidates", "n_included", "caveats")
+over_log("frm_detect", _DETECT, *_TOLD)(lambda log: M.detect(log, T.clean_ball(log)).withColumn("caveats", F.concat_ws(",", "caveats")))
+over_log("frm_roles", f"""{_FOUND}, lined AS (SELECT l.*, max(line) OVER (PARTITION BY l.team) AS n FROM dlines l JOIN best b ON b.team = l.team AND b.threshold = l.threshold)
+SELECT team, CASE WHEN line = 1 THEN 'defense' WHEN line = n THEN 'attack' WHEN n <= 3 THEN 'midfield' ELSE 'line_' || line END AS role, track_id FROM lined""", "team", "role", "track_id")(
+    lambda log: M.detect(log, T.clean_ball(log)).select("team", F.explode("lines").alias("l")).select("team", "l.role", F.explode("l.track_ids").alias("track_id"))
+)
+over_log("rnd_formation", f"""{_FOUND}, lined AS (SELECT l.* FROM dlines l JOIN best b ON b.team = l.team AND b.threshold = l.threshold)
+SELECT team, 'player' AS kind, CAST(track_id AS VARCHAR) AS label, {_px("x")} AS px, {_px("y")} AS py FROM lined
+UNION ALL SELECT team, 'line', 'L' || line, {_px("round(avg(x), 6)")}, {_px("round(avg(y), 6) - 6")} FROM lined GROUP BY team, line
+UNION ALL SELECT k.team, 'goalkeeper', CAST(gk AS VARCHAR), {_px("s.x")}, {_px("s.y")} FROM keeper k JOIN best USING (team) JOIN strict s ON s.team = k.team AND s.track_id = k.gk
+UNION ALL SELECT b.team, 'no_goalkeeper', '', greatest({_px("own_goal_x")} - 60, 5), {_px("34.0")} - 20 FROM best b JOIN direction USING (team) LEFT JOIN keeper k ON k.team = b.team WHERE k.gk IS NULL""")(lambda log: R.formation_drawing(M.detect(log, T.clean_ball(log))))
+
+# Density of a team's positions
+over_log("rnd_heatmap", """, bins AS (SELECT team, (CAST(least(floor(pitch_x * 21 / 105.0::DOUBLE), 20) AS BIGINT) + 0.5) * 105.0::DOUBLE / 21 AS px, (CAST(least(floor(pitch_y * 17 / 68.0::DOUBLE), 16) AS BIGINT) + 0.5) * 68.0::DOUBLE / 17 AS py, count(*) AS n FROM teamed WHERE pitch_x BETWEEN 0 AND 105 AND pitch_y BETWEEN 0 AND 68 GROUP BY ALL),
+cov AS (SELECT team, count(*) AS total, var_samp(pitch_x) * pow(count(*), -1.0::DOUBLE / 3) AS vx, var_samp(pitch_y) * pow(count(*), -1.0::DOUBLE / 3) AS vy, covar_samp(pitch_x, pitch_y) * pow(count(*), -1.0::DOUBLE / 3) AS vxy FROM teamed GROUP BY team),
+cells AS (SELECT *, (cell % 21 + 0.5) * 105.0::DOUBLE / 21 AS gx, (cell // 21 + 0.5) * 68.0::DOUBLE / 17 AS gy FROM (SELECT unnest(range(357)) AS cell)),
+dense AS (SELECT b.team, cell, gx, gy, round(sum(n * exp(-0.5 * (vy * (gx - px) * (gx - px) - 2 * vxy * (gx - px) * (gy - py) + vx * (gy - py) * (gy - py)) / (vx * vy - vxy * vxy))) / any_value(total * 2 * pi() * sqrt(vx * vy - vxy * vxy)), 9) AS density FROM bins b JOIN cov c ON c.team = b.team, cells GROUP BY ALL)
+SELECT team, gx, gy, density, round(sum(density) OVER (PARTITION BY team ORDER BY density, cell ROWS UNBOUNDED PRECEDING) / sum(density) OVER (PARTITION BY team), 4) AS share FROM dense""".replace("dense AS", "thick AS").replace("FROM dense", "FROM thick"))(A.heatmap_density)

@@ -1,12 +1,17 @@
-"""Track identities by two-stage overlap: sure boxes first, then doubtful ones (after ByteTrack, Zhang et al., 2022)."""
+"""Track identities by two-stage matching of predicted boxes: sure boxes first, then doubtful ones (after ByteTrack, Zhang et al., 2022)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 BOX = ["x1", "y1", "x2", "y2"]
+#: Standard deviations of a box's place and of its speed, in heights of the box.
+PLACE, SPEED = 1 / 20, 1 / 160
+KEY = ["clip_id", "frame"]
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -16,46 +21,138 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both / np.maximum(size(a)[:, None] + size(b)[None] - both, 1e-9)
 
 
-def greedy(score: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs by falling score, each row and column once; ties by row, then column."""
-    out, rows, cols = [], set(), set()
-    for k in np.argsort(-score, axis=None, kind="stable"):
-        i, j = divmod(int(k), score.shape[1])
-        if score[i, j] < least:
-            break
-        if i not in rows and j not in cols:
-            out.append((i, j))
-            rows.add(i)
-            cols.add(j)
-    return out
+def _optimal(gain: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows and columns with the greatest sum of gains, by shortest augmenting paths; rows at most columns."""
+    n, m = gain.shape
+    u, v, row_of = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype=int)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        best, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int), np.zeros(m + 1, dtype=bool)
+        while row_of[j]:
+            used[j] = True
+            cost = -gain[row_of[j] - 1] - u[row_of[j]] - v[1:]
+            nearer = ~used[1:] & (cost < best[1:])
+            best[1:][nearer], way[1:][nearer] = cost[nearer], j
+            to = 1 + int(np.where(used[1:], np.inf, best[1:]).argmin())
+            step = best[to]
+            u[row_of[used]] += step
+            v[used] -= step
+            best[~used] -= step
+            j = to
+        while j:
+            row_of[j], j = row_of[way[j]], way[j]
+    return [(int(row_of[j]) - 1, j - 1) for j in range(1, m + 1) if row_of[j]]
+
+
+def assign(score: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """The matching with the greatest sum of what scores are above ``least``; each row and column once.
+
+    Pairs that compete with no other are taken at once, the others are matched group by group.
+    """
+    gain = np.clip(score - least, 0, None)
+    out, left = [], set(np.flatnonzero(gain.any(axis=1)).tolist())
+    while left:
+        rows, cols, fresh = set(), set(), {left.pop()}
+        while fresh:
+            rows |= fresh
+            near = set(np.flatnonzero(gain[sorted(fresh)].any(axis=0)).tolist()) - cols
+            cols |= near
+            fresh = set(np.flatnonzero(gain[:, sorted(near)].any(axis=1)).tolist()) - rows if near else set()
+        left -= rows
+        r, c = sorted(rows), sorted(cols)
+        part = gain[np.ix_(r, c)]
+        pairs = _optimal(part) if len(r) <= len(c) else [(i, j) for j, i in _optimal(part.T)]
+        out += [(r[i], c[j]) for i, j in pairs if part[i, j] > 0]
+    return sorted(out)
+
+
+class Tracks:
+    """The tracks of one clip: centre and size with their speeds, by a constant-velocity filter of one covariance a track."""
+
+    def __init__(self):
+        self.ids, self.seen = np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+        self.at, self.speed, self.cov = np.zeros((0, 4)), np.zeros((0, 4)), np.zeros((0, 3))
+        self.frame, self.made = None, 0
 
+    def _keep(self, rows: np.ndarray) -> None:
+        for name in ("ids", "seen", "at", "speed", "cov"):
+            setattr(self, name, getattr(self, name)[rows])
 
-def associate(boxes: DataFrame, sure: float = 0.25, buffer: int = 30, least: float = 0.2) -> DataFrame:
+    def _predict(self) -> None:
+        self.at = self.at + self.speed
+        a, b, c = self.cov.T
+        h = self.at[:, 3]
+        self.cov = np.stack([a + 2 * b + c + (PLACE * h) ** 2, b + c, c + (SPEED * h) ** 2], axis=1)
+
+    def boxes(self) -> np.ndarray:
+        return np.concatenate([self.at[:, :2] - self.at[:, 2:] / 2, self.at[:, :2] + self.at[:, 2:] / 2], axis=1)
+
+    def step(self, frame: int, box: np.ndarray, confidence: np.ndarray, sure: float, doubtful: float, buffer: int, least: float, least_doubtful: float) -> np.ndarray:
+        """Track numbers of the boxes of one frame, -1 for none."""
+        last, self.frame = self.frame, frame
+        for _ in range(0 if last is None else min(frame - last, buffer + 1)):
+            self._predict()
+        self._keep(frame - self.seen <= buffer)
+        out, found = np.full(len(box), -1), np.concatenate([(box[:, :2] + box[:, 2:]) / 2, box[:, 2:] - box[:, :2]], axis=1)
+        free = np.arange(len(self.ids))
+        for first in (True, False):
+            cols = np.flatnonzero(confidence >= sure if first else (confidence < sure) & (confidence >= doubtful))
+            rows = free if first else free[self.seen[free] == last]  # only tracks of the frame before go on by doubtful boxes
+            if not len(rows) or not len(cols):
+                continue
+            score = overlaps(self.boxes()[rows], box[cols])
+            for i, j in assign(score * confidence[cols] if first else score, least if first else least_doubtful):
+                self._update(rows[i], found[cols[j]], frame)
+                out[cols[j]] = self.ids[rows[i]]
+            free = free[self.seen[free] < frame]
+        new = np.flatnonzero((out < 0) & (confidence >= sure + 0.1))
+        if len(new):
+            out[new] = self.made + 1 + np.arange(len(new))
+            self.made += len(new)
+            h = found[new][:, 3]
+            cov = np.stack([(2 * PLACE * h) ** 2, np.zeros(len(new)), (10 * SPEED * h) ** 2], axis=1)
+            self.ids, self.seen = np.concatenate([self.ids, out[new]]), np.concatenate([self.seen, np.full(len(new), frame)])
+            self.at, self.speed, self.cov = np.concatenate([self.at, found[new]]), np.concatenate([self.speed, np.zeros((len(new), 4))]), np.concatenate([self.cov, cov])
+        return out
+
+    def _update(self, i: int, seen: np.ndarray, frame: int) -> None:
+        a, b, c = self.cov[i]
+        r = (PLACE * self.at[i, 3]) ** 2
+        k1, k2 = a / (a + r), b / (a + r)
+        off = seen - self.at[i]
+        self.at[i] += k1 * off
+        self.speed[i] += k2 * off
+        self.cov[i] = (1 - k1) * a, (1 - k1) * b, c - k2 * b
+        self.seen[i] = frame
+
+
+def associate(boxes: DataFrame, sure: float = 0.25, buffer: int = 30, least: float = 0.2, doubtful: float = 0.1, least_doubtful: float = 0.5) -> DataFrame:
     """``boxes(clip_id, frame, det_seq, x1, y1, x2, y2, confidence)`` to ``(clip_id, frame, det_seq, track_id)``.
 
-    Tracks keep their last box for ``buffer`` frames. Boxes with confidence from ``sure`` are matched
-    first and may start tracks; others may only continue one, else their track is -1. One ordered pass a clip.
+    Boxes with confidence from ``sure`` are matched first, by overlap times confidence, with all tracks of the last
+    ``buffer`` frames where they are expected; then doubtful ones, by overlap, with what is left of the frame before.
+    Sure boxes without a track start one. Clips are spread over tasks; a task goes through its clips frame by frame
+    in the order of a sort and holds one batch and one clip's tracks.
     """
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        tracks: dict[int, tuple[np.ndarray, int]] = {}
-        out, made = [], 0
-        for frame, rows in p.sort_values(["frame", "det_seq"]).groupby("frame"):
-            tracks = {t: x for t, x in tracks.items() if frame - x[1] <= buffer}
-            free = list(tracks)
-            for first in (True, False):
-                part = rows[(rows["confidence"] >= sure) == first]
-                box, got = part[BOX].to_numpy(float), {}
-                if free and len(box):
-                    got = {j: free[i] for i, j in greedy(overlaps(np.stack([tracks[t][0] for t in free]), box), least)}
-                    free = [t for t in free if t not in set(got.values())]
-                for j, seq in enumerate(part["det_seq"]):
-                    if j not in got and first:
-                        made += 1
-                        got[j] = made
-                    if j in got:
-                        tracks[got[j]] = (box[j], frame)
-                    out.append((p["clip_id"].iloc[0], frame, seq, got.get(j, -1)))
-        return pd.DataFrame(out, columns=["clip_id", "frame", "det_seq", "track_id"])
-
-    return boxes.groupBy("clip_id").applyInPandas(fold, "clip_id string, frame bigint, det_seq bigint, track_id bigint")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        clip, tracks, held = None, None, None
+
+        def rows(p: pd.DataFrame) -> pd.DataFrame:
+            nonlocal clip, tracks
+            if p["clip_id"].iloc[0] != clip:
+                clip, tracks = p["clip_id"].iloc[0], Tracks()
+            ids = tracks.step(int(p["frame"].iloc[0]), p[BOX].to_numpy(float), p["confidence"].to_numpy(float), sure, doubtful, buffer, least, least_doubtful)
+            return p[[*KEY, "det_seq"]].assign(track_id=ids)
+
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            frames = [p for _, p in batch.groupby(KEY, sort=False)]
+            held = frames.pop() if frames else None  # its frame may go on in the next batch
+            if frames:
+                yield pd.concat([rows(p) for p in frames])
+        if held is not None and len(held):
+            yield rows(held)
+
+    ordered = boxes.select(*KEY, "det_seq", *BOX, "confidence").repartition("clip_id").sortWithinPartitions("clip_id", "frame", "det_seq")
+    return ordered.mapInPandas(fold, "clip_id string, frame bigint, det_seq bigint, track_id bigint")
