@@ -1,13 +1,15 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of (hash, number of documents) ranged and sorted by hash. A batch of documents adds
-one run at level 0; when a level has ``FANOUT`` runs they are merged into one run of the next level.
-Lines whose count has reached the threshold are "settled": a later batch anti-joins them, so that
-the commonest lines, which are most of the rows, are not written again and again.
+A run is a table of (hash, number of documents), bucketed and sorted by hash, so that runs are joined and
+merged bucket by bucket as they lie. A batch of documents merge-anti-joins the runs' "settled" lines, those
+that have reached the threshold (the commonest lines, most of the rows, aren't written again and again), and
+adds what is left as one run at level 0; when a level has ``FANOUT`` runs they are merged into one run of the
+next level.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -15,11 +17,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Table, bounded_batches, join_counted
+from .common import Table, bounded_batches, delete, join_counted, new_path, session_setting
+from .url_filter import blocked_bloom, may_hold
 
+#: Runs of a level that are merged; batches in which a corpus is added.
 FANOUT, BATCHES = 4, 5
+#: Spark uses the order of a bucketed table's files only with this setting.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -41,8 +46,7 @@ def _document_lines(min_chars: int):
                 found = [_digest(k) for k in set(line_keys(text)) if k and len(k.decode()) >= min_chars]
                 rows += [i] * len(found)
                 hashes += found
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("text_hash").take(at), pa.array(hashes, pa.binary())], names=["id", "text_hash", "hash"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(rows, pa.int32())), pa.array(hashes, pa.binary())], names=["doc", "hash"])
 
     return run
 
@@ -63,75 +67,97 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=["id", "text", "n_lines", "n_dropped"])
 
 
+class Run:
+    """A table of (hash, n) in as many buckets as the session has shuffle partitions, each one file sorted by hash."""
+
+    def __init__(self, spark: SparkSession, counts: DataFrame):
+        self.spark, self.path, self.name = spark, new_path(spark, "run"), f"line_run_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = counts.select("hash", "n").repartition(buckets, "hash")
+        dealt.write.bucketBy(buckets, "hash").sortBy("hash").option("path", self.path).option("compression", "zstd").format("parquet").saveAsTable(self.name)
+        self.df = spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
+
+
 class LineRuns:
     """The levelled runs. ``threshold`` is the number of documents at which a line is settled."""
 
     def __init__(self, spark: SparkSession, threshold: int):
         self.spark, self.threshold, self.levels = spark, threshold, [[]]
 
-    def _all(self) -> list[Table]:
+    def _all(self) -> list[Run]:
         return [run for level in self.levels for run in level]
 
-    def _sorted(self, df: DataFrame) -> Table:
-        return Table(df.repartitionByRange("hash").sortWithinPartitions("hash"), "run")
-
-    def totals(self) -> DataFrame | None:
-        runs = [run.df for run in self._all()]
-        return reduce(DataFrame.unionByName, runs).groupBy("hash").agg(F.sum("n").alias("n")) if runs else None
+    @staticmethod
+    def _merged(runs: list[Run]) -> DataFrame:
+        """Summed bucket by bucket, as runs have the same buckets."""
+        return reduce(DataFrame.unionByName, [run.df for run in runs]).groupBy("hash").agg(F.sum("n").alias("n"))
 
     def frequent(self) -> DataFrame | None:
         """``(hash, n)`` of the settled lines; n grows with a line's documents, though it isn't kept up once settled."""
-        totals = self.totals()
-        return totals if totals is None else totals.filter(F.col("n") >= self.threshold)
+        return self._merged(self._all()).filter(F.col("n") >= self.threshold) if self._all() else None
 
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """The rows of ``lines`` whose hash is in no run."""
-        return reduce(lambda df, run: df.join(run.df, "hash", "left_anti"), self._all(), lines)
+    def unseen(self, counts: DataFrame, least: int = 1) -> DataFrame:
+        """The rows of ``counts(hash, n)`` whose hash no run has with a count of at least ``least``."""
+        return reduce(lambda df, run: df.join(run.df.filter(F.col("n") >= least).hint("merge"), "hash", "left_anti"), self._all(), counts)
 
     def add(self, lines: DataFrame) -> None:
         """Adds a batch of ``(hash)``, one row for each document that holds the line."""
         counts = lines.groupBy("hash").agg(F.count("*").alias("n"))
+        with session_setting(self.spark, ORDERED, "true"):
+            self.levels[0].append(Run(self.spark, self.unseen(counts, self.threshold)))
+            for k, level in enumerate(self.levels):
+                if len(level) < FANOUT:
+                    break
+                if k + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[k + 1].append(Run(self.spark, self._merged(level)))
+                for run in level:
+                    run.drop()
+                self.levels[k] = []
+
+    def drop(self) -> None:
         for run in self._all():
-            counts = counts.join(run.df.filter(F.col("n") >= self.threshold), "hash", "left_anti")
-        self.levels[0].append(self._sorted(counts))
-        for k, level in enumerate(self.levels):
-            if len(level) < FANOUT:
-                break
-            merged = reduce(DataFrame.unionByName, [run.df for run in level]).groupBy("hash").agg(F.sum("n").alias("n"))
-            if k + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[k + 1].append(self._sorted(merged))
-            for run in level:
-                run.drop()
-            self.levels[k] = []
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = 10, min_chars: int = 1) -> DataFrame:
+            run.drop()
+        self.levels = [[]]
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = 10, min_chars: int = 1, batches: int = BATCHES) -> DataFrame:
     """Takes lines found in at least ``min_documents`` documents out of every document.
 
     Returns ``doc_id``, ``text`` (the lines left, joined by \\n), ``n_lines`` (before) and ``n_dropped``,
-    one row per input row. Only ``id_col`` and ``text_col`` are read.
+    one row per input row. Only ``id_col`` and ``text_col`` are read. The corpus is added in ``batches`` parts by
+    a hash: a larger number keeps the parts small, the result doesn't depend on it.
 
     * A null or empty text is one empty line, and the text returned is empty.
     * Lines with keys under ``min_chars`` code points are never dropped.
     * Every row is a document: repeated rows count, and come back, as often as they occur, and a null
       id is an id like any other.
+    * A text may have any length; its distinct lines must fit in a task.
     * An empty table gives an empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    field = T.StructField("id", texts.schema["id"].dataType)
-    schema = T.StructType([field, T.StructField("text_hash", T.LongType()), T.StructField("hash", T.BinaryType())])
-    lines = Table(texts.mapInArrow(_document_lines(min_chars), schema).withColumn("batch", F.pmod(F.xxhash64("id", "text_hash"), F.lit(BATCHES))), "lines")
+    # Documents that share a key by chance do no harm: a line that is frequent is taken out of each that has it.
+    texts = texts.withColumn("doc", F.xxhash64("id", "text"))
+    found = texts.mapInArrow(_document_lines(min_chars), "doc bigint, hash binary").withColumn("batch", F.pmod("doc", F.lit(batches)))
+    lines = Table(found, "lines").df
 
     runs = LineRuns(spark, min_documents)
-    for k in range(BATCHES):
-        runs.add(lines.df.filter(F.col("batch") == k).select("hash"))
-    frequent = Table(runs.frequent(), "frequent")
-    drops = join_counted(lines.df.select("id", "text_hash", "hash"), frequent.df, ["hash"], "n", "left_semi").groupBy("id", "text_hash").agg(F.collect_set("hash").alias("drop"))
-    same = texts["id"].eqNullSafe(drops["id"]) & (texts["text_hash"] == drops["text_hash"])
-    joined = texts.join(drops, same, "left").select(texts["id"], "text", "drop")
-    out = T.StructType([field, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(_without, out).withColumnRenamed("id", "doc_id")
+    for k in range(batches):
+        runs.add(lines.filter(F.col("batch") == k).select("hash"))
+    frequent = Table(runs.frequent(), "frequent").df
+    runs.drop()
+    drops = join_counted(lines.select("doc", "hash"), frequent, ["hash"], "n", "left_semi").groupBy("doc").agg(F.collect_set("hash").alias("drop"), F.count("*").alias("n"))
+    drops = Table(drops, "drops").df
+    bloom, blocks = blocked_bloom(drops.select(F.col("doc").alias("key")), max(1, drops.count()))
+    touched = may_hold(bloom.scalar(), blocks, F.col("doc"))
+    moved = join_counted(texts.filter(touched), drops.hint("merge"), ["doc"], "n", "left")  # the same plan at every size
+    stay = texts.filter(~touched).withColumn("drop", F.lit(None).cast("array<binary>"))  # not shuffled
+    both = moved.unionByName(stay).select("id", "text", "drop")
+    kind = texts.schema["id"].dataType.simpleString()
+    return both.mapInArrow(_without, f"id {kind}, text string, n_lines bigint, n_dropped bigint").withColumnRenamed("id", "doc_id")
