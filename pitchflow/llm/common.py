@@ -53,8 +53,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+#: Folders that what is written goes to, the innermost last; none is the session's own.
+_folders: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_folders[-1] if _folders else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -62,6 +66,28 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written inside is deleted at the end, but for tables whose path was made outside."""
+    _folders.append(new_path(spark, "scratch"))
+    try:
+        yield
+    finally:
+        delete(spark, _folders.pop())
+
+
+def start_stage(spark: SparkSession) -> None:
+    """Deletes what the stage before wrote for itself; its result has been written elsewhere by now."""
+    if _folders:
+        delete(spark, _folders.pop())
+    _folders.append(f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}")
+
+
+def end_stages() -> None:
+    """What is written from now on is the session's again; what the last stage wrote stays, as its result may read it."""
+    _folders.clear()
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes what this session wrote to the shared folder, once no result that reads it is needed."""
     delete(spark, shared_dir(spark))
@@ -70,8 +96,8 @@ def drop_scratch(spark: SparkSession) -> None:
 class Table:
     """A DataFrame written as Parquet to the shared folder: cuts lineage and survives lost executors."""
 
-    def __init__(self, df: DataFrame, name: str, level: int = 3):
-        self.spark, self.path = df.sparkSession, new_path(df.sparkSession, name)
+    def __init__(self, df: DataFrame, name: str, level: int = 3, path: str | None = None):
+        self.spark, self.path = df.sparkSession, path or new_path(df.sparkSession, name)
         df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
@@ -88,15 +114,15 @@ def join_counted(rows: DataFrame, side: DataFrame, key: list[str], count: str, h
     """``rows`` joined with ``side``, which has one row a key and in ``count`` how many rows the key has in ``rows``.
 
     The HOT_KEYS keys with the most rows, of those with over HOT_ROWS, are broadcast, so that the rows of
-    a hot key stay in their tasks; all others are dealt by key. ``how`` is inner, left or left_semi. ``count`` isn't returned.
+    a hot key stay in their tasks; all others are dealt by key, small tables too: one plan for every size. ``how`` is inner, left or left_semi. ``count`` isn't returned.
     ``rows`` and ``side`` are read twice.
     """
     plain = side.drop(count)
     hot = Table(side.filter(F.col(count) > HOT_ROWS).orderBy(F.desc(count), *key).limit(HOT_KEYS).drop(count), "hot-keys").df
     if hot.isEmpty():
-        return rows.join(plain, key, how)
+        return rows.join(plain.hint("merge"), key, how)
     names = F.broadcast(hot.select(*key))
-    rest = rows.join(names, key, "left_anti").join(plain.join(names, key, "left_anti"), key, how)
+    rest = rows.join(names, key, "left_anti").join(plain.join(names, key, "left_anti").hint("merge"), key, how)
     return rows.join(F.broadcast(hot), key, "inner" if how == "left" else how).unionByName(rest)
 
 

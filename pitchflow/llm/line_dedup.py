@@ -156,7 +156,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = Table(drops, "drops").df
     bloom, blocks = blocked_bloom(drops.select(F.col("doc").alias("key")), max(1, drops.count()))
     touched = may_hold(bloom.scalar(), blocks, F.col("doc"))
-    moved = join_counted(texts.filter(touched), drops.hint("merge"), ["doc"], "n", "left")  # the same plan at every size
+    moved = join_counted(texts.filter(touched), drops, ["doc"], "n", "left")
     stay = texts.filter(~touched).withColumn("drop", F.lit(None).cast("array<binary>"))  # not shuffled
     both = moved.unionByName(stay).select("id", "text", "drop")
     kind = texts.schema["id"].dataType.simpleString()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT_ROWS, Table, bounded_batches, drop_ids, join_counted, small_side
+from .common import HOT_ROWS, Table, bounded_batches, drop_ids, join_counted, new_path, scratch, small_side
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -196,12 +196,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType
     schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("n", "fp1", "fp2")), T.StructField("bands", T.ArrayType(T.LongType()))])
-    sketches = Table(texts.mapInArrow(_sketches, schema), "sketches")
-    full = sketches.df.filter("n > 0 AND id IS NOT NULL")
+    spark, kept = docs.sparkSession, [new_path(docs.sparkSession, x) for x in ("class-of", "groups")]
+    with scratch(spark):
+        mapped, told = _groups(texts, schema, percent, kept)
+    found = join_counted(mapped.filter("rep IS NOT NULL"), told, ["rep"], "copies", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = found.unionByName(mapped.filter("rep IS NULL").select("id", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _groups(texts: DataFrame, schema: T.StructType, percent: int, kept: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(id, n, rep)`` of every row, rep being the smallest id with the same set (null without a set or id), and
+    ``(rep, copies, component)`` of the linked ones. These two are written to the paths ``kept``."""
+    kind = texts.schema["id"].dataType
+    sketches = Table(texts.mapInArrow(_sketches, schema), "sketches").df
+    full = sketches.filter("n > 0 AND id IS NOT NULL")
     same = ["n", "fp1", "fp2"]
     # Copies are one row from here on; written, so that what follows is dealt by other keys than what copies share.
     classes = Table(full.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes").df
-    mapped = Table(join_counted(full.select("id", *same), classes.drop("bands"), same, "copies").select("id", "n", "rep"), "class-of").df
+    mapped = join_counted(full.select("id", *same), classes.drop("bands"), same, "copies").select("id", "n", "rep")
+    alone = sketches.filter("n = 0 OR id IS NULL").select("id", "n", F.lit(None).cast(kind).alias("rep"))
+    mapped = Table(mapped.unionByName(alone), "class-of", path=kept[0]).df
 
     banded = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "n")
     shared = banded.groupBy("key").agg(F.count("*").alias("m"), F.count("*").alias("rows")).filter("m > 1")
@@ -218,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = stars.filter(fits("n", "leader_n")).select(F.col("id").alias("a"), F.col("leader").alias("b"))
     tried = Table(small.unionByName(large).distinct(), "tried").df
 
-    own = mapped.select("id", "rep").distinct()
+    own = mapped.filter("rep IS NOT NULL").select("id", "rep").distinct()
     twice = own.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("m")).filter("lo < hi").drop("hi")
     repeated = join_counted(own, twice, ["id"], "m").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
     links = Table(_verified(texts, tried, percent).unionByName(repeated), "links").df
@@ -236,11 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Classes of many copies are told too if no link leads to them, so that their rows stay where they are.
     told = classes.groupBy("rep").agg(F.sum("copies").alias("copies")).join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    found = join_counted(mapped, told.filter((F.col("copies") > HOT_ROWS) | F.col("component").isNotNull()), ["rep"], "copies", "left")
-    found = found.select("id", "n", F.coalesce("component", "rep").alias("component_id"))
-    alone = sketches.df.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
-    out = found.unionByName(alone)
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    told = Table(told.filter((F.col("copies") > HOT_ROWS) | F.col("component").isNotNull()), "told", path=kept[1]).df
+    return mapped, told
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -251,8 +262,15 @@ def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     rows = Table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows").df  # written, so that numbers stay
     named = rows.filter("doc_id IS NOT NULL")
+    path = new_path(docs.sparkSession, "extra")
+    with scratch(docs.sparkSession):
+        extra = _all_but_first(named, percent, path)
+    return drop_ids(rows, extra, ROW).select(*docs.columns)
+
+
+def _all_but_first(named: DataFrame, percent: int, path: str) -> DataFrame:
+    """Numbers of the rows that are not the first of their group."""
     groups = Table(near_duplicates(named, id_col=ROW, percent=percent).select(F.col("doc_id").alias(ROW), "component_id"), "groups").df
     order = named.select(ROW, F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("hash"), ROW).alias("place"))
     first = groups.join(order, ROW).groupBy("component_id").agg(F.min("place")[ROW].alias(ROW)).select(ROW)
-    extra = Table(groups.select(ROW).join(first, ROW, "left_anti"), "extra").df
-    return drop_ids(rows, extra, ROW).select(*docs.columns)
+    return Table(groups.select(ROW).join(first, ROW, "left_anti"), "extra", path=path).df
