@@ -1,10 +1,15 @@
-"""A training corpus from documents: five stages, each written as Parquet and read by the next."""
+"""A training corpus from documents: five stages, each written as Parquet and read by the next.
+
+A stage's result is written before the next stage is called, which deletes what the stage before wrote for itself.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchflow.llm.common import Table, read
+from pitchflow.llm.common import Table, end_stages, read, shared_dir, start_stage
 from pitchflow.llm.decontaminate import drop_contaminated
 from pitchflow.llm.minhash import keep_one_of_each
 from pitchflow.llm.queries import ORDER_KEY, stage_language_id, stage_mixing
@@ -12,22 +17,27 @@ from pitchflow.llm.token_output import write_training_order
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    start_stage(spark)
     return stage_language_id(spark, docs, sf_dir)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    start_stage(spark)
     return keep_one_of_each(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    start_stage(spark)
     return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    start_stage(spark)
     return stage_mixing(spark, docs, sf_dir)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    start_stage(spark)
     return write_training_order(docs, key=ORDER_KEY)
 
 
@@ -43,7 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, written = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Table(stage(spark, docs, sf_dir), f"stage-{name}").df
-    return STAGES[-1][1](spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
+        before, written = written, Table(made, name, path=f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+        docs = written.df
+        if before:
+            before.drop()
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    end_stages()
+    return out
