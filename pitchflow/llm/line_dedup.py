@@ -1,7 +1,7 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of (hash, number of documents), bucketed and sorted by hash, so that runs are joined and
-merged bucket by bucket as they lie. A batch of documents merge-anti-joins the runs' "settled" lines, those
+A run is a table of (hash, number of documents), bucketed and sorted by hash, so that it is joined
+bucket by bucket as it lies. A batch of documents merge-anti-joins the runs' "settled" lines, those
 that have reached the threshold (the commonest lines, most of the rows, aren't written again and again), and
 adds what is left as one run at level 0; when a level has ``FANOUT`` runs they are merged into one run of the
 next level.
@@ -91,10 +91,9 @@ class LineRuns:
     def _all(self) -> list[Run]:
         return [run for level in self.levels for run in level]
 
-    @staticmethod
-    def _merged(runs: list[Run]) -> DataFrame:
-        """Summed bucket by bucket, as runs have the same buckets."""
-        return reduce(DataFrame.unionByName, [run.df for run in runs]).groupBy("hash").agg(F.sum("n").alias("n"))
+    def _merged(self, runs: list[Run]) -> DataFrame:
+        # Read as plain files: grouped without a shuffle, a union of bucketed scans doesn't meet all rows of a hash (Spark 4.1.2).
+        return self.spark.read.schema("hash binary, n bigint").parquet(*(run.path for run in runs)).groupBy("hash").agg(F.sum("n").alias("n"))
 
     def frequent(self) -> DataFrame | None:
         """``(hash, n)`` of the settled lines; n grows with a line's documents, though it isn't kept up once settled."""
