@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,35 +90,47 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                p, q = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            centres = batch.column("tb")
+            fresh = np.ones(len(batch), dtype=bool)  # edges of a centre follow one another: its set is made once
+            if len(batch) > 1:
+                fresh[1:] = pc.not_equal(centres[1:], centres[:-1]).fill_null(True).to_numpy(zero_copy_only=False)
+            heads, q, keep = shingle_sets(centres.filter(pa.array(fresh))), None, []
+            for new, p in zip(fresh, shingle_sets(batch.column("ta")), strict=True):
+                if new:
+                    q = next(heads)
+                small, big = sorted((p, q), key=len)
+                both = int((big[np.minimum(np.searchsorted(big, small), len(big) - 1)] == small).sum()) if len(small) else 0
+                keep.append(len(small) > 0 and 100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts with these distinct ids."""
+    return texts.join(small_side(ids), "id", "left_semi")
+
+
 def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The non-empty shingle sets of the texts with these ids."""
     schema = T.StructType([texts.schema["id"], T.StructField("shingles", T.BinaryType())])
-    return texts.join(small_side(ids.distinct()), "id", "left_semi").mapInArrow(_sets, schema).filter(F.length("shingles") > 0)
+    return _texts_of(texts, ids.distinct()).mapInArrow(_sets, schema).filter(F.length("shingles") > 0)
 
 
 def _verified(texts: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """The edges (a, b) whose whole shingle sets are similar enough. b may have many edges, a has few."""
+    """The edges (a, b) whose whole shingle sets are similar enough. b may have many edges, a has few.
+
+    Texts are sent, and made sets where they meet: a set has eight bytes a word that don't compress.
+    """
     kind = texts.schema["id"].dataType
-    sets = _sets_of(texts, edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))))
-    degree = edges.groupBy("b").agg(F.count("*").alias("n"), F.ceil(F.count("*") / STAR).alias("salts"))
+    asked = Table(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked").df
+    found = _texts_of(texts, asked)
+    degree = Table(edges.groupBy("b").agg(F.count("*").alias("n"), F.ceil(F.count("*") / STAR).alias("salts")), "degrees").df
     dealt = join_counted(edges, degree, ["b"], "n").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
-    centres = sets.join(degree.select(F.col("b").alias("id"), "salts"), "id")
-    centres = centres.select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
-    pairs = dealt.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(centres, ["b", "salt"])
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(_linked(percent), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    centres = found.join(degree.select(F.col("b").alias("id"), "salts"), "id")
+    centres = centres.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
+    pairs = dealt.join(found.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(centres, ["b", "salt"])
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(_linked(percent), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def _block_pairs(percent: int):
@@ -218,14 +231,14 @@ def _groups(texts: DataFrame, schema: T.StructType, percent: int, kept: list[str
     mapped = Table(mapped.unionByName(alone), "class-of", path=kept[0]).df
 
     banded = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "n")
-    shared = banded.groupBy("key").agg(F.count("*").alias("m"), F.count("*").alias("rows")).filter("m > 1")
+    shared = Table(banded.groupBy("key").agg(F.count("*").alias("m"), F.count("*").alias("rows")).filter("m > 1"), "shared").df
     members = Table(join_counted(banded, shared, ["key"], "rows"), "members").df
     fits = lambda x, y: 100 * F.least(x, y) >= int(percent) * F.greatest(x, y)
 
     few, many = members.filter(F.col("m") <= SMALL_BUCKET), members.filter(F.col("m") > SMALL_BUCKET)
     weight = members.groupBy("id").agg(F.sum("m").alias("w"))
     leader = many.join(weight, "id").groupBy("key", "m").agg(F.min_by(F.struct("id", "n"), F.struct(-F.col("w"), "id")).alias("x"))
-    leader = leader.select("key", "m", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n"))
+    leader = Table(leader.select("key", "m", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n")), "leaders").df
     stars = Table(join_counted(many.select("key", "id", "n"), leader, ["key"], "m").filter("id != leader").drop("key").distinct(), "stars").df
     a, b = (few.select("key", F.col("id").alias(i), F.col("n").alias(n)) for i, n in (("a", "na"), ("b", "nb")))
     small = a.join(b, "key").filter((F.col("a") < F.col("b")) & fits("na", "nb")).select("a", "b")
