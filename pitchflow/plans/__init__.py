@@ -1,0 +1,3 @@
+"""Every operator as a query; each of these modules registers its own in ``catalog.QUERIES``."""
+
+from pitchflow.plans import catalog, drawing, pixels  # noqa: F401
