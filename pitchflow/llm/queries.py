@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from .common import read
 from .decontaminate import find_benchmark
 from .lang_id import held_out, identify_languages, train_language_id
+from .lattice import score_texts
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality_classifier import classify_quality
 from .quality_rules import judge_quality
+from .search import JAVA_TERM, build_index, search
 from .token_output import write_training_order
 from .url_filter import filter_urls
 from .warc import page_captures
+from .whitening import whiten
 
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 MIX_SEED = 7
@@ -79,8 +82,23 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten(read(spark, sf_dir, "embeddings"), components=8)
+    each = out.select("vec_id", "n", F.col("deviation").cast("bigint").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"), "explained", "identity_error")
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    return score_texts(read(spark, sf_dir, "documents"), apart)
+
+
 def queries() -> dict:
-    ops = (op1_url_filters, op2_language_id, op3_source_mixing, op4_token_output, op5_quality_rules, op6_warc, op7_quality_classifier, op8_decontamination, op9_line_dedup, op10_minhash)
+    ops = (op1_url_filters, op2_language_id, op3_source_mixing, op4_token_output, op5_quality_rules, op6_warc, op7_quality_classifier, op8_decontamination, op9_line_dedup, op10_minhash, op11_whitening, op12_lexical_search, op13_lm_scoring)
     return {f.__name__: f for f in ops}
 
 
@@ -126,9 +144,20 @@ least_id AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least_id USING (doc_id)
 """
 
+OP12_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{JAVA_TERM}') AS t FROM documents),
+every AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM docs WHERE len(t) > 0),
+ms AS (SELECT d, doc_id, 75 + (25 * len(t) * n_docs) // n_terms AS m FROM docs, every WHERE len(t) > 0),
+tfs AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(t) AS term FROM docs) GROUP BY ALL),
+ws AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, every GROUP BY term),
+asked AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{JAVA_TERM}')) AS term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT q, item_id, d, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM asked JOIN ws USING (term) JOIN tfs USING (term) JOIN ms USING (d) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op6_warc": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_minhash": OP10_SQL}
+    return {"op1_url_filters": OP1_SQL, "op6_warc": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_minhash": OP10_SQL, "op12_lexical_search": OP12_SQL}
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
