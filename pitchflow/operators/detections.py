@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pitchflow.operators.chunks import CLIP
 from pitchflow.schema import VOTES
 
+#: What a frame is named by: numbers of frames, boxes and tracks mean nothing without their clip.
+FRAME = [CLIP, "frame"]
+
 #: Anchors that a row is compared with at once.
 ANCHORS = 1000
 
@@ -15,12 +19,12 @@ ANCHORS = 1000
 def boxes(log: DataFrame) -> DataFrame:
     """Boxes standing on each row's foot point, half as wide as high."""
     half = F.floor(F.col("bbox_height") / 2) / 2
-    out = log.select("frame", F.col("log_seq").alias("det_seq"), "track_id", "class_name", (F.col("pixel_x") - half).alias("x1"), (F.col("pixel_y") - F.col("bbox_height")).alias("y1"), (F.col("pixel_x") + half).alias("x2"), F.col("pixel_y").alias("y2"))
+    out = log.select(*FRAME, F.col("log_seq").alias("det_seq"), "track_id", "class_name", (F.col("pixel_x") - half).alias("x1"), (F.col("pixel_y") - F.col("bbox_height")).alias("y1"), (F.col("pixel_x") + half).alias("x2"), F.col("pixel_y").alias("y2"))
     return out.withColumn("confidence", (F.col("det_seq") * 37 % 100) / 100.0)
 
 
 def foot_points(b: DataFrame) -> DataFrame:
-    return b.select("det_seq", ((F.col("x1") + F.col("x2")) / 2).alias("foot_x"), F.col("y2").alias("foot_y"), (F.col("y2") - F.col("y1")).alias("height"))
+    return b.select(CLIP, "det_seq", ((F.col("x1") + F.col("x2")) / 2).alias("foot_x"), F.col("y2").alias("foot_y"), (F.col("y2") - F.col("y1")).alias("height"))
 
 
 def remap_classes(b: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -30,34 +34,47 @@ def remap_classes(b: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def best_of_singletons(b: DataFrame, classes: tuple[str, ...]) -> DataFrame:
     """One detection per frame of each singleton class: the surest, then the first."""
-    w = Window.partitionBy("frame", "class_name").orderBy(F.desc("confidence"), "det_seq")
+    w = Window.partitionBy(*FRAME, "class_name").orderBy(F.desc("confidence"), "det_seq")
     one = b.filter(F.col("class_name").isin(*classes)).withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
     return b.filter(~F.col("class_name").isin(*classes)).unionByName(one)
 
 
 def click_boxes(clicks: DataFrame, b: DataFrame, reach: float = 80.0) -> DataFrame:
-    """For each click: the smallest box that contains it, else the box with the nearest centre within reach."""
-    both = clicks.join(b, "frame")
+    """For each of ``clicks(clip_id, frame, click_id, cx, cy)``: the smallest box that contains it, else the box with the
+    nearest centre within ``reach``; ties go to the first box. Clicks without either are left out.
+
+    Clicks and boxes meet in cells of a grid of ``reach``: a click is in one, a box in all from which it can be chosen.
+    """
+    cell = lambda v: F.floor(v / reach).cast("bigint")
+    middle = lambda c: (F.col(f"{c}1") + F.col(f"{c}2")) / 2
+    cells = lambda c: F.explode(F.sequence(cell(F.least(F.col(f"{c}1"), middle(c) - reach)), cell(F.greatest(F.col(f"{c}2"), middle(c) + reach))))
+    near = b.filter("x1 <= x2 AND y1 <= y2").select(*FRAME, "det_seq", "x1", "y1", "x2", "y2", cells("x").alias("cell_x")).withColumn("cell_y", cells("y"))
+    asked = clicks.select(*FRAME, "click_id", "cx", "cy", cell(F.col("cx")).alias("cell_x"), cell(F.col("cy")).alias("cell_y"))
+    both = asked.join(near, [*FRAME, "cell_x", "cell_y"])
     inside = F.col("cx").between(F.col("x1"), F.col("x2")) & F.col("cy").between(F.col("y1"), F.col("y2"))
-    dx, dy = F.col("cx") - (F.col("x1") + F.col("x2")) / 2, F.col("cy") - (F.col("y1") + F.col("y2")) / 2
+    dx, dy = F.col("cx") - middle("x"), F.col("cy") - middle("y")
     both = both.withColumns({"out": ~inside, "d": F.sqrt(dx * dx + dy * dy), "area": (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))}).filter(~F.col("out") | (F.col("d") <= reach))
     key = F.struct("out", F.when(F.col("out"), F.col("d")).otherwise(F.col("area")), "det_seq")
-    return both.groupBy("frame").agg(F.min_by(F.struct("det_seq", F.col("out").alias("by_centre")), key).alias("p")).select("frame", "p.*")
+    best = both.groupBy(*FRAME, "click_id").agg(F.min_by(F.struct("det_seq", F.col("out").alias("by_centre")), key).alias("p"))
+    return best.select(*FRAME, "click_id", "p.*")
 
 
 def team_votes(sightings: DataFrame, votes: int = VOTES) -> DataFrame:
-    """Label of a track at each sighting: the commonest of its first ``votes`` so far, ties to the earliest; null is a vote."""
-    w = Window.partitionBy("track_id").orderBy("seq")
+    """Label of a track of a clip at each sighting: the commonest of its first ``votes`` so far, ties to the earliest; null is a vote.
+
+    A track is sorted by its sightings, but only the first ``votes`` are gathered: later rows take what those say.
+    """
+    w = Window.partitionBy(CLIP, "track_id").orderBy("seq")
     label = F.coalesce("label", F.lit(-1))
     rows = sightings.withColumn("rn", F.row_number().over(w)).withColumn("seen", F.collect_list(F.when(F.col("rn") <= votes, label)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     tally = F.transform(F.array_distinct("seen"), lambda x: F.struct(F.size(F.filter("seen", lambda y: y == x)).alias("n"), (-F.array_position("seen", x)).alias("p"), x.alias("label")))
     won = F.array_max(tally)["label"]
-    return rows.select("track_id", "seq", F.when(won >= 0, won).alias("team"), (F.col("rn") >= votes).alias("locked"))
+    return rows.select(CLIP, "track_id", "seq", F.when(won >= 0, won).alias("team"), (F.col("rn") >= votes).alias("locked"))
 
 
 def track_majority(sightings: DataFrame) -> DataFrame:
-    counts = sightings.groupBy("track_id", F.coalesce("label", F.lit(-1)).alias("label")).agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    return counts.groupBy("track_id").agg(F.max_by("label", F.struct("n", -F.col("first"))).alias("label"))
+    counts = sightings.groupBy(CLIP, "track_id", F.coalesce("label", F.lit(-1)).alias("label")).agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    return counts.groupBy(CLIP, "track_id").agg(F.max_by("label", F.struct("n", -F.col("first"))).alias("label"))
 
 
 def nearest_anchor(vectors: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -80,16 +97,16 @@ def nearest_anchor(vectors: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def suppress(b: DataFrame, overlap: float = 0.5) -> DataFrame:
-    """Without the boxes that overlap a surer box of their frame and class, that stays, by more than ``overlap``."""
+    """Without the boxes that overlap a surer box of their clip's frame and class, that stays, by more than ``overlap``."""
     size = lambda x: (x["x2"] - x["x1"]) * (x["y2"] - x["y1"])
     side = lambda p, q, c: F.greatest(F.lit(0.0), F.least(p[f"{c}2"], q[f"{c}2"]) - F.greatest(p[f"{c}1"], q[f"{c}1"]))
     both = lambda p, q: side(p, q, "x") * side(p, q, "y")
     covers = lambda p, q: both(p, q) > overlap * (size(p) + size(q) - both(p, q))
     box = F.struct((-F.col("confidence")).alias("doubt"), "det_seq", "track_id", "x1", "y1", "x2", "y2")
-    found = b.groupBy("frame", "class_name").agg(F.sort_array(F.collect_list(box)).alias("boxes"))  # a frame's boxes are few
+    found = b.groupBy(*FRAME, "class_name").agg(F.sort_array(F.collect_list(box)).alias("boxes"))  # a frame's boxes are few
     stays = F.aggregate("boxes", F.slice("boxes", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: covers(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
-    rows = found.select("frame", "class_name", F.explode(stays).alias("x")).select("frame", "class_name", "x.*")
-    return rows.select("frame", "det_seq", "track_id", "class_name", "x1", "y1", "x2", "y2", (-F.col("doubt")).alias("confidence"))
+    rows = found.select(*FRAME, "class_name", F.explode(stays).alias("x")).select(*FRAME, "class_name", "x.*")
+    return rows.select(*FRAME, "det_seq", "track_id", "class_name", "x1", "y1", "x2", "y2", (-F.col("doubt")).alias("confidence"))
 
 
 def detect(b: DataFrame, ball: str, sure: float = 0.3, ball_sure: float = 0.1, overlap: float = 0.5) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitchflow.functions.geometry import distance
+from pitchflow.operators import jumps
+from pitchflow.operators.chunks import CLIP, nearest
 from pitchflow.schema import BALL, BALL_MARGIN, LENGTH, MAX_GAP, MAX_JUMP, MIN_RUN, PERSON, RADIUS_M, RADIUS_SCALE, WIDTH
-
-CLIP = "clip_id"
+from pitchflow.sources.files import stored
 
 
 def within(margin: float, x: str = "pitch_x", y: str = "pitch_y") -> Column:
@@ -32,8 +32,7 @@ def is_calibrated(log: DataFrame) -> DataFrame:
 
 def space_of(log: DataFrame) -> DataFrame:
     """One pair of coordinates for a whole clip: metres if any row has them, else pixels."""
-    any_pitch = is_calibrated(log)
-    both = log.join(any_pitch, CLIP)
+    both = log.join(stored(is_calibrated(log), "calibrated"), CLIP)  # a small file: Spark broadcasts it below its threshold
     return both.withColumns({c: F.when(F.col("calibrated"), F.col(f"pitch_{c}")).otherwise(F.col(f"pixel_{c}")) for c in "xy"})
 
 
@@ -57,37 +56,31 @@ def raw_ball(log: DataFrame, space: str = "pitch") -> DataFrame:
 
 def ball_with_scale(log: DataFrame, space: str = "pitch") -> DataFrame:
     """A frame without players, or with scale 0, takes the clip's scale; a null scale of a frame stays null."""
-    scale = player_scale(log, space).withColumn("known", F.lit(True))
-    rows = raw_ball(log, space).join(scale, [CLIP, "frame"], "left").join(global_scale(scale), CLIP, "left")
+    scale = stored(player_scale(log, space).withColumn("known", F.lit(True)), "scale")
+    rows = raw_ball(log, space).join(scale, [CLIP, "frame"], "left").join(stored(global_scale(scale), "global-scale"), CLIP, "left")
     use = F.when(F.col("known").isNull() | (F.col("scale") == 0), F.coalesce("global_scale", F.lit(1.0))).otherwise(F.col("scale"))
     return rows.select(CLIP, "frame", "x", "y", use.alias("scale"))
 
 
 def jump_filter(rows: DataFrame, max_jump: float = MAX_JUMP) -> DataFrame:
-    """Drops ball rows too far from the last one kept, for the frames between; one ordered pass for each clip."""
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p, keep, last = p.sort_values("frame"), [], None
-        for frame, x, y, scale in zip(p["frame"], p["x"], p["y"], p["scale"], strict=True):
-            ok = last is None or not ((x - last[1]) ** 2 + (y - last[2]) ** 2) ** 0.5 > max_jump * scale * max(frame - last[0], 1)
-            keep.append(ok)
-            last = (frame, x, y) if ok else last
-        return p.loc[keep, [CLIP, "frame", "x", "y"]]
-
-    return rows.groupBy(CLIP).applyInPandas(fold, f"{CLIP} string, frame bigint, x double, y double")
+    """Drops ball rows too far from the last one kept, for the frames between, chunk by chunk."""
+    return jumps.jump_filter(rows, max_jump)
 
 
 def interpolate(track: DataFrame, max_gap: int = MAX_GAP, strict_gaps: bool = False) -> DataFrame:
     """Every frame from the first to the last: gaps get at most their first ``max_gap`` frames filled linearly
-    (with ``strict_gaps``, longer gaps stay wholly empty); frames without a position are left out."""
-    spine = track.groupBy(CLIP).agg(F.min("frame").alias("a"), F.max("frame").alias("b")).select(CLIP, F.explode(F.sequence("a", "b")).alias("frame"))
-    at = spine.join(track, [CLIP, "frame"], "left").withColumn("here", F.when(F.col("x").isNotNull(), F.struct("frame", "x", "y")))
-    w = Window.partitionBy(CLIP).orderBy("frame")
-    at = at.withColumns({"p": F.last("here", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.first("here", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
-    age, gap = F.col("frame") - F.col("p.frame"), F.col("n.frame") - F.col("p.frame")
-    fill = lambda c: F.when(F.col("here").isNotNull(), F.col(c)).otherwise(F.col(f"p.{c}") + (F.col(f"n.{c}") - F.col(f"p.{c}")) * age / gap)
-    keep = (gap - 1 <= max_gap) if strict_gaps else (age <= max_gap)
-    return at.filter(F.col("here").isNotNull() | keep).select(CLIP, "frame", fill("x").alias("x"), fill("y").alias("y"), F.col("here").isNull().alias("was_interpolated"))
+    (with ``strict_gaps``, longer gaps stay wholly empty); frames without a position are left out.
+
+    A gap is filled from the row after it, so that only the row before has to be known.
+    """
+    at = nearest(track.select(CLIP, "frame", "x", "y"), F.struct("frame", "x", "y"), "p", own=False)
+    gap = F.col("frame") - F.col("p.frame")
+    last = F.least(F.col("frame") - 1, F.col("p.frame") + max_gap)
+    open_ = (gap > 1) & (gap - 1 <= max_gap) if strict_gaps else gap > 1
+    filled = at.filter(open_).withColumn("f", F.explode(F.sequence(F.col("p.frame") + 1, last)))
+    at_f = lambda c: F.col(f"p.{c}") + (F.col(c) - F.col(f"p.{c}")) * (F.col("f") - F.col("p.frame")) / gap
+    filled = filled.select(CLIP, F.col("f").alias("frame"), at_f("x").alias("x"), at_f("y").alias("y"), F.lit(True).alias("was_interpolated"))
+    return track.select(CLIP, "frame", "x", "y", F.lit(False).alias("was_interpolated")).unionByName(filled)
 
 
 def clean_ball(log: DataFrame, space: str = "pitch", max_gap: int = MAX_GAP, max_jump: float = MAX_JUMP) -> DataFrame:
@@ -105,16 +98,19 @@ def possessors(log: DataFrame, ball: DataFrame | None = None, space: str = "pitc
     if space == "pitch":
         near = near.filter(F.col("dist") <= radius)
     else:
-        scale = player_scale(log, space)
-        near = near.join(scale, [CLIP, "frame"], "left").join(global_scale(scale), CLIP, "left").filter(F.col("dist") <= F.coalesce("scale", "global_scale") * radius_scale)
+        scale = stored(player_scale(log, space), "scale")
+        near = near.join(scale, [CLIP, "frame"], "left").join(stored(global_scale(scale), "global-scale"), CLIP, "left").filter(F.col("dist") <= F.coalesce("scale", "global_scale") * radius_scale)
     return near.groupBy(CLIP, "frame").agg(F.min_by(F.struct("track_id", "team"), F.struct("dist", "log_seq")).alias("p")).select(CLIP, "frame", "p.*")
 
 
 def possession_runs(possession: DataFrame, min_frames: int = MIN_RUN) -> DataFrame:
-    """Touches: neighbouring possession rows of one player, whatever frames lie between, if there are enough."""
-    w = Window.partitionBy(CLIP).orderBy("frame")
-    new = F.coalesce((F.col("track_id") != F.lag("track_id").over(w)).cast("int"), F.lit(1))
-    rows = possession.withColumn("new", new).withColumn("run", F.sum("new").over(w))
+    """Touches: neighbouring possession rows of one player, whatever frames lie between, if there are enough.
+
+    A run is named by the frame that it starts on, which rows of later chunks are told by one row a chunk.
+    """
+    rows = nearest(stored(possession, "possession"), F.struct("track_id"), "before", own=False)
+    begins = F.col("before").isNull() | (F.col("track_id") != F.col("before.track_id"))
+    rows = nearest(rows, F.when(begins, F.col("frame")), "run")
     team = F.min_by("team", F.when(F.col("team").isNotNull(), F.col("frame")))
     runs = rows.groupBy(CLIP, "run").agg(F.min("track_id").alias("track_id"), team.alias("team"), F.count("*").alias("length"), F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"))
     return runs.filter(F.col("length") >= min_frames).drop("run")

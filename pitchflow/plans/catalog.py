@@ -19,6 +19,8 @@ from pitchflow.sources import files, position_log
 from pitchflow.sources.position_log import from_events
 from pitchflow.streaming import state as K
 from pitchflow.streaming.association import BOX, associate
+from pitchflow.streaming.jobs import in_parts, setting
+from pitchflow.streaming.votes import PROVIDER, team_vote_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -220,14 +222,13 @@ over_log("jn_defensive_semi", _PHASE + " SELECT l.log_seq, l.team FROM log l JOI
 _SINGLE = ("sports ball", "ref")
 over_log("top_singleton", "SELECT det_seq FROM (SELECT *, row_number() OVER (PARTITION BY frame, class_name ORDER BY confidence DESC, det_seq) AS k FROM boxes) WHERE k = 1 OR class_name NOT IN ('sports ball', 'ref')", "det_seq")(lambda log: D.best_of_singletons(D.boxes(log), _SINGLE))
 over_log("top_ball_fallback", "SELECT frame, det_seq FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY confidence DESC, det_seq) AS k FROM boxes WHERE class_name = 'person') WHERE k = 1", "frame", "det_seq")(lambda log: D.best_of_singletons(D.boxes(log), ("person",)).filter("class_name = 'person'"))
-over_log("top_first_ball", "SELECT frame, min(det_seq) AS det_seq FROM boxes WHERE class_name = 'sports ball' GROUP BY frame")(lambda log: D.boxes(log).filter("class_name = 'sports ball'").groupBy("frame").agg(F.min("det_seq").alias("det_seq")))
+over_log("top_first_ball", "SELECT frame, min(det_seq) AS det_seq FROM boxes WHERE class_name = 'sports ball' GROUP BY frame")(lambda log: D.boxes(log).filter("class_name = 'sports ball'").groupBy(*D.FRAME).agg(F.min("det_seq").alias("det_seq")))
 over_log("set_union_detections", "SELECT det_seq, pass FROM (SELECT det_seq, 0 AS pass FROM boxes WHERE class_name = 'sports ball' UNION ALL SELECT det_seq, 1 FROM boxes WHERE class_name = 'person')")(lambda log: (lambda b: b.filter("class_name = 'sports ball'").select("det_seq", F.lit(0).alias("pass")).unionByName(b.filter("class_name = 'person'").select("det_seq", F.lit(1).alias("pass"))))(D.boxes(log)))
-_clicks = lambda log: log.filter("class_name = 'sports ball'").select("frame", F.col("pixel_x").alias("cx"), F.col("pixel_y").alias("cy"))
-over_log("jn_click_box", """, c AS (SELECT frame, pixel_x AS cx, pixel_y AS cy FROM log WHERE class_name = 'sports ball'),
-q AS (SELECT c.frame, b.det_seq, NOT (cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND y2) AS far, sqrt((cx - (x1 + x2) / 2) * (cx - (x1 + x2) / 2) + (cy - (y1 + y2) / 2) * (cy - (y1 + y2) / 2)) AS d, (x2 - x1) * (y2 - y1) AS area FROM c JOIN boxes b ON b.frame = c.frame AND b.class_name = 'person')
-SELECT frame, det_seq, far AS by_centre FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY far, CASE WHEN far THEN d ELSE area END, det_seq) AS k FROM q WHERE NOT far OR d <= 80) WHERE k = 1""")(lambda log: D.click_boxes(_clicks(log), D.boxes(log).filter("class_name = 'person'")))
-_boxes = lambda log: D.boxes(log).filter("class_name = 'person'").select(F.lit("clip").alias("clip_id"), "frame", "det_seq", *BOX)
-_centres = lambda log: log.filter("class_name = 'person'").select(F.col("log_seq").alias("start_id"), "clip_id", "frame", F.col("pixel_x").alias("x"), (F.col("pixel_y") - F.col("bbox_height") / 2).alias("y"))
+# A click on the ball of each frame, and one on the shirt of every third row: several a frame
+_clicks = lambda log: log.filter("class_name = 'sports ball' OR log_seq % 3 = 0").select(T.CLIP, "frame", F.col("log_seq").alias("click_id"), F.col("pixel_x").alias("cx"), (F.col("pixel_y") - F.when(F.col("class_name") != "sports ball", F.col("bbox_height") / 2).otherwise(0)).alias("cy"))
+over_log("jn_click_box", """, c AS (SELECT frame, log_seq AS click_id, pixel_x AS cx, pixel_y - CASE WHEN class_name <> 'sports ball' THEN bbox_height / 2 ELSE 0 END AS cy FROM log WHERE class_name = 'sports ball' OR log_seq % 3 = 0),
+q AS (SELECT c.frame, click_id, b.det_seq, NOT (cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND y2) AS far, sqrt((cx - (x1 + x2) / 2) * (cx - (x1 + x2) / 2) + (cy - (y1 + y2) / 2) * (cy - (y1 + y2) / 2)) AS d, (x2 - x1) * (y2 - y1) AS area FROM c JOIN boxes b ON b.frame = c.frame AND b.class_name = 'person')
+SELECT frame, click_id, det_seq, far AS by_centre FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY far, CASE WHEN far THEN d ELSE area END, det_seq) AS k FROM q WHERE NOT far OR d <= 80) WHERE k = 1""")(lambda log: D.click_boxes(_clicks(log), D.boxes(log).filter("class_name = 'person'")))
 
 # Drawing
 over_log("rnd_topdown", """SELECT frame, 'ball' AS kind, CAST(-1 AS BIGINT) AS track_id, CAST(trunc((x + 4) * 10) AS INTEGER) AS px, CAST(trunc((y + 4) * 10) AS INTEGER) AS py, 'ball' AS color, NOT was_interpolated AS filled FROM ball
@@ -259,7 +260,7 @@ LOG_H = np.diag([0.1, 0.1, 1.0])
 
 def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1)
-    return _events(spark, sf_dir).filter(F.col("event_type").isin("click", "view", "purchase")).select(F.col("user_id").alias("track_id"), F.col("event_id").alias("seq"), label.alias("label"))
+    return _events(spark, sf_dir).filter(F.col("event_type").isin("click", "view", "purchase")).select(F.lit("clip").alias(T.CLIP), F.col("user_id").alias("track_id"), F.col("event_id").alias("seq"), label.alias("label"))
 
 
 def plain(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
@@ -271,9 +272,20 @@ def plain(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str | Non
 _VOTE = BASE + """, o AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS rn FROM sightings),
 t AS (SELECT a.track_id, a.seq, a.rn, b.label, count(*) AS n, min(b.rn) AS first FROM o a JOIN o b ON a.track_id = b.track_id AND b.rn <= least(a.rn, 5) GROUP BY ALL)
 SELECT track_id, seq, label AS team, rn >= 5 AS locked FROM (SELECT *, row_number() OVER (PARTITION BY track_id, seq ORDER BY n DESC, first) AS k FROM t) WHERE k = 1"""
-plain("win_team_vote", lambda s, d: D.team_votes(_sightings(s, d)), _VOTE)
-plain("st_team_vote", lambda s, d: D.team_votes(_sightings(s, d)).filter("locked"), f"SELECT * FROM ({_VOTE}) WHERE locked")
-plain("agg_track_majority", lambda s, d: D.track_majority(_sightings(s, d)), BASE + " SELECT track_id, label FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY n DESC, first) AS k FROM (SELECT track_id, coalesce(label, -1) AS label, count(*) AS n, min(seq) AS first FROM sightings GROUP BY ALL)) WHERE k = 1")
+plain("win_team_vote", lambda s, d: D.team_votes(_sightings(s, d)).drop(T.CLIP), _VOTE)
+
+
+def _vote_parts(s: SparkSession, d: str, parts: int = 5) -> DataFrame:
+    """The votes of a stream that gets the sightings in ``parts``, in order, and is started anew for each."""
+    seen = _sightings(s, d)
+    last = seen.agg(F.max("seq")).first()[0] or 0
+    part = F.floor(F.col("seq") * parts / (last + 1))
+    with setting(s, *PROVIDER):
+        return in_parts([seen.filter(part == k) for k in range(parts)], team_vote_stream, "team-votes")
+
+
+plain("st_team_vote", lambda s, d: _vote_parts(s, d).drop(T.CLIP), _VOTE)
+plain("agg_track_majority", lambda s, d: D.track_majority(_sightings(s, d)).drop(T.CLIP), BASE + " SELECT track_id, label FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY n DESC, first) AS k FROM (SELECT track_id, coalesce(label, -1) AS label, count(*) AS n, min(seq) AS first FROM sightings GROUP BY ALL)) WHERE k = 1")
 _KEYPOINTS = "VALUES " + ", ".join(f"({i}, '{n}', {x!r}D, {y!r}D)" for i, n, x, y in S.keypoints())
 keypoint_table = lambda s: s.sql(f"SELECT * FROM ({_KEYPOINTS}) AS k(id, name, x, y)")
 _KP_SQL = "SELECT * FROM (" + _KEYPOINTS.replace("D,", "::DOUBLE,").replace("D)", "::DOUBLE)") + ") AS k(id, name, x, y)"
@@ -350,10 +362,10 @@ _PIXELS = "SELECT event_id, user_id % 50 AS crop, event_id % 256 AS b, (event_id
 plain("agg_mean_color", lambda s, d: D.mean_colors(_events(s, d).selectExpr("user_id % 50 AS crop", "event_id % 256 AS b", "(event_id * 7) % 256 AS g", "(event_id * 13) % 256 AS r", "event_id % 180 AS h", "(event_id * 3) % 256 AS s")),
       f"WITH p AS ({_PIXELS}), c AS (SELECT crop, count(*) AS n, count(*) FILTER (WHERE NOT (h BETWEEN 35 AND 95 AND s >= 60)) AS k, " + ", ".join(f"sum({x}) AS {x}a, sum({x}) FILTER (WHERE NOT (h BETWEEN 35 AND 95 AND s >= 60)) AS {x}k" for x in "bgr") + " FROM p GROUP BY crop) SELECT crop, " + ", ".join(f"round(CASE WHEN k < greatest(3.0, 0.05 * n) THEN {x}a / n ELSE {x}k / k END, 6) AS {x}" for x in "bgr") + " FROM c")
 
-over_log("st_bytetrack", None, "frame", "det_seq", "track_id")(lambda log: associate(D.boxes(log).select(F.lit("clip").alias("clip_id"), "frame", "det_seq", *BOX, "confidence")))
+over_log("st_bytetrack", None, "frame", "det_seq", "track_id")(lambda log: associate(D.boxes(log).select("clip_id", "frame", "det_seq", *BOX, "confidence")))
 
 over_log("srt_frame", "SELECT " + _LOG + " FROM log", *LOG)(lambda log: log.orderBy("frame", "log_seq"))
-_STORED = ("frame", "track_id", "class_name", "team", "pixel_x", "pixel_y", "pitch_x", "pitch_y", "bbox_height", "is_predicted")
+_STORED = ("log_seq", "frame", "track_id", "class_name", "team", "pixel_x", "pixel_y", "pitch_x", "pitch_y", "bbox_height", "is_predicted")
 
 
 def _stored_log(s: SparkSession, d: str) -> DataFrame:
@@ -362,6 +374,12 @@ def _stored_log(s: SparkSession, d: str) -> DataFrame:
     return position_log.read_csv(s, path).select(*_STORED)
 
 
+def _stored_clips(s: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(s, "clips")
+    position_log.write_csv(position_log.in_clips(from_events(_events(s, d)), 100), path, by_clip=True)
+    return position_log.read_csv(s, path).select(T.CLIP, *_STORED)
+
+
 def _stored_pairs(s: SparkSession, d: str) -> DataFrame:
     path = files.scratch(s, "pairs")
     pairs = _events(s, d).selectExpr("'v' || (event_id div 400) AS video", "event_id div 8 AS frame", "'p' || event_id AS name", "user_id / 2.0D AS pixel_x", "event_id / 4.0D AS pixel_y", "(user_id % 105) / 2.0D AS pitch_x", "(event_id % 68) / 2.0D AS pitch_y")
@@ -399,7 +417,10 @@ def _stored_options(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(k, float(v)) for k, v in vars(files.read_options(s, path)).items()], "name string, value double")
 
 
-plain("sink_position_log", _stored_log, f"{BASE} SELECT {', '.join(_STORED)} FROM log")
+# Rows come back numbered in the order in which they were written
+plain("sink_position_log", _stored_log, f"{BASE} SELECT row_number() OVER (ORDER BY log_seq) - 1 AS log_seq, {', '.join(_STORED[1:])} FROM log")
+plain("src_clip_logs", _stored_clips, f"""{BASE}, c AS (SELECT * REPLACE (frame % 100 AS frame), 'clip' || (frame // 100) AS clip_id FROM log)
+SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY log_seq) - 1 AS log_seq, {', '.join(_STORED[1:])} FROM c""")
 plain("src_correspondences", _stored_pairs, _PAIRS)
 plain("sink_correspondences", lambda s, d: _stored_pairs(s, d).groupBy("video", "frame").agg(F.count("*").alias("n")), f"SELECT video, frame, count(*) AS n FROM ({_PAIRS}) GROUP BY video, frame")
 plain("src_homography", _stored_homography, "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, ({v})::DOUBLE)" for i, v in enumerate(v for row in _H for v in row)) + ") t(i, v)")

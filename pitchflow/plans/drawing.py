@@ -158,7 +158,7 @@ starts AS (%s), walk AS (SELECT det_seq AS start_id, det_seq, 0 AS k FROM starts
 
 
 def _boxes(log: DataFrame) -> DataFrame:
-    return D.boxes(log).filter("class_name = 'person'").select(F.lit("clip").alias("clip_id"), "frame", "det_seq", "track_id", *BOX)
+    return D.boxes(log).filter("class_name = 'person'").select("clip_id", "frame", "det_seq", "track_id", *BOX)
 
 
 def _starts(boxes: DataFrame) -> DataFrame:

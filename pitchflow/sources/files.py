@@ -25,18 +25,31 @@ class Options:
     ball_confidence: float = 0.1
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; only a local session may have none, and gets one of its own."""
+def session_dir(spark: SparkSession) -> str:
+    """The session's folder under spark.checkpoint.dir; only a local session may have none set, and gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-tables"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the session's folder."""
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what this session's operators wrote, once no result that reads it is needed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back, for a small table that several joins use."""
+    """``df`` written as Parquet and read back, for a small table that several joins use; its size is known to Spark,
+    which broadcasts it only below its threshold. ``drop_scratch`` deletes it."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

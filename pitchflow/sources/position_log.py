@@ -4,21 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pitchflow.schema import BALL, PERSON, POSITION_LOG, REF
+from pitchflow.sources.files import stored
+
+
+#: Columns of a CSV log, in order; the clip comes from the folder or the caller.
+CSV = "frame bigint, track_id bigint, class_name string, team double, pixel_x double, pixel_y double, pitch_x double, pitch_y double, bbox_height double, is_predicted boolean, clip_id string"
+
+
+def numbered(raw: DataFrame, name: str, by: str) -> DataFrame:
+    """Adds ``name``: the number, from 0, of each row of a scanned text table among those of its ``by``, in the order of its files.
+
+    Spark packs files into tasks by size, so the order of a scan isn't that of the files. But rows of one block of
+    a file come in order. So blocks are counted first, one row each, summed up by file and place; then each row
+    has its place in its block and the rows before the block. No row is moved or sorted for it. Files are in order of their
+    part numbers, then their names.
+    """
+    at = raw.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()})
+    part = F.coalesce(F.regexp_extract("_file", r"/part-(\d+)[^/]*$", 1).try_cast("bigint"), F.lit(0))
+    blocks = stored(at.groupBy(by, "_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).withColumn("_part", part), "blocks")
+    within = Window.partitionBy(by, "_part", "_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    files = blocks.groupBy(by, "_part", "_file").agg(F.sum("_n").alias("_n"))
+    before = files.withColumn("_files", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a file
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(before.select(by, "_file", "_files"), [by, "_file"])
+    told = stored(blocks.select("_file", "_start", "_first", "_n", (F.col("_before") + F.col("_files")).alias("_before")), "block-places")
+    place = F.col("_id") - F.col("_first")
+    # Both scans must be packed alike, which Spark does for the same files and settings.
+    moved = F.raise_error(F.concat(F.lit("files changed while they were read: "), "_file")).cast("bigint")
+    number = F.when((place >= 0) & (place < F.col("_n")), F.col("_before") + place).otherwise(moved)
+    return at.join(told, ["_file", "_start"]).withColumn(name, number).drop("_file", "_start", "_id", "_first", "_n", "_before")
 
 
 def read_csv(spark: SparkSession, path: str, clip_id: str = "clip") -> DataFrame:
-    """A log written as CSV; NaN becomes null once, here, and row order is kept in ``log_seq``."""
-    schema = "frame bigint, track_id bigint, class_name string, team double, pixel_x double, pixel_y double, pitch_x double, pitch_y double, bbox_height double, is_predicted boolean"
-    raw = spark.read.schema(schema).option("header", True).csv(path)
+    """A log written as CSV; NaN becomes null once, here, and ``log_seq`` is a row's number in its clip in the order of the files.
+
+    With folders ``clip_id=...`` each is a clip, else all files are the clip ``clip_id``.
+    """
+    raw = spark.read.schema(CSV).option("header", True).csv(path).withColumn("clip_id", F.coalesce("clip_id", F.lit(clip_id)))
     clean = {c: F.when(~F.isnan(c), F.col(c)) for c in ("team", "pitch_x", "pitch_y", "bbox_height")}
-    rows = raw.withColumns(clean).withColumns({"team": F.col("team").cast("int"), "clip_id": F.lit(clip_id), "log_seq": F.monotonically_increasing_id()})
+    rows = numbered(raw, "log_seq", "clip_id").withColumns(clean).withColumn("team", F.col("team").cast("int"))
     return rows.select(POSITION_LOG.names)
 
 
-def write_csv(log: DataFrame, path: str) -> None:
-    log.orderBy("log_seq").drop("clip_id", "log_seq").write.option("header", True).mode("overwrite").csv(path)
+def write_csv(log: DataFrame, path: str, by_clip: bool = False) -> None:
+    """Parts in order of ``log_seq``: a folder for all or, ``by_clip``, one for each clip."""
+    columns = [*(c for c in POSITION_LOG.names if c not in ("clip_id", "log_seq")), *(["clip_id"] if by_clip else [])]
+    ordered = log.repartitionByRange(*(["clip_id"] if by_clip else []), "log_seq").sortWithinPartitions(*(["clip_id"] if by_clip else []), "log_seq").select(*columns)
+    out = ordered.write.option("header", True).mode("overwrite")
+    (out.partitionBy("clip_id") if by_clip else out).csv(path)
 
 
 def write_parquet(log: DataFrame, path: str) -> None:

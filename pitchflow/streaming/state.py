@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pitchflow.functions.geometry import project
+from pitchflow.operators.chunks import nearest
+from pitchflow.sources.files import stored
 
 OUT = "clip_id string, frame bigint, x double, y double, is_observed boolean"
 #: Frames of a task of follow(), and pairs of a point and a box that it compares at once.
@@ -44,11 +46,32 @@ def _run(p: pd.DataFrame, state: tuple | None, max_coast: int, q: float, r: floa
 
 
 def kalman(observations: DataFrame, max_coast: int = 15, q: float = 5.0, r: float = 10.0) -> DataFrame:
-    """``observations(clip_id, frame, x, y)``, one row a frame, x and y null where the ball wasn't seen."""
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_run(p, None, max_coast, q, r)[0], columns=["clip_id", "frame", "x", "y", "is_observed"])
+    """``observations(clip_id, frame, x, y)``, one row a frame, x and y null where the ball wasn't seen.
+
+    After more than ``max_coast`` frames unseen nothing of the past is left, so the rows from one such gap to the next
+    are a segment, and segments are filtered apart. Frames go on to be coasted only as far as there are observations rows.
+    """
+    last = stored(observations.groupBy("clip_id").agg(F.max("frame").alias("last")), "last-frames")
+    seen = observations.filter("x IS NOT NULL AND NOT isnan(x)").select("clip_id", "frame", "x", "y")
+    seen = nearest(seen, F.col("frame"), "before", own=False)
+    begins = F.col("before").isNull() | (F.col("frame") - F.col("before") - 1 > max_coast)
+    seen = nearest(seen, F.when(begins, F.col("frame")), "segment").join(last, "clip_id")
 
-    return observations.groupBy("clip_id").applyInPandas(fold, OUT)
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("frame")
+        frame, x, y = p["frame"].to_numpy(), p["x"].to_numpy(), p["y"].to_numpy()
+        out, state = [], None
+        for i, f in enumerate(frame.tolist()):
+            state, _ = kalman_step(state, x[i], y[i], max_coast, q, r)
+            out.append((f, round(state[0], 6), round(state[1], 6), True))
+            for g in range(f + 1, min(int(frame[i + 1]) if i + 1 < len(frame) else f + max_coast + 1, int(p["last"].iloc[0]) + 1)):
+                state, _ = kalman_step(state, None, None, max_coast, q, r)
+                out.append((g, round(state[0], 6), round(state[1], 6), False))
+        got = pd.DataFrame(out, columns=["frame", "x", "y", "is_observed"])
+        got.insert(0, "clip_id", p["clip_id"].iloc[0])
+        return got
+
+    return seen.groupBy("clip_id", "segment").applyInPandas(fold, OUT)
 
 
 def kalman_stream(observations: DataFrame, max_coast: int = 15, q: float = 5.0, r: float = 10.0) -> DataFrame:

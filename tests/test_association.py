@@ -74,8 +74,8 @@ def test_nearest_anchor_in_blocks(spark, monkeypatch):
 
 def test_boxes_that_overlap_surer_ones_go(spark):
     rows = [(0, 1, 1, "person", 0.0, 0.0, 10.0, 10.0, 0.9), (0, 2, 1, "person", 1.0, 0.0, 11.0, 10.0, 0.8), (0, 3, 1, "person", 20.0, 0.0, 30.0, 10.0, 0.5), (0, 4, 1, "ball", 0.0, 0.0, 10.0, 10.0, 0.2), (0, 5, 1, "ball", 50.0, 0.0, 60.0, 10.0, 0.15), (1, 6, 1, "person", 0.0, 0.0, 10.0, 10.0, 0.2)]
-    b = spark.createDataFrame(rows, "frame bigint, det_seq bigint, track_id bigint, class_name string, x1 double, y1 double, x2 double, y2 double, confidence double")
-    assert sorted(r.det_seq for r in D.detect(b, "ball").collect()) == [1, 3, 4]
+    b = spark.createDataFrame([(c, *r) for c in "ab" for r in rows], "clip_id string, frame bigint, det_seq bigint, track_id bigint, class_name string, x1 double, y1 double, x2 double, y2 double, confidence double")
+    assert sorted((r.clip_id, r.det_seq) for r in D.detect(b, "ball").collect()) == [(c, i) for c in "ab" for i in (1, 3, 4)]
 
 
 def test_class_maps_and_progress(spark):

@@ -85,7 +85,7 @@ def test_hull():
 
 
 def test_vote_locks(spark):
-    rows = spark.createDataFrame([(7, i, x) for i, x in enumerate((1, 0, 0, None, 0, 1, 1, 1, 1))], "track_id bigint, seq bigint, label int")
+    rows = spark.createDataFrame([("c", 7, i, x) for i, x in enumerate((1, 0, 0, None, 0, 1, 1, 1, 1))], "clip_id string, track_id bigint, seq bigint, label int")
     assert [r.team for r in D.team_votes(rows).orderBy("seq").collect()] == [1, 1, 0, 0, 0, 0, 0, 0, 0]
 
 
