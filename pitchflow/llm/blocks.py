@@ -21,7 +21,7 @@ from .common import Table, new_path
 from .shingles import byte_view
 
 #: Most bytes and rows of a block; a longer text is one alone.
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 14
+BLOCK_BYTES, BLOCK_ROWS = 24 << 20, 1 << 14
 #: Answers are written in row groups of so many bytes, so that one block of a folder can be read alone.
 GROUP_BYTES = 8 << 20
 

@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Answers, answers_of, numbered_blocks
-from .common import Table, bounded_batches
+from .common import Table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Rounds of re-weighting, and how many expected counts the vocabulary's own scores stand for, for each piece.
@@ -81,7 +82,7 @@ class Lattice:
     def edges(self, words: list[str]) -> None:
         text = " " + " ".join(words)
         lens = np.array([len(w) + 1 for w in words])
-        found = np.array([*self.matcher.iter(text)], dtype=np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(self.matcher.iter(text)), dtype=np.int64).reshape(-1, 2)
         spelt = [(m.start(), m[0].encode()) for m in self.unknown.finditer(text)]
         self.spelt = [b for _, b in spelt]
         start = np.concatenate([found[:, 0] + 1 - self.lengths[found[:, 1]], np.array([at for at, _ in spelt], dtype=np.int64)])
@@ -101,7 +102,7 @@ class Lattice:
         """Log sums over all paths, place by place: those at ``to`` after ``step`` characters come from ``from_``."""
         out = np.full(self.places, -np.inf)
         out[known] = 0.0
-        order = np.lexsort((to, step))
+        order = np.argsort(step * self.places + to, kind="stable")
         from_, to, log = from_[order], to[order], self.log[order]
         cuts = np.flatnonzero(np.diff(step[order])) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)], strict=True):
@@ -221,11 +222,12 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     * An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     blocks = numbered_blocks(rows)
-    asked = Table(blocks.select("block", "held_out", "text").mapInArrow(_asked, "block bigint, word binary, c bigint"), "asked").df
-    counts = Table(asked.groupBy("word").agg(F.sum("c").alias("c")), "words").df
+    asked_table = Table(blocks.select("block", "held_out", "text").mapInArrow(_asked, "block bigint, word binary, c bigint"), "asked")
+    asked = asked_table.df
+    words_table = Table(asked.groupBy("word").agg(F.sum("c").alias("c")), "words")
+    counts = words_table.df
     ends = blocks.filter("NOT held_out").count()
     seen = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     total, distinct = (seen[0] or 0) + ends, (seen[1] or 0) + (ends > 0)
@@ -234,7 +236,9 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         model = fit_pieces(counts, ends, model, rounds)
     told = counts.mapInArrow(_likelihoods(spark.sparkContext.broadcast(model)), "word binary, c bigint, log double")
     # A word is asked for once a block, so no word has more rows than there are blocks.
-    answers = Answers(asked.select("block", "word").distinct().join(told, "word").select("block", "word", "c", "log"), "word")
+    answers = Answers(asked.select("block", "word").join(told, "word"), "word")
+    asked_table.drop()
+    words_table.drop()
     base, end_log, path = float(np.log10(total + distinct + 1)), model.end / np.log(10), answers.path
     end_base = float(np.log10(ends + 1)) - base
 
