@@ -26,13 +26,13 @@ BLOCK_BYTES, BLOCK_ROWS = 24 << 20, 1 << 14
 GROUP_BYTES = 8 << 20
 
 
-def _numbered(at: int):
+def _numbered(at: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, rows = TaskContext.get().partitionId() << 33, 0, 0
         for batch in batches:
             out = np.empty(len(batch), dtype=np.int64)
             for i, length in enumerate(np.diff(byte_view(batch.column(at))[1]).tolist()):
-                if rows and (size + length > BLOCK_BYTES or rows >= BLOCK_ROWS):
+                if rows and (size + length > most or rows >= BLOCK_ROWS):
                     block, size, rows = block + 1, 0, 0
                 size, rows = size + length, rows + 1
                 out[i] = block
@@ -41,10 +41,10 @@ def _numbered(at: int):
     return run
 
 
-def numbered_blocks(rows: DataFrame, text_col: str = "text") -> DataFrame:
+def numbered_blocks(rows: DataFrame, text_col: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
     """``rows`` and their ``block``, written, so that a block keeps its rows whichever task reads them."""
     schema = T.StructType([*rows.schema.fields, T.StructField("block", T.LongType())])
-    return Table(rows.mapInArrow(_numbered(rows.columns.index(text_col)), schema), "blocks").df
+    return Table(rows.mapInArrow(_numbered(rows.columns.index(text_col), most), schema), "blocks").df
 
 
 class Answers:

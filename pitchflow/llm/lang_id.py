@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,7 +167,10 @@ def train_language_id(labelled: DataFrame, key_col: str = "doc_id", text_col: st
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"over {MAX_LANGS} languages")
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, DOCS_PER_LANG / r["count"])))])
-    drawn = rows.filter(F.pmod("draw", F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003).select("text", "lang", "draw").limit(2 * DOCS_PER_LANG * len(sizes))
+    drawn = rows.filter(F.pmod("draw", F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
+    # Repeated texts are drawn together, so each language is held to its own bound.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    drawn = drawn.withColumn("rank", rank).filter(F.col("rank") <= 2 * DOCS_PER_LANG).select("text", "lang", "draw")
     got = drawn.mapInArrow(_sample_windows, "lang string, bytes binary").collect()
     got = sorted((r["lang"], bytes(r["bytes"])) for r in got)
     if not got:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Table, bounded_batches, delete, join_counted, new_path, session_setting
+from .common import Table, bounded_batches, delete, join_counted, join_salted, new_path, session_setting
 from .url_filter import blocked_bloom, may_hold
 
 #: Runs of a level that are merged; batches in which a corpus is added.
@@ -68,12 +68,15 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Run:
-    """A table of (hash, n) in as many buckets as the session has shuffle partitions, each one file sorted by hash."""
+    """A table of (hash, n) in as many buckets as the session has shuffle partitions, each one file sorted by hash.
 
-    def __init__(self, spark: SparkSession, counts: DataFrame):
+    ``dealt`` rows are so already: a task has those of one bucket, in order.
+    """
+
+    def __init__(self, spark: SparkSession, counts: DataFrame, buckets: int, dealt: bool = False):
         self.spark, self.path, self.name = spark, new_path(spark, "run"), f"line_run_{uuid.uuid4().hex}"
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = counts.select("hash", "n").repartition(buckets, "hash")
+        counts = counts.select("hash", "n")
+        dealt = counts if dealt else counts.repartition(buckets, "hash")
         dealt.write.bucketBy(buckets, "hash").sortBy("hash").option("path", self.path).option("compression", "zstd").format("parquet").saveAsTable(self.name)
         self.df = spark.table(self.name)
 
@@ -87,6 +90,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, threshold: int):
         self.spark, self.threshold, self.levels = spark, threshold, [[]]
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _all(self) -> list[Run]:
         return [run for level in self.levels for run in level]
@@ -99,6 +103,19 @@ class LineRuns:
         """``(hash, n)`` of the settled lines; n grows with a line's documents, though it isn't kept up once settled."""
         return self._merged(self._all()).filter(F.col("n") >= self.threshold) if self._all() else None
 
+    def _compacted(self, runs: list[Run]) -> Run:
+        """One run of several: two at a time are merged bucket by bucket as they lie, without a shuffle."""
+        while len(runs) > 1:
+            merged = []
+            for a, b in zip(runs[::2], runs[1::2], strict=False):
+                n = F.coalesce(a.df["n"], F.lit(0)) + F.coalesce(b.df["n"], F.lit(0))
+                both = a.df.hint("merge").join(b.df, a.df["hash"] == b.df["hash"], "full")
+                merged.append(Run(self.spark, both.select(F.coalesce(a.df["hash"], b.df["hash"]).alias("hash"), n.alias("n")), self.buckets, dealt=True))
+                a.drop()
+                b.drop()
+            runs = merged + runs[len(merged) * 2 :]
+        return runs[0]
+
     def unseen(self, counts: DataFrame, least: int = 1) -> DataFrame:
         """The rows of ``counts(hash, n)`` whose hash no run has with a count of at least ``least``."""
         return reduce(lambda df, run: df.join(run.df.filter(F.col("n") >= least).hint("merge"), "hash", "left_anti"), self._all(), counts)
@@ -107,16 +124,14 @@ class LineRuns:
         """Adds a batch of ``(hash)``, one row for each document that holds the line."""
         counts = lines.groupBy("hash").agg(F.count("*").alias("n"))
         with session_setting(self.spark, ORDERED, "true"):
-            self.levels[0].append(Run(self.spark, self.unseen(counts, self.threshold)))
+            self.levels[0].append(Run(self.spark, self.unseen(counts, self.threshold), self.buckets))
             for k, level in enumerate(self.levels):
                 if len(level) < FANOUT:
                     break
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(Run(self.spark, self._merged(level)))
-                for run in level:
-                    run.drop()
                 self.levels[k] = []
+                self.levels[k + 1].append(self._compacted(level))
 
     def drop(self) -> None:
         for run in self._all():
@@ -144,18 +159,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Documents that share a key by chance do no harm: a line that is frequent is taken out of each that has it.
     texts = texts.withColumn("doc", F.xxhash64("id", "text"))
     found = texts.mapInArrow(_document_lines(min_chars), "doc bigint, hash binary").withColumn("batch", F.pmod("doc", F.lit(batches)))
-    lines = Table(found, "lines").df
+    lines = Table(found, "lines", by="batch").df  # a batch reads its own files
 
     runs = LineRuns(spark, min_documents)
-    for k in range(batches):
-        runs.add(lines.filter(F.col("batch") == k).select("hash"))
-    frequent = Table(runs.frequent(), "frequent").df
-    runs.drop()
+    try:
+        for k in range(batches):
+            runs.add(lines.filter(F.col("batch") == k).select("hash"))
+        frequent = Table(runs.frequent(), "frequent").df
+    finally:
+        runs.drop()
+    # A document's rows are as many as there are of each of its lines.
     drops = join_counted(lines.select("doc", "hash"), frequent, ["hash"], "n", "left_semi").groupBy("doc").agg(F.collect_set("hash").alias("drop"), F.count("*").alias("n"))
-    drops = Table(drops, "drops").df
+    drops = Table(drops.withColumn("n", F.expr("n div size(drop)")), "drops").df
     bloom, blocks = blocked_bloom(drops.select(F.col("doc").alias("key")), max(1, drops.count()))
     touched = may_hold(bloom.scalar(), blocks, F.col("doc"))
-    moved = join_counted(texts.filter(touched), drops, ["doc"], "n", "left")
+    moved = join_salted(texts.filter(touched), drops, ["doc"], "n", "left")
     stay = texts.filter(~touched).withColumn("drop", F.lit(None).cast("array<binary>"))  # not shuffled
     both = moved.unionByName(stay).select("id", "text", "drop")
     kind = texts.schema["id"].dataType.simpleString()

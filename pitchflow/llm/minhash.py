@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT_ROWS, Table, bounded_batches, drop_ids, join_counted, new_path, scratch, small_side
+from .common import HOT_ROWS, Table, bounded_batches, drop_ids, free_name, join_counted, new_path, scratch, small_side
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -31,8 +31,6 @@ STAR = 1024
 #: When a star leaves members apart: sets in a block, its bytes (about: a longer set is alone with few others),
 #: and blocks of either side that a task compares.
 BLOCK, BLOCK_BYTES, TILE = 64, 16 << 20, 16
-#: Column that numbers rows while they are reduced to one of each group.
-ROW = "_near_row"
 
 _rng = np.random.default_rng(20_170_811)
 _SEEDS = _rng.integers(0, 1 << 63, 2 * BINS, dtype=np.uint64)
@@ -271,19 +269,21 @@ def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id.
 
     Each row is judged by its own text: rows that repeat an id are apart unless their texts are linked.
-    Of rows with the same smallest id one is kept. Rows with a null id, or without shingles, stay.
+    Of rows with the same smallest id one is kept. Rows with a null id, or without shingles, stay. All columns come back
+    as they were, whatever their names; an empty table gives an empty result.
     """
-    rows = Table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows").df  # written, so that numbers stay
-    named = rows.filter("doc_id IS NOT NULL")
+    row = free_name(docs.columns, "near_row")
+    rows = Table(docs.withColumn(row, F.monotonically_increasing_id()), "rows").df  # written, so that numbers stay
+    named = rows.filter("doc_id IS NOT NULL").select(F.col(row).alias("row"), "doc_id", "text")
     path = new_path(docs.sparkSession, "extra")
     with scratch(docs.sparkSession):
         extra = _all_but_first(named, percent, path)
-    return drop_ids(rows, extra, ROW).select(*docs.columns)
+    return drop_ids(rows, extra.withColumnRenamed("row", row), row).select(*docs.columns)
 
 
 def _all_but_first(named: DataFrame, percent: int, path: str) -> DataFrame:
     """Numbers of the rows that are not the first of their group."""
-    groups = Table(near_duplicates(named, id_col=ROW, percent=percent).select(F.col("doc_id").alias(ROW), "component_id"), "groups").df
-    order = named.select(ROW, F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("hash"), ROW).alias("place"))
-    first = groups.join(order, ROW).groupBy("component_id").agg(F.min("place")[ROW].alias(ROW)).select(ROW)
-    return Table(groups.select(ROW).join(first, ROW, "left_anti"), "extra", path=path).df
+    groups = Table(near_duplicates(named, id_col="row", percent=percent).select(F.col("doc_id").alias("row"), "component_id"), "groups").df
+    order = named.select("row", F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("hash"), "row").alias("place"))
+    first = groups.join(order, "row").groupBy("component_id").agg(F.min("place")["row"].alias("row")).select("row")
+    return Table(groups.select("row").join(first, "row", "left_anti"), "extra", path=path).df

@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import numbered_blocks
 from .common import Table, bounded_batches, new_path, small_side
 from .shingles import byte_view, chunks
 
 ORDER = 5
-#: Rows of a block are 2**BLOCK_BITS at most; a task holds the distinct n-grams of one block.
-BLOCK_BITS = 14
+#: Bytes of a block's texts at most, but for a longer text; a task holds the distinct n-grams of one block.
+BLOCK_BYTES = 16 << 20
 #: Answers are written in row groups of so many bytes, so that one block of a folder can be read alone.
 GROUP_BYTES = 8 << 20
 #: Distinct n-grams that a task sums before it hands them on.
@@ -198,8 +199,7 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    # Written, so that a block keeps its rows whichever task reads them.
-    blocks = Table(rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "blocks").df
+    blocks = numbered_blocks(rows, "text", BLOCK_BYTES)
     asked = Table(blocks.select("block", "text").mapInArrow(_asked(model.order), "block long, gram long"), "asked").df
     answers = asked.join(model.probabilities(asked), "gram").select("block", "gram", F.ln("p").cast("float").alias("log"))
     base, order, buckets = new_path(spark, "answers"), model.order, int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import free_name, read
 from .decontaminate import find_benchmark
 from .lang_id import held_out, identify_languages, train_language_id
 from .lattice import score_texts
@@ -161,13 +161,29 @@ def oracle_sql() -> dict[str, str]:
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language or with a doubtful one; fills in a missing language."""
+    """Rejects documents without a language or with a doubtful one; fills in a missing language.
+
+    Documents without a letter or text go. A row is judged by its own text, repeats alike; a null id is in the training part.
+    Without a labelled text there is no network and every document goes. All columns but a null ``lang`` come
+    back as they were, whatever their names; an empty table gives an empty result.
+    """
     net = train_language_id(docs.filter(~held_out()))
-    judged = identify_languages(docs, net).filter("lang_pred <> 'und' AND score >= 0.3")
-    return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    apart = {c: free_name(docs.columns, f"kept_{c}") for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    judged = identify_languages(docs.withColumnsRenamed(apart), net).filter("lang_pred <> 'und' AND score >= 0.3")
+    filled = judged.withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score")
+    return filled.withColumnsRenamed({v: k for k, v in apart.items()}).select(*docs.columns)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs, mix_domain(), MIX_WEIGHTS, MIX_FRACTION, MIX_EPOCHS, MIX_SEED).drop("mix")
+    """The rows that the mixture takes, whole or in part, as often as it takes them.
+
+    A null source is of the domain books; null sources and languages are leaves of their own. A document without words is
+    never taken. Ties of the seeded order go by the row, repeats count each. All columns come back as they were, whatever
+    their names; an empty table gives an empty result.
+    """
+    name = free_name(docs.columns, "own_mix")
+    held = docs.withColumnRenamed("mix", name) if "mix" in docs.columns else docs
+    out = mix_sources(held, mix_domain(), MIX_WEIGHTS, MIX_FRACTION, MIX_EPOCHS, MIX_SEED).drop("mix")
+    return out.withColumnRenamed(name, "mix").select(*docs.columns)
 
 

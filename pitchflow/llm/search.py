@@ -172,7 +172,7 @@ class Shard:
         self.ends = np.concatenate([[0], np.cumsum(np.frombuffer(got["sizes"].as_buffer(), dtype=np.int32), dtype=np.int64)])
         impacts = np.frombuffer(got["impacts"].as_buffer(), dtype=np.int32)
         self.n = len(impacts)
-        words = np.frombuffer(got["bits"].as_buffer(), dtype=np.uint64).reshape(self.levels, -1)
+        words = np.frombuffer(got["bits"].as_buffer(), dtype=np.uint64).reshape(self.levels, -(-self.n // 64))
         self.width = words.shape[1] + 1 if self.levels else 1
         self.words = np.zeros((self.levels, self.width), dtype=np.uint64)
         self.words[:, :-1] = words

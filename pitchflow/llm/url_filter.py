@@ -25,8 +25,8 @@ BITS_PER_URL, PROBES, BLOCK_BITS = 16, 5, 64
 MAX_FILTER_BYTES = 16 << 20
 #: Blocks that are put in order together while the filter is built.
 CHUNK = 4096
-#: A list of at most so many URLs is joined where the pages are.
-SHORT_LIST = 1_000_000
+#: A list of at most so many bytes is joined where the pages are.
+SHORT_LIST = 16 << 20
 RESULT = ("host", "path", "rule", "verdict")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -89,7 +89,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep:
     out = lambda df, rule, verdict: df.select(*(F.col(f"page.`{c}`") for c in keep), "host", "path", rule.alias("rule"), verdict.alias("verdict"))
     unlisted = (F.lit(None).cast("string"), F.lit(default))
     listed = rules.dropna(subset=["host", "path", "verdict"])
-    shape = listed.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("paths"), F.collect_set(F.size(F.split("host", r"\."))).alias("labels")).first()
+    shape = listed.agg(F.count("*").alias("n"), F.sum(F.octet_length("host") + F.octet_length("path") + 48).alias("bytes"), F.collect_set(F.length("path")).alias("paths"), F.collect_set(F.size(F.split("host", r"\."))).alias("labels")).first()
     if not shape["n"]:
         return out(urls, *unlisted)
     listed = listed.withColumns({"key": F.concat("host", "path"), "host_len": F.length("host")}).select("key", "host_len", "host", "verdict")
@@ -107,7 +107,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep:
     prefixes = F.array_compact(F.array(*(F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in sorted(shape["paths"]))))
     pairs = F.flatten(F.transform("hosts", lambda s: F.transform(prefixes, lambda p: F.struct(F.concat(s, p).alias("key"), F.length(s).alias("host_len")))))
     hits = some.select("row", F.explode(pairs).alias("c")).select("row", "c.*").filter(may_hold(bloom, blocks, F.col("key")))
-    if shape["n"] <= SHORT_LIST:
+    if shape["bytes"] <= SHORT_LIST:
         exact = hits.join(F.broadcast(listed), ["key", "host_len"])
     else:  # a listed URL may be that of many pages
         exact = join_counted(hits, hits.groupBy("key", "host_len").agg(F.count("*").alias("n")).join(listed, ["key", "host_len"]), ["key", "host_len"], "n")

@@ -27,6 +27,9 @@ FILE_BYTES = 64 << 20
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 RECORDS = T.StructType([T.StructField(n, T.StringType()) for n in ("record_id", "type", "concurrent_to", "refers_to", "uri", "digest")] + [T.StructField("payload_bytes", T.LongType()), T.StructField("digest_ok", T.BooleanType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType())), T.StructField("payload", T.BinaryType())])
 
+#: Tasks at most that read the archives, each file as a stream.
+TASKS = 20_000
+
 
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -151,7 +154,8 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
     files = manifest.select("file").distinct()
-    return files.repartition(max(1, files.count())).mapInArrow(run, RECORDS)  # a fixed number: files are short rows, and would be put together in one task
+    # A fixed number: files are short rows, and would be put together in one task; beyond TASKS, tasks read several.
+    return files.repartition(max(1, min(TASKS, files.count()))).mapInArrow(run, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:

@@ -256,7 +256,7 @@ def test_kneser_ney_matches_brute_force(spark):
 
 
 def test_perplexity_of_blocks(spark, monkeypatch):
-    monkeypatch.setattr(quality_classifier, "BLOCK_BITS", 2)
+    monkeypatch.setattr(quality_classifier, "BLOCK_BYTES", 2000)
     monkeypatch.setattr(quality_classifier, "TALLY", 100)
     rows = [(i, prose(5 + i, i), "en") for i in range(40)] + [(40, None, "en"), (41, "", None), (42, prose(3000, 1), "fr")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
