@@ -1,6 +1,10 @@
 """A training corpus from documents: five stages, each written as Parquet and read by the next.
 
-A stage's result is written before the next stage is called, which deletes what the stage before wrote for itself.
+A stage writes its own tables below a folder of the shared folder. The next stage deletes that folder when it begins,
+unless the documents that it is given still read it; a stage that fails deletes its own.
+
+Every stage keeps rows with null ids or texts where its step has nothing against them, and repeated rows each for itself;
+extra columns pass through whatever their names, an empty table gives an empty result, and texts may have any length.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchflow.llm.common import Table, end_stages, read, shared_dir, start_stage
+from pitchflow.llm.common import Table, end_stages, read, shared_dir, stage
 from pitchflow.llm.decontaminate import drop_contaminated
 from pitchflow.llm.minhash import keep_one_of_each
 from pitchflow.llm.queries import ORDER_KEY, stage_language_id, stage_mixing
@@ -17,28 +21,33 @@ from pitchflow.llm.token_output import write_training_order
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    start_stage(spark)
-    return stage_language_id(spark, docs, sf_dir)
+    """Documents with a language that is sure enough; null and empty texts, and those without a letter, go. A null ``lang`` is filled in."""
+    with stage(spark, docs):
+        return stage_language_id(spark, docs, sf_dir)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    start_stage(spark)
-    return keep_one_of_each(docs, percent=80)
+    """One document of each near-duplicate group, the one with the smallest id, of equal ids one; null ids and texts without words stay."""
+    with stage(spark, docs):
+        return keep_one_of_each(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    start_stage(spark)
-    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    """Documents without a benchmark item in them, each row judged by its own text; null and empty texts stay."""
+    with stage(spark, docs):
+        return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    start_stage(spark)
-    return stage_mixing(spark, docs, sf_dir)
+    """What the mixture takes, as often as it does; documents without words are never taken, null sources are a leaf of their own."""
+    with stage(spark, docs):
+        return stage_mixing(spark, docs, sf_dir)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    start_stage(spark)
-    return write_training_order(docs, key=ORDER_KEY)
+    """One row for each sequence in training order; documents without tokens are in none, null ids are listed as null."""
+    with stage(spark, docs):
+        return write_training_order(docs, key=ORDER_KEY)
 
 
 STAGES = [
@@ -53,13 +62,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, written = read(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
-        made = stage(spark, docs, sf_dir)
-        before, written = written, Table(made, name, path=f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-        docs = written.df
-        if before:
-            before.drop()
-    out = STAGES[-1][1](spark, docs, sf_dir)
-    end_stages()
-    return out
+    """All stages over ``documents``. What stages hand on is deleted once it was read, and at once if one of them fails."""
+    docs, written = read(spark, sf_dir, "documents"), []
+    try:
+        for name, step in STAGES[:-1]:
+            written.append(Table(step(spark, docs, sf_dir), name, path=f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"))
+            docs = written[-1].df
+            if len(written) > 1:
+                written.pop(0).drop()
+        return STAGES[-1][1](spark, docs, sf_dir)
+    except BaseException:
+        for table in written:
+            table.drop()
+        raise
+    finally:
+        end_stages(spark)
