@@ -173,7 +173,7 @@ class Shard:
         impacts = np.frombuffer(got["impacts"].as_buffer(), dtype=np.int32)
         self.n = len(impacts)
         words = np.frombuffer(got["bits"].as_buffer(), dtype=np.uint64).reshape(self.levels, -(-self.n // 64))
-        self.width = words.shape[1] + 1 if self.levels else 1
+        self.width = words.shape[1] + 1
         self.words = np.zeros((self.levels, self.width), dtype=np.uint64)
         self.words[:, :-1] = words
         self.before = np.zeros((self.levels, self.width), dtype=np.int64)
