@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -68,3 +69,30 @@ def fit_homography(pixel: np.ndarray, pitch: np.ndarray, threshold: float = 3.0,
     if h is None:
         raise ValueError("no homography fits the points")
     return h
+
+
+FITTED = "n bigint, mean_error_m double, max_error_m double, " + ", ".join(f"h{i} double" for i in range(9))
+
+
+def fit_homographies(pairs: DataFrame, by: str = "video") -> DataFrame:
+    """The fit of each ``by`` of ``pairs(pixel_x, pixel_y, pitch_x, pitch_y)``: its points, errors in metres, and ``h0`` to ``h8``.
+
+    A group's points are those that someone clicked, so they fit in a task. Without a fit, and with under four points, errors and
+    numbers are null.
+    """
+    columns = [c.split()[0] for c in FITTED.split(", ")]
+
+    def fit(p: pd.DataFrame) -> pd.DataFrame:
+        pixel, pitch = p[["pixel_x", "pixel_y"]].to_numpy(float), p[["pitch_x", "pitch_y"]].to_numpy(float)
+        try:
+            h = fit_homography(pixel, pitch)
+        except ValueError:
+            row = [len(p), *[None] * 11]
+        else:
+            q = np.c_[pixel, np.ones(len(pixel))] @ h.T
+            error = np.linalg.norm(q[:, :2] / q[:, 2:] - pitch, axis=1)
+            row = [len(p), error.mean(), error.max(), *h.ravel()]
+        return pd.DataFrame([[p[by].iloc[0], *row]], columns=[by, *columns])
+
+    kind = pairs.schema[by].dataType.simpleString()
+    return pairs.select(by, "pixel_x", "pixel_y", "pitch_x", "pitch_y").groupBy(by).applyInPandas(fit, f"{by} {kind}, {FITTED}")

@@ -102,6 +102,45 @@ def heatmap_density(log: DataFrame, nx: int = 21, ny: int = 17) -> DataFrame:
     return near.withColumn("share", F.round(upto / F.sum("density").over(team), 4)).select(CLIP, "team", "gx", "gy", "density", "share")
 
 
+def level_bands(density: DataFrame, nx: int = 21, ny: int = 17, levels: int = 100, least: float = 0.05) -> DataFrame:
+    """Contours of ``heatmap_density``: ``level`` (from 1), its density ``at``, and segments from ``x1``, ``y1`` to ``x2``, ``y2``.
+
+    Level k of ``levels`` bounds the fewest cells that hold 1 - q of the density, q rising evenly from ``least`` to 1. Segments
+    come from marching squares over the cells' centres; where corners inside lie crosswise, the mean of the four decides. A
+    team has one row of arrays over the grid, so that nothing is joined.
+    """
+    unit = 1_000_000_000  # densities have nine digits: sums of whole numbers are exact
+    cell = F.floor(F.col("gx") * nx / LENGTH) + nx * F.floor(F.col("gy") * ny / WIDTH)
+    grid = density.groupBy(CLIP, "team").agg(F.sort_array(F.collect_list(F.struct(cell.cast("int").alias("cell"), F.round(F.col("density") * unit).cast("bigint").alias("d")))).alias("g"))
+    grid = grid.withColumn("v", F.transform("g", lambda c: c["d"])).withColumn("falling", F.sort_array("v", asc=False))
+    total = F.aggregate("v", F.lit(0).cast("bigint"), lambda s, d: s + d)
+    grid = grid.withColumn("total", total).filter("total > 0")
+    # Share 1 - q of level k, in parts of a hundred thousand levels.
+    parts = 100_000 * (levels - 1)
+    need = lambda k: F.lit(parts) - F.lit(round(least * 100_000) * (levels - 1)) - k.cast("bigint") * F.lit(100_000 - round(least * 100_000))
+    rising = F.aggregate("falling", F.struct(F.lit(0).cast("bigint").alias("s"), F.expr("CAST(array() AS array<bigint>)").alias("c")), lambda a, d: F.struct((a["s"] + d).alias("s"), F.concat(a["c"], F.array(a["s"] + d)).alias("c")))
+    grid = grid.withColumn("sums", rising["c"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    enough = F.size(F.filter("sums", lambda s: s.cast("decimal(38,0)") * parts < F.col("total").cast("decimal(38,0)") * need(F.col("k"))))
+    at = F.element_at("falling", F.least(enough, F.size("falling") - 1) + 1)
+    each = grid.select(CLIP, "team", "v", (F.col("k") + 1).alias("level"), at.alias("lv")).withColumn("sq", F.explode(F.sequence(F.lit(0), F.lit((nx - 1) * (ny - 1) - 1))))
+    i, j = F.col("sq") % (nx - 1), F.floor(F.col("sq") / (nx - 1)).cast("int")
+    corner = lambda di, dj: F.element_at("v", (i + di + nx * (j + dj) + 1).cast("int"))
+    each = each.withColumns({"i": i, "j": j, "a": corner(0, 0), "b": corner(1, 0), "c": corner(1, 1), "d": corner(0, 1)})
+    inside = {c: F.col(c) >= F.col("lv") for c in "abcd"}
+    each = each.filter(~((inside["a"] == inside["b"]) & (inside["b"] == inside["c"]) & (inside["c"] == inside["d"])))
+    x, y = lambda v: F.round((v + 0.5) * LENGTH / nx, 6), lambda v: F.round((v + 0.5) * WIDTH / ny, 6)
+    part = lambda p, q: (F.col("lv") - F.col(p)) / (F.col(q) - F.col(p))
+    cut = lambda p, q, px, py: F.when(inside[p] != inside[q], F.struct(x(px).alias("x"), y(py).alias("y")))
+    low, right, top, left = cut("a", "b", F.col("i") + part("a", "b"), F.col("j")), cut("b", "c", F.col("i") + 1, F.col("j") + part("b", "c")), cut("d", "c", F.col("i") + part("d", "c"), F.col("j") + 1), cut("a", "d", F.col("i"), F.col("j") + part("a", "d"))
+    segment = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+    each = each.withColumns({"low": low, "right": right, "top": top, "left": left})
+    crossed = F.array_compact(F.array("low", "right", "top", "left"))
+    four, corners_apart = F.size(crossed) == 4, inside["a"] == (F.col("a") + F.col("b") + F.col("c") + F.col("d") >= 4 * F.col("lv"))
+    two = F.when(corners_apart, F.array(segment(F.col("low"), F.col("right")), segment(F.col("top"), F.col("left")))).otherwise(F.array(segment(F.col("low"), F.col("left")), segment(F.col("right"), F.col("top"))))
+    lines = each.withColumn("s", F.explode(F.when(four, two).otherwise(F.array(segment(crossed[0], crossed[1])))))
+    return lines.select(CLIP, "team", "level", (F.col("lv") / unit).alias("at"), *(F.col(f"s.{e}.{c}").alias(f"{c}{n}") for n, e in ((1, "p"), (2, "q")) for c in "xy"))
+
+
 def team_counts(log: DataFrame) -> DataFrame:
     return log.filter((F.col("class_name") == PERSON) & F.col("team").isNotNull()).groupBy(CLIP, "team").agg(F.count("*").alias("n"))
 
@@ -111,6 +150,32 @@ def ball_coverage(log: DataFrame) -> DataFrame:
     return log.groupBy(CLIP).agg(F.count_if((F.col("class_name") == BALL) & ~F.col("is_predicted")).alias("real"), F.count_if(F.col("class_name") == BALL).alias("balls"), (F.max("frame") + 1).alias("frames"))
 
 
+#: Sentences of the warnings' codes, with the numbers that they tell.
+SENTENCES = {
+    "teams_not_separated": "Fewer than two teams were told apart, so nothing that goes by team can be relied on.",
+    "team_split_lopsided": "The smaller team has %.0f percent of the labelled rows; players may have been given to the wrong side.",
+    "no_ball": "The ball was never seen: there is no ball track and no pass.",
+    "ball_rarely_detected": "The ball was really seen in %.0f percent of the frames only, so passes and positions of the ball are doubtful.",
+    "calibration_error": "Calibration points miss their places by %.2f m on average; more points, further apart, would help.",
+}
+
+
+def quality_messages(log: DataFrame, mean_error_m: float = 0.0, **limits: float) -> DataFrame:
+    """``quality_checks`` with a sentence for each code, in the same order."""
+    teams = team_counts(log).groupBy(CLIP).agg((100 * F.min("n") / F.sum("n")).alias("least"))
+    seen = ball_coverage(log).select(CLIP, (100 * F.col("real") / F.col("frames")).alias("seen"))
+    told = quality_checks(log, mean_error_m, **limits).join(teams, CLIP, "left").join(seen, CLIP, "left")
+    number = {"team_split_lopsided": F.col("least"), "ball_rarely_detected": F.col("seen"), "calibration_error": F.lit(float(mean_error_m))}
+
+    def sentence(code):
+        out = F.lit(None).cast("string")
+        for name, text in SENTENCES.items():
+            out = F.when(code == name, F.format_string(text, number[name]) if name in number else F.lit(text)).otherwise(out)
+        return out
+
+    return told.select(CLIP, "warnings", F.transform("warnings", sentence).alias("messages"))
+
+
 def quality_checks(log: DataFrame, mean_error_m: float = 0.0, min_minority: float = 0.15, min_ball: float = 0.15, max_error: float = 1.0) -> DataFrame:
     """The warnings of each clip, as codes in a fixed order."""
     teams = team_counts(log).groupBy(CLIP).agg(F.count("*").alias("teams"), F.min("n").alias("least"), F.sum("n").alias("all"))

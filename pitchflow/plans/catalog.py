@@ -289,7 +289,6 @@ plain("agg_track_majority", lambda s, d: D.track_majority(_sightings(s, d)).drop
 _KEYPOINTS = "VALUES " + ", ".join(f"({i}, '{n}', {x!r}D, {y!r}D)" for i, n, x, y in S.keypoints())
 keypoint_table = lambda s: s.sql(f"SELECT * FROM ({_KEYPOINTS}) AS k(id, name, x, y)")
 _KP_SQL = "SELECT * FROM (" + _KEYPOINTS.replace("D,", "::DOUBLE,").replace("D)", "::DOUBLE)") + ") AS k(id, name, x, y)"
-plain("src_keypoints", lambda s, d: keypoint_table(s), _KP_SQL)
 plain("jn_keypoint", lambda s, d: _events(s, d).select("event_id", (F.col("user_id") % 29).cast("int").alias("id")).join(F.broadcast(keypoint_table(s)), "id").select("event_id", "x", "y"), f"SELECT event_id, x, y FROM events JOIN ({_KP_SQL}) k ON k.id = user_id % 29")
 
 
@@ -327,18 +326,6 @@ def _yolo(s: SparkSession, d: str) -> DataFrame:
 _YOLO = "SELECT CASE WHEN user_id % 5 = 0 THEN 'valid' ELSE 'train' END AS split, 'img' || (event_id % 97) AS image, CASE event_id % 4 WHEN 1 THEN '0' ELSE '1' END || ' ' || user_id || ' ' || event_id || ' 2 3' AS line FROM events WHERE event_id % 4 IN (1, 3)"
 plain("jn_class_map", lambda s, d: D.curate_labels(_yolo(s, d), {1: 0, 3: 1}), _YOLO)
 plain("agg_curation_counts", lambda s, d: D.curate_labels(_yolo(s, d), {1: 0, 3: 1}).groupBy("split").agg(F.countDistinct("image").alias("images"), F.count("*").alias("boxes")), f"SELECT split, count(DISTINCT image) AS images, count(*) AS boxes FROM ({_YOLO}) GROUP BY split")
-_PX = ((100.0, 100.0), (900.0, 120.0), (880.0, 600.0), (120.0, 580.0), (500.0, 350.0), (300.0, 200.0))
-
-
-def _errors(s: SparkSession, d: str) -> DataFrame:
-    pitch = [((x / 10 + 0.002 * y), (y / 11)) for x, y in _PX]
-    h = G.fit_homography(np.array(_PX), np.array(pitch))
-    rows = s.sql("SELECT * FROM VALUES " + ", ".join(f"({x!r}D, {y!r}D, {u!r}D, {v!r}D)" for (x, y), (u, v) in zip(_PX, pitch, strict=True)) + " AS t(px, py, u, v)")
-    pu, pv = G.project(h, F.col("px"), F.col("py"))
-    e = F.sqrt((pu - F.col("u")) * (pu - F.col("u")) + (pv - F.col("v")) * (pv - F.col("v")))
-    return rows.agg(F.round(F.avg(e), 6).alias("mean_error_m"), F.round(F.max(e), 6).alias("max_error_m"), F.count("*").alias("n"))
-
-
 _H = ((0.1, 0.002, 1.0), (0.001, 0.09, -2.0), (0.00001, 0.00002, 1.0))
 
 
@@ -353,15 +340,7 @@ plain("agg_reproj_error", _reprojection, f"""WITH p AS (SELECT event_type, (even
 q AS (SELECT *, {_H[2][0]}::DOUBLE * x + {_H[2][1]}::DOUBLE * y + {_H[2][2]}::DOUBLE AS w FROM p),
 e AS (SELECT event_type, ({_H[0][0]}::DOUBLE * x + {_H[0][1]}::DOUBLE * y + {_H[0][2]}::DOUBLE) / w - u AS dx, ({_H[1][0]}::DOUBLE * x + {_H[1][1]}::DOUBLE * y + ({_H[1][2]})::DOUBLE) / w - v AS dy FROM q)
 SELECT event_type, round(avg(sqrt(dx * dx + dy * dy)), 6) AS mean_error_m, round(max(sqrt(dx * dx + dy * dy)), 6) AS max_error_m, count(*) AS n FROM e GROUP BY event_type""")
-# The points fit a homography without error, so a right fit maps each onto its mate.
-plain("udf_homography_fit", _errors, f"SELECT 0.0::DOUBLE AS mean_error_m, 0.0::DOUBLE AS max_error_m, count(*) AS n FROM (VALUES {', '.join(map(str, _PX))}) t(px, py)")
 plain("lim_clamp", lambda s, d: _events(s, d).select("event_id", F.greatest(F.lit(0), F.least(F.col("event_id") - 5, F.lit(99))).alias("i")), "SELECT event_id, greatest(0, least(event_id - 5, 99)) AS i FROM events")
-_PIXELS = "SELECT event_id, user_id % 50 AS crop, event_id % 256 AS b, (event_id * 7) % 256 AS g, (event_id * 13) % 256 AS r, event_id % 180 AS h, (event_id * 3) % 256 AS s FROM events"
-
-
-plain("agg_mean_color", lambda s, d: D.mean_colors(_events(s, d).selectExpr("user_id % 50 AS crop", "event_id % 256 AS b", "(event_id * 7) % 256 AS g", "(event_id * 13) % 256 AS r", "event_id % 180 AS h", "(event_id * 3) % 256 AS s")),
-      f"WITH p AS ({_PIXELS}), c AS (SELECT crop, count(*) AS n, count(*) FILTER (WHERE NOT (h BETWEEN 35 AND 95 AND s >= 60)) AS k, " + ", ".join(f"sum({x}) AS {x}a, sum({x}) FILTER (WHERE NOT (h BETWEEN 35 AND 95 AND s >= 60)) AS {x}k" for x in "bgr") + " FROM p GROUP BY crop) SELECT crop, " + ", ".join(f"round(CASE WHEN k < greatest(3.0, 0.05 * n) THEN {x}a / n ELSE {x}k / k END, 6) AS {x}" for x in "bgr") + " FROM c")
-
 over_log("st_bytetrack", None, "frame", "det_seq", "track_id")(lambda log: associate(D.boxes(log).select("clip_id", "frame", "det_seq", *BOX, "confidence")))
 
 over_log("srt_frame", "SELECT " + _LOG + " FROM log", *LOG)(lambda log: log.orderBy("frame", "log_seq"))
@@ -392,18 +371,6 @@ _PAIRS = """WITH p AS (SELECT 'v' || (event_id // 400) AS video, event_id // 8 A
 SELECT * FROM p WHERE (video, frame) IN (SELECT (video, frame) FROM p GROUP BY video, frame HAVING count(*) >= 4)"""
 
 
-def _stored_homography(s: SparkSession, d: str) -> DataFrame:
-    path = files.scratch(s, "homography")
-    files.save_homography(s, np.array(_H), path)
-    return s.createDataFrame([(i, float(v)) for i, v in enumerate(files.load_homography(s, path).ravel())], "i bigint, v double")
-
-
-def _stored_dataset(s: SparkSession, d: str) -> DataFrame:
-    path = files.scratch(s, "dataset")
-    files.write_labels(D.curate_labels(_yolo(s, d), {1: 0, 3: 1}), path, ["ball", "person"])
-    return s.read.text(f"{path}/labels").select("split", "image", F.col("value").alias("line"))
-
-
 def _stored_labels(s: SparkSession, d: str) -> DataFrame:
     path = files.scratch(s, "labels")
     for split in ("train", "valid"):
@@ -411,21 +378,9 @@ def _stored_labels(s: SparkSession, d: str) -> DataFrame:
     return files.read_labels(s, path).select("split", "line")
 
 
-def _stored_options(s: SparkSession, d: str) -> DataFrame:
-    path = files.scratch(s, "options")
-    files.write_options(s, files.Options(max_coast_frames=9, ball_confidence=0.2), path)
-    return s.createDataFrame([(k, float(v)) for k, v in vars(files.read_options(s, path)).items()], "name string, value double")
-
-
-# Rows come back numbered in the order in which they were written
 plain("sink_position_log", _stored_log, f"{BASE} SELECT row_number() OVER (ORDER BY log_seq) - 1 AS log_seq, {', '.join(_STORED[1:])} FROM log")
 plain("src_clip_logs", _stored_clips, f"""{BASE}, c AS (SELECT * REPLACE (frame % 100 AS frame), 'clip' || (frame // 100) AS clip_id FROM log)
 SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY log_seq) - 1 AS log_seq, {', '.join(_STORED[1:])} FROM c""")
 plain("src_correspondences", _stored_pairs, _PAIRS)
 plain("sink_correspondences", lambda s, d: _stored_pairs(s, d).groupBy("video", "frame").agg(F.count("*").alias("n")), f"SELECT video, frame, count(*) AS n FROM ({_PAIRS}) GROUP BY video, frame")
-plain("src_homography", _stored_homography, "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, ({v})::DOUBLE)" for i, v in enumerate(v for row in _H for v in row)) + ") t(i, v)")
-plain("sink_dataset", _stored_dataset, _YOLO)
 plain("src_yolo_labels", _stored_labels, f"SELECT split, line FROM ({_YOLO})")
-plain("src_config", _stored_options, "SELECT * FROM (VALUES ('max_coast_frames', 9.0::DOUBLE), ('process_noise', 5.0::DOUBLE), ('measurement_noise', 10.0::DOUBLE), ('person_confidence', 0.3::DOUBLE), ('ball_confidence', 0.2::DOUBLE)) t(name, value)")
-# Lengths of stored files have no SQL; tests/test_files.py holds the reader against files of its own.
-plain("src_upload", lambda s, d: files.read_binary(s, d, "*.parquet").select("name", "length"))

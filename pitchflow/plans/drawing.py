@@ -7,13 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchflow import schema as S
-from pitchflow.functions.geometry import metres_to_canvas
 from pitchflow.operators import detections as D
 from pitchflow.operators import formation as M
 from pitchflow.operators import render as R
 from pitchflow.operators import tactics as A
 from pitchflow.operators import tracks as T
-from pitchflow.plans.catalog import _KALMAN, _KP_SQL, _LINES as _JOB_LINES, _NODES, _job_lines, over_log, plain, runs
+from pitchflow.plans.catalog import _KALMAN, _LINES as _JOB_LINES, _NODES, _job_lines, over_log, plain, runs
 from pitchflow.streaming import state as K
 from pitchflow.streaming.association import BOX
 
@@ -55,25 +54,6 @@ def _network(log: DataFrame) -> tuple[DataFrame, DataFrame]:
 over_log("rnd_network", f"{_CIRCLES} SELECT * FROM circles")(lambda log: _network(log)[0])
 over_log("rnd_network_edges", f"{_CIRCLES} {_LINES}")(lambda log: _network(log)[1])
 
-# The empty pitch
-_CORNERS = "(VALUES ('top_left', 'top_right'), ('top_right', 'bottom_right'), ('bottom_right', 'bottom_left'), ('bottom_left', 'top_left')) e(f, t)"
-_PITCH = f"""WITH k AS ({_KP_SQL}),
-named AS (SELECT 'corner_' || f AS a, 'corner_' || t AS b FROM {_CORNERS} UNION ALL SELECT 'halfway_top', 'halfway_bottom'
-          UNION ALL SELECT side || '_' || box || '_' || f, side || '_' || box || '_' || t FROM (VALUES ('left'), ('right')) s(side), (VALUES ('penalty_area'), ('six_yard')) z(box), {_CORNERS})
-SELECT 'line' AS kind, {_px("a.x")} AS x1, {_px("a.y")} AS y1, {_px("b.x")} AS x2, {_px("b.y")} AS y2, NULL::INTEGER AS radius FROM named n JOIN k a ON a.name = n.a JOIN k b ON b.name = n.b
-UNION ALL SELECT 'circle', {_px("x")}, {_px("y")}, NULL, NULL, 91 FROM k WHERE name = 'center_spot'
-UNION ALL SELECT 'circle', {_px("x")}, {_px("y")}, NULL, NULL, 3 FROM k WHERE name IN ('center_spot', 'left_penalty_spot', 'right_penalty_spot')"""
-
-
-def _pitch(spark, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(R.pitch_shapes(), "kind string, x double, y double, u double, v double")
-    line, at = F.col("kind") == "line", metres_to_canvas
-    radius = F.when(~line, F.when(F.col("u") > 0, (F.col("u") * 10).cast("int")).otherwise(3))
-    return rows.select("kind", at(F.col("x")).alias("x1"), at(F.col("y")).alias("y1"), F.when(line, at(F.col("u"))).alias("x2"), F.when(line, at(F.col("v"))).alias("y2"), radius.alias("radius"))
-
-
-plain("rnd_pitch", _pitch, _PITCH)
-
 # Quality checks on the log and on logs with one thing wrong each
 _WRONG = {
     "as_is": ("true", 1.5),
@@ -165,27 +145,7 @@ def _starts(boxes: DataFrame) -> DataFrame:
     return boxes.select(F.col("det_seq").alias("start_id"), "clip_id", "frame", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
 
 
-def _anchor_colors(log: DataFrame) -> DataFrame:
-    boxes = _boxes(log)
-    clicks = boxes.groupBy("clip_id", "track_id").agg(F.min_by(F.struct("det_seq", "frame", *BOX), "det_seq").alias("b")).select("clip_id", "track_id", "b.*")
-    seen = K.follow(boxes, _starts(clicks)).select("start_id", F.col("det_seq").alias("crop")).unionByName(clicks.select(F.col("det_seq").alias("start_id"), F.col("det_seq").alias("crop")))
-    made = boxes.select(F.col("det_seq").alias("crop"), F.explode(F.array(*map(F.lit, range(4)))).alias("p"))
-    pixels = made.select("crop", *(F.expr(f"(crop * {a} + p * {b}) % {m}").alias(c) for c, a, b, m in _PIXELS))
-    return D.anchor_colors(seen, pixels).join(clicks.select(F.col("det_seq").alias("start_id"), "track_id"), "start_id").select("track_id", *"bgr")
-
-
-#: Four made-up pixels a box: channel, factors of its number and of the pixel's, modulus.
-_PIXELS = (("b", 7, 31, 256), ("g", 13, 57, 256), ("r", 29, 11, 256), ("h", 5, 47, 180), ("s", 3, 71, 256))
 over_log("win_track_forward", _WALK % "SELECT det_seq FROM people" + " SELECT w.start_id, p.frame, w.det_seq FROM walk w JOIN people p USING (det_seq) WHERE k > 0", "start_id", "frame", "det_seq")(lambda log: (lambda b: K.follow(b, _starts(b)))(_boxes(log)))
-over_log(
-    "agg_anchor_color",
-    _WALK % "SELECT min(det_seq) AS det_seq FROM people GROUP BY track_id" + f""",
-pix AS (SELECT det_seq AS crop, {", ".join(f"(det_seq * {a} + p * {b}) % {m} AS {c}" for c, a, b, m in _PIXELS)} FROM people, (SELECT unnest(range(4)) AS p)),
-crops AS (SELECT crop, count(*) AS n, count(*) FILTER (WHERE NOT (h BETWEEN 35 AND 95 AND s >= 60)) AS ok, {", ".join(f"sum({c}) AS {c}a, sum({c}) FILTER (WHERE NOT (h BETWEEN 35 AND 95 AND s >= 60)) AS {c}k" for c in "bgr")} FROM pix GROUP BY crop)
-SELECT any_value(p.track_id) AS track_id, {", ".join(f"round(sum(CASE WHEN ok < greatest(3.0, 0.05 * n) THEN {c}a ELSE {c}k END) / sum(CASE WHEN ok < greatest(3.0, 0.05 * n) THEN n ELSE ok END), 6) AS {c}" for c in "bgr")}
-FROM walk w JOIN crops c ON c.crop = w.det_seq JOIN people p ON p.det_seq = w.start_id GROUP BY w.start_id""",
-)(_anchor_colors)
-
 _LAST = 5000
 plain(
     "st_progress", lambda s, d: D.progress(_job_lines(s, d), F.lit(_LAST)),

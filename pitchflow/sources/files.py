@@ -68,6 +68,15 @@ def read_options(spark: SparkSession, path: str) -> Options:
     return Options(**{r.k: type(getattr(Options, r.k))(r.v) for r in rows.limit(len(fields(Options))).collect()})
 
 
+def read_all_options(spark: SparkSession, path: str) -> DataFrame:
+    """One row a file below ``path``: ``job`` (its name without an ending) and every option, as given there or by default."""
+    line = F.split(F.regexp_replace("value", r"\s*#.*$", ""), r"\s*:\s*", 2)
+    rows = spark.read.text(path).select(F.regexp_extract("_metadata.file_path", r"/([^/]+?)(?:\.[^/.]*)?$", 1).alias("job"), F.trim(F.get(line, F.lit(0))).alias("k"), F.trim(F.get(line, F.lit(1))).alias("v"))
+    kinds = {int: "bigint", float: "double"}
+    told = [F.coalesce(F.max(F.when(F.col("k") == f.name, F.col("v"))).cast(kinds[type(f.default)]), F.lit(f.default)).alias(f.name) for f in fields(Options)]
+    return rows.groupBy("job").agg(*told)
+
+
 def read_binary(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Uploads, anchor images or frames split from a video: ``name``, ``number`` (the last digits of the name), ``length``, ``content``.
 
