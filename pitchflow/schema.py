@@ -23,6 +23,7 @@ SHAPES = ("4-4-2", "4-3-3", "4-2-3-1", "4-1-4-1", "4-5-1", "4-1-3-2", "4-3-1-2",
 VOTES, FADE = 5, 40
 
 
+# Drawing colours of the two teams, and of players without one.
 TEAM_COLORS, UNKNOWN_COLOR = {0: "#e63946", 1: "#457b9d"}, "#999999"
 #: The 29 landmarks in metres; a landmark's number is its place in this table.
 KEYPOINTS = (
