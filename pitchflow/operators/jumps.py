@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pitchflow.operators.chunks import CLIP, chunk_of
+from pitchflow.operators.chunks import CLIP, chunk_of, split_clips
 from pitchflow.sources.files import stored
 
 #: A row: frame and place.
@@ -79,10 +79,10 @@ def jump_filter(rows: DataFrame, max_jump: float) -> DataFrame:
         return p.iloc[Fold(p, max_jump).kept(start)][[CLIP, "frame", "x", "y"]]
 
     kept = f"{CLIP} string, frame bigint, x double, y double"
+    if not split_clips(at):
+        return at.groupBy(*keys).applyInPandas(lambda p: out(p, None), kept)
     chunks = stored(at.select(*keys).distinct(), "chunks")
     before = chunks.withColumn("before", F.lag("chunk").over(Window.partitionBy(CLIP).orderBy("chunk")))  # one row a chunk
-    if before.filter("before IS NOT NULL").isEmpty():
-        return at.groupBy(*keys).applyInPandas(lambda p: out(p, None), kept)
 
     def ends(p: pd.DataFrame) -> pd.DataFrame:
         fold = Fold(p, max_jump)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from pitchflow.functions.geometry import distance
 from pitchflow.operators import jumps
-from pitchflow.operators.chunks import CLIP, nearest
+from pitchflow.operators.chunks import CLIP, nearest, split_clips
 from pitchflow.schema import BALL, BALL_MARGIN, LENGTH, MAX_GAP, MAX_JUMP, MIN_RUN, PERSON, RADIUS_M, RADIUS_SCALE, WIDTH
 from pitchflow.sources.files import stored
 
@@ -56,8 +56,8 @@ def raw_ball(log: DataFrame, space: str = "pitch") -> DataFrame:
 
 def ball_with_scale(log: DataFrame, space: str = "pitch") -> DataFrame:
     """A frame without players, or with scale 0, takes the clip's scale; a null scale of a frame stays null."""
-    scale = stored(player_scale(log, space).withColumn("known", F.lit(True)), "scale")
-    rows = raw_ball(log, space).join(scale, [CLIP, "frame"], "left").join(stored(global_scale(scale), "global-scale"), CLIP, "left")
+    scale = player_scale(log, space).withColumn("known", F.lit(True))
+    rows = raw_ball(log, space).join(scale, [CLIP, "frame"], "left").join(global_scale(scale), CLIP, "left")
     use = F.when(F.col("known").isNull() | (F.col("scale") == 0), F.coalesce("global_scale", F.lit(1.0))).otherwise(F.col("scale"))
     return rows.select(CLIP, "frame", "x", "y", use.alias("scale"))
 
@@ -77,10 +77,10 @@ def interpolate(track: DataFrame, max_gap: int = MAX_GAP, strict_gaps: bool = Fa
     gap = F.col("frame") - F.col("p.frame")
     last = F.least(F.col("frame") - 1, F.col("p.frame") + max_gap)
     open_ = (gap > 1) & (gap - 1 <= max_gap) if strict_gaps else gap > 1
-    filled = at.filter(open_).withColumn("f", F.explode(F.sequence(F.col("p.frame") + 1, last)))
-    at_f = lambda c: F.col(f"p.{c}") + (F.col(c) - F.col(f"p.{c}")) * (F.col("f") - F.col("p.frame")) / gap
-    filled = filled.select(CLIP, F.col("f").alias("frame"), at_f("x").alias("x"), at_f("y").alias("y"), F.lit(True).alias("was_interpolated"))
-    return track.select(CLIP, "frame", "x", "y", F.lit(False).alias("was_interpolated")).unionByName(filled)
+    between = lambda f, c: (F.col(f"p.{c}") + (F.col(c) - F.col(f"p.{c}")) * (f - F.col("p.frame")) / gap).alias(c)
+    own = F.array(F.struct("frame", "x", "y", F.lit(False).alias("was_interpolated")))
+    filled = F.transform(F.sequence(F.col("p.frame") + 1, last), lambda f: F.struct(f.alias("frame"), between(f, "x"), between(f, "y"), F.lit(True).alias("was_interpolated")))
+    return at.select(CLIP, F.explode(F.when(open_, F.concat(own, filled)).otherwise(own)).alias("r")).select(CLIP, "r.*")
 
 
 def clean_ball(log: DataFrame, space: str = "pitch", max_gap: int = MAX_GAP, max_jump: float = MAX_JUMP) -> DataFrame:
@@ -98,8 +98,8 @@ def possessors(log: DataFrame, ball: DataFrame | None = None, space: str = "pitc
     if space == "pitch":
         near = near.filter(F.col("dist") <= radius)
     else:
-        scale = stored(player_scale(log, space), "scale")
-        near = near.join(scale, [CLIP, "frame"], "left").join(stored(global_scale(scale), "global-scale"), CLIP, "left").filter(F.col("dist") <= F.coalesce("scale", "global_scale") * radius_scale)
+        scale = player_scale(log, space)
+        near = near.join(scale, [CLIP, "frame"], "left").join(global_scale(scale), CLIP, "left").filter(F.col("dist") <= F.coalesce("scale", "global_scale") * radius_scale)
     return near.groupBy(CLIP, "frame").agg(F.min_by(F.struct("track_id", "team"), F.struct("dist", "log_seq")).alias("p")).select(CLIP, "frame", "p.*")
 
 
@@ -108,9 +108,11 @@ def possession_runs(possession: DataFrame, min_frames: int = MIN_RUN) -> DataFra
 
     A run is named by the frame that it starts on, which rows of later chunks are told by one row a chunk.
     """
-    rows = nearest(stored(possession, "possession"), F.struct("track_id"), "before", own=False)
+    possession = stored(possession, "possession")
+    split = split_clips(possession)
+    rows = nearest(possession, F.struct("track_id"), "before", own=False, split=split)
     begins = F.col("before").isNull() | (F.col("track_id") != F.col("before.track_id"))
-    rows = nearest(rows, F.when(begins, F.col("frame")), "run")
+    rows = nearest(rows, F.when(begins, F.col("frame")), "run", split=split)
     team = F.min_by("team", F.when(F.col("team").isNotNull(), F.col("frame")))
     runs = rows.groupBy(CLIP, "run").agg(F.min("track_id").alias("track_id"), team.alias("team"), F.count("*").alias("length"), F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"))
     return runs.filter(F.col("length") >= min_frames).drop("run")

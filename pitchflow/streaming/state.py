@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pitchflow.functions.geometry import project
-from pitchflow.operators.chunks import nearest
+from pitchflow.operators.chunks import nearest, split_clips
 from pitchflow.sources.files import stored
 
 OUT = "clip_id string, frame bigint, x double, y double, is_observed boolean"
@@ -51,11 +51,13 @@ def kalman(observations: DataFrame, max_coast: int = 15, q: float = 5.0, r: floa
     After more than ``max_coast`` frames unseen nothing of the past is left, so the rows from one such gap to the next
     are a segment, and segments are filtered apart. Frames go on to be coasted only as far as there are observations rows.
     """
-    last = stored(observations.groupBy("clip_id").agg(F.max("frame").alias("last")), "last-frames")
+    observations = stored(observations.select("clip_id", "frame", "x", "y"), "observations")
+    last = observations.groupBy("clip_id").agg(F.max("frame").alias("last"))
     seen = observations.filter("x IS NOT NULL AND NOT isnan(x)").select("clip_id", "frame", "x", "y")
-    seen = nearest(seen, F.col("frame"), "before", own=False)
+    split = split_clips(observations)
+    seen = nearest(seen, F.col("frame"), "before", own=False, split=split)
     begins = F.col("before").isNull() | (F.col("frame") - F.col("before") - 1 > max_coast)
-    seen = nearest(seen, F.when(begins, F.col("frame")), "segment").join(last, "clip_id")
+    seen = nearest(seen, F.when(begins, F.col("frame")), "segment", split=split).join(last, "clip_id")
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("frame")
