@@ -7,6 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pitchflow.operators.chunks import nearest, running_sum, split_clips
+from pitchflow.sources.files import stored
 
 BOX = ["x1", "y1", "x2", "y2"]
 #: Standard deviations of a box's place and of its speed, in heights of the box.
@@ -67,7 +71,7 @@ def assign(score: np.ndarray, least: float) -> list[tuple[int, int]]:
 
 
 class Tracks:
-    """The tracks of one clip: centre and size with their speeds, by a constant-velocity filter of one covariance a track."""
+    """The tracks of one segment of a clip: centre and size with their speeds, by a constant-velocity filter of one covariance a track."""
 
     def __init__(self):
         self.ids, self.seen = np.zeros(0, dtype=int), np.zeros(0, dtype=int)
@@ -126,33 +130,66 @@ class Tracks:
         self.seen[i] = frame
 
 
+def segments(boxes: DataFrame, least: float, buffer: int) -> DataFrame:
+    """``(clip_id, frame, segment)``: the frame that each frame's segment begins on, -1 before the first.
+
+    A track is dropped once it wasn't seen for more than ``buffer`` frames. After so many frames without a box from
+    ``least``, the lowest confidence that a track goes on with, no track is left, and what follows is a segment of its own.
+    """
+    frames = stored(boxes.groupBy(*KEY).agg(F.max("confidence").alias("best")), "frames")
+    split, sighted = split_clips(frames), F.col("best") >= least
+    at = nearest(frames, F.when(sighted, F.col("frame")), "before", own=False, split=split)
+    begins = sighted & (F.col("before").isNull() | (F.col("frame") - F.col("before") > buffer))
+    at = nearest(at, F.when(begins, F.col("frame")), "segment", split=split)
+    return at.select(*KEY, F.coalesce("segment", F.lit(-1)).alias("segment"))
+
+
+def _beside(rows: DataFrame, told: DataFrame, *on: str) -> DataFrame:
+    """``rows`` with the other columns of ``told``, one row for each ``on``; a null clip is a clip like any other."""
+    other = told.withColumnsRenamed({c: f"_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(other, same).drop(*(f"_{c}" for c in on))
+
+
 def associate(boxes: DataFrame, sure: float = 0.25, buffer: int = 30, least: float = 0.2, doubtful: float = 0.1, least_doubtful: float = 0.5) -> DataFrame:
     """``boxes(clip_id, frame, det_seq, x1, y1, x2, y2, confidence)`` to ``(clip_id, frame, det_seq, track_id)``.
 
     Boxes with confidence from ``sure`` are matched first, by overlap times confidence, with all tracks of the last
     ``buffer`` frames where they are expected; then doubtful ones, by overlap, with what is left of the frame before.
-    Sure boxes without a track start one. Clips are spread over tasks; a task goes through its clips frame by frame
-    in the order of a sort and holds one batch and one clip's tracks.
+    Sure boxes without a track start one; tracks are numbered by clip, in the order in which they start. A clip is cut
+    into ``segments`` that no track reaches over, and these are spread over tasks: a task goes through its segments
+    frame by frame in the order of a sort and holds one batch and one segment's tracks. Numbers count from 1 in each
+    segment at first; what the segments before it made is added, from one row a segment.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        clip, tracks, held = None, None, None
+        part, tracks, held = None, None, None
 
         def rows(p: pd.DataFrame) -> pd.DataFrame:
-            nonlocal clip, tracks
-            if p["clip_id"].iloc[0] != clip:
-                clip, tracks = p["clip_id"].iloc[0], Tracks()
+            nonlocal part, tracks
+            clip = p["clip_id"].iloc[0]
+            now = (None if pd.isna(clip) else clip, int(p["segment"].iloc[0]))
+            if now != part:
+                part, tracks = now, Tracks()
             ids = tracks.step(int(p["frame"].iloc[0]), p[BOX].to_numpy(float), p["confidence"].to_numpy(float), sure, doubtful, buffer, least, least_doubtful)
-            return p[[*KEY, "det_seq"]].assign(track_id=ids)
+            return p[[*KEY, "det_seq", "segment"]].assign(number=ids)
 
         for batch in batches:
             batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            frames = [p for _, p in batch.groupby(KEY, sort=False)]
+            frames = [p for _, p in batch.groupby(KEY, sort=False, dropna=False)]
             held = frames.pop() if frames else None  # its frame may go on in the next batch
             if frames:
                 yield pd.concat([rows(p) for p in frames])
         if held is not None and len(held):
             yield rows(held)
 
-    ordered = boxes.select(*KEY, "det_seq", *BOX, "confidence").repartition("clip_id").sortWithinPartitions("clip_id", "frame", "det_seq")
-    return ordered.mapInPandas(fold, "clip_id string, frame bigint, det_seq bigint, track_id bigint")
+    boxes = boxes.select(*KEY, "det_seq", *BOX, "confidence")
+    placed = _beside(boxes, segments(boxes, min(sure, doubtful), buffer), *KEY)
+    ordered = placed.repartition("clip_id", "segment").sortWithinPartitions("clip_id", "segment", "frame", "det_seq")
+    found = stored(ordered.mapInPandas(fold, "clip_id string, frame bigint, det_seq bigint, segment bigint, number bigint"), "tracked")
+    made = found.groupBy("clip_id", "segment").agg(F.greatest(F.max("number"), F.lit(0)).alias("made"))
+    before = running_sum(made, F.col("made"), "upto", order="segment").select("clip_id", "segment", (F.col("upto") - F.col("made")).alias("before"))
+    number = F.when(F.col("number") > 0, F.col("number") + F.col("before")).otherwise(F.col("number"))
+    return _beside(found, before, "clip_id", "segment").select(*KEY, "det_seq", number.alias("track_id"))

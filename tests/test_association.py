@@ -6,10 +6,11 @@ import random
 import numpy as np
 import pytest
 
+from pitchflow.operators import chunks
 from pitchflow.operators import detections as D
 from pitchflow.operators import tracks as T
 from pitchflow.plans import pixels
-from pitchflow.streaming.association import assign, associate
+from pitchflow.streaming.association import Tracks, assign, associate, segments
 
 
 @pytest.mark.parametrize("seed", range(40))
@@ -95,3 +96,30 @@ def test_folds_run_clip_by_clip(spark):
     for one in ("clip0", "clip3"):  # a clip's track is what it is alone
         track = lambda df: sorted(map(tuple, T.clean_ball(df, "pixel").filter(f"clip_id = '{one}'").collect()))  # noqa: B023, E731
         assert track(log) == track(log.filter(f"clip_id = '{one}'"))
+
+
+def test_segments_give_the_rows_of_one_fold(spark, monkeypatch):
+    """Clips with gaps, doubtful boxes around them and a null clip, against one pass of a clip's frames, ids included."""
+    r, rows = random.Random(5), []
+    for clip in ("a", "b", None):
+        f = 0
+        for _ in range(60):
+            f += r.choice([1, 1, 1, 2, 4, 5, 6, 7, 12])
+            for k in range(r.randint(1, 3)):
+                rows.append((clip, f, 100.0 * k + f, 0.0, r.choice([0.05, 0.15, 0.3, 0.9])))
+    want, cut = {}, {}
+    for clip in ("a", "b", None):
+        tracks = Tracks()
+        mine = [(i, x) for i, x in enumerate(rows) if x[0] == clip]
+        for f, group in itertools.groupby(mine, key=lambda x: x[1][1]):
+            group = list(group)
+            box = np.array([[x[2], x[3], x[2] + 30.0, x[3] + 60.0] for _, x in group])
+            ids = tracks.step(f, box, np.array([x[4] for _, x in group]), 0.25, 0.1, 5, 0.2, 0.5)
+            want.update({i: (clip, f, int(t)) for (i, _), t in zip(group, ids, strict=True)})
+        cut[clip] = tracks.made
+    for size in (1 << 14, 16):
+        monkeypatch.setattr(chunks, "CHUNK", size)
+        b = boxes(spark, rows)
+        assert {x.det_seq: (x.clip_id, x.frame, x.track_id) for x in associate(b, buffer=5).collect()} == want
+        begins = segments(b, 0.1, 5).select("clip_id", "segment").distinct().collect()
+        assert len(begins) > 9 and {x.clip_id for x in begins} == {"a", "b", None} and min(cut.values()) > 3
