@@ -181,6 +181,22 @@ def _stored_options(s: SparkSession, d: str) -> DataFrame:
 
 plain("src_config", _stored_options, "SELECT 'job' || (event_id // 100) AS job, count(*) AS max_coast_frames, 5.0::DOUBLE AS process_noise, 10.0::DOUBLE AS measurement_noise, 0.3::DOUBLE AS person_confidence, 0.2::DOUBLE AS ball_confidence FROM events GROUP BY 1")
 
+
+def _stored_sections(s: SparkSession, d: str) -> str:
+    """Where each job's options lie, written in nested sections."""
+    path = files.scratch(s, "sections")
+    jobs = _events(s, d).groupBy(F.expr("event_id div 100").alias("job")).agg(F.count("*").alias("n"), F.count_if(F.col("event_id") % 2 == 0).alias("even"))
+    text = F.format_string("device: cpu  # where\n\ndetection:\n  # lower bars\n  ball_confidence_threshold: 0.2\n  classes: null\n\nball_tracking:\n    enabled: true\n    max_coast_frames: %d\n    process_noise: %d.5\npaths:\n  log:\n    csv: \"a b: c#%d\"\n  max_coast_frames: 3\n", "n", "even", "job")
+    images.write_files(jobs.select(F.concat(F.lit("job"), F.col("job").cast("string"), F.lit(".yaml")).alias("name"), text.cast("binary").alias("content")), path).write.format("noop").mode("overwrite").save()
+    return path
+
+
+_JOBS = "SELECT event_id // 100 AS job, count(*) AS n, count(*) FILTER (WHERE event_id % 2 = 0) AS even FROM events GROUP BY 1"
+plain("src_config_sections", lambda s, d: files.read_sections(s, _stored_sections(s, d)),
+      f"SELECT 'job' || job AS job, path, value FROM ({_JOBS}), LATERAL (VALUES ('device', 'cpu'), ('detection.ball_confidence_threshold', '0.2'), ('detection.classes', 'null'), ('ball_tracking.enabled', 'true'), ('ball_tracking.max_coast_frames', CAST(n AS VARCHAR)), ('ball_tracking.process_noise', even || '.5'), ('paths.log.csv', 'a b: c#' || job), ('paths.max_coast_frames', '3')) t(path, value)")
+plain("src_config_sectioned", lambda s, d: files.read_sectioned_options(s, _stored_sections(s, d)),
+      f"SELECT 'job' || job AS job, n AS max_coast_frames, even + 0.5::DOUBLE AS process_noise, 10.0::DOUBLE AS measurement_noise, 0.3::DOUBLE AS person_confidence, 0.2::DOUBLE AS ball_confidence FROM ({_JOBS})")
+
 # Landmarks with how often each was clicked, and the empty pitch that each clip is drawn on
 plain("src_keypoints", lambda s, d: keypoint_table(s).join(_events(s, d).groupBy((F.col("user_id") % 29).cast("int").alias("id")).agg(F.count("*").alias("clicks")), "id", "left").select("id", "name", "x", "y", F.coalesce("clicks", F.lit(0)).alias("clicks")),
       f"SELECT k.id, name, x, y, coalesce(n, 0) AS clicks FROM ({_KP_SQL}) k LEFT JOIN (SELECT user_id % 29 AS id, count(*) AS n FROM events GROUP BY 1) e ON e.id = k.id")

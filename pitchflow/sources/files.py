@@ -8,7 +8,7 @@ import uuid
 from dataclasses import dataclass, fields
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CORRESPONDENCES = "video string, frame bigint, correspondences array<struct<pixel: array<double>, pitch: array<double>, name: string>>"
@@ -77,6 +77,57 @@ def read_all_options(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("job").agg(*told)
 
 
+#: Where a run's sectioned file has the options.
+SECTIONED = {
+    "ball_tracking.max_coast_frames": "max_coast_frames",
+    "ball_tracking.process_noise": "process_noise",
+    "ball_tracking.measurement_noise": "measurement_noise",
+    "detection.confidence_threshold": "person_confidence",
+    "detection.ball_confidence_threshold": "ball_confidence",
+}
+
+
+def _paths_of(text: Column) -> Column:
+    """``array<struct<path, value>>`` of a text of sections: a key's path has the keys of the lines above that are indented less.
+
+    Comments begin a line or follow white space; a line of a key without a value opens a section; lines without a colon
+    have no key, and are passed over. Quotes around a value go.
+    """
+    bare = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.rtrim(F.regexp_replace(x, r"(^|\s)\s*#.*$", ""))), lambda x: x.rlike(r":(\s|$)"))
+    start = F.from_json(F.lit('{"above": [], "found": []}'), "above array<struct<indent: int, key: string>>, found array<struct<path: string, value: string>>")
+
+    def step(s: Column, x: Column) -> Column:
+        indent = F.length(F.regexp_extract(x, r"^(\s*)", 1))
+        pair = F.split(F.regexp_replace(x, r"^\s+", ""), r"\s*:(?:\s+|$)", 2)
+        above = F.concat(F.filter(s["above"], lambda a: a["indent"] < indent), F.array(F.struct(indent.alias("indent"), pair[0].alias("key"))))
+        value = F.regexp_replace(pair[1], r"""^(["'])(.*)\1$""", "$2")
+        own = F.array(F.struct(F.concat_ws(".", F.transform(above, lambda a: a["key"])).alias("path"), value.alias("value")))
+        return F.struct(above.alias("above"), F.when(value == "", s["found"]).otherwise(F.concat(s["found"], own)).alias("found"))
+
+    return F.aggregate(bare, start, step, lambda s: s["found"])
+
+
+def read_sections(spark: SparkSession, path: str) -> DataFrame:
+    """``(job, path, value)``: each value of each file of nested sections below ``path``, ``path`` with dots; an option file is one row."""
+    texts = spark.read.text(path, wholetext=True)
+    job = F.regexp_extract("_metadata.file_path", r"/([^/]+?)(?:\.[^/.]*)?$", 1).alias("job")
+    return texts.select(job, F.explode(_paths_of(F.col("value"))).alias("p")).select("job", "p.*")
+
+
+def read_sectioned_options(spark: SparkSession, path: str) -> DataFrame:
+    """One row a file of nested sections below ``path``: ``job`` and every option, as given in its section or by default.
+
+    Values that aren't numbers (``null`` too) count as not given; of a path given twice, the last line's value holds. A file
+    without a value has all defaults.
+    """
+    kinds, at = {int: "bigint", float: "double"}, {name: path for path, name in SECTIONED.items()}
+    texts = spark.read.text(path, wholetext=True)
+    job = F.regexp_extract("_metadata.file_path", r"/([^/]+?)(?:\.[^/.]*)?$", 1).alias("job")
+    given = lambda name: F.try_element_at(F.filter("found", lambda p: p["path"] == at[name]), F.lit(-1))["value"]
+    told = [F.coalesce(given(f.name).try_cast(kinds[type(f.default)]), F.lit(f.default)).alias(f.name) for f in fields(Options)]
+    return texts.select(job, _paths_of(F.col("value")).alias("found")).select("job", *told)
+
+
 def read_binary(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Uploads, anchor images or frames split from a video: ``name``, ``number`` (the last digits of the name), ``length``, ``content``.
 

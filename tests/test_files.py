@@ -43,3 +43,15 @@ def test_association(spark):
     got = {(r.frame, r.det_seq % 10): r.track_id for r in associate(boxes).collect()}
     assert [got[f, 0] for f in (0, 1, 2, 5, 60)] == [1, 1, 1, 1, 3] and [got[f, 1] for f in (0, 1, 2, 5, 60)] == [2, 2, 2, 2, 4]
     assert all(got[f, 2] == -1 for f in (0, 1, 2, 5, 60))
+
+
+def test_options_in_sections(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("# run\ndevice: x#1\ndetection:\n  confidence_threshold: 0.4  # bar\n  ball_confidence_threshold: null\n  deep:\n    er: 'q: r'\n  after : 2\nball_tracking:\r\n  max_coast_frames: 7\n  max_coast_frames: 9\nmax_coast_frames: 1\n- item\n")
+    (tmp_path / "b.yaml").write_text("ball_tracking:\n\tprocess_noise: 1e-1\n")
+    (tmp_path / "empty.yaml").write_text("")
+    got = sorted((r.job, r.path, r.value) for r in files.read_sections(spark, str(tmp_path)).collect())
+    assert got == sorted([("a", "device", "x#1"), ("a", "detection.confidence_threshold", "0.4"), ("a", "detection.ball_confidence_threshold", "null"), ("a", "detection.deep.er", "q: r"), ("a", "detection.after", "2"), ("a", "ball_tracking.max_coast_frames", "7"), ("a", "ball_tracking.max_coast_frames", "9"), ("a", "max_coast_frames", "1"), ("b", "ball_tracking.process_noise", "1e-1")])
+    rows = {r.job: r for r in files.read_sectioned_options(spark, str(tmp_path)).collect()}
+    told = {job: files.Options(**{k: v for k, v in r.asDict().items() if k != "job"}) for job, r in rows.items()}
+    assert told["a"] == files.Options(max_coast_frames=9, person_confidence=0.4) and told["b"] == files.Options(process_noise=0.1)
+    assert told.get("empty", files.Options()) == files.Options()
