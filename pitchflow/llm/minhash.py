@@ -5,11 +5,15 @@ shingle falls in one of T bins; in round T + i all shingles fall in bin i. A bin
 (round, value) that reached it, so each of the T coordinates is filled after 2 T rounds at the
 latest, and the share of equal coordinates of two sketches is concentrated about their Jaccard
 similarity. Texts longer than a few hundred shingles need one or two rounds.
+
+Buckets of bands are compared pair by pair if small, else with a leader. Members that a leader leaves apart
+are banded again, more finely and independently; only buckets that still hold several components go on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,35 +26,61 @@ from .common import HOT_ROWS, Table, bounded_batches, drop_ids, free_name, join_
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
-BINS, BIN_BITS = 128, 7
-BANDS, ROWS = 25, 5
 #: Buckets up to this size are compared pair by pair (at most half as many pairs a row), larger ones by stars.
 SMALL_BUCKET = 12
 #: Edges of one node that are verified together; its set is sent once for each such part of its edges.
 STAR = 1024
-#: When a star leaves members apart: sets in a block, its bytes (about: a longer set is alone with few others),
+#: When stars of fine bands leave members apart: sets in a block, its bytes (about: a longer set is alone with few others),
 #: and blocks of either side that a task compares.
 BLOCK, BLOCK_BYTES, TILE = 64, 16 << 20, 16
 
-_rng = np.random.default_rng(20_170_811)
-_SEEDS = _rng.integers(0, 1 << 63, 2 * BINS, dtype=np.uint64)
-_PLACES = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-_VALUE = np.uint64((1 << 48) - 1)
-_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BIN_BITS)
 
+@dataclass(frozen=True)
+class Banding:
+    """Sketches of ``bins`` coordinates (a power of two), of which the first ``bands`` * ``rows`` are banded."""
+
+    bins: int
+    bands: int
+    rows: int
+    seed: int
+    seeds: np.ndarray = field(init=False, repr=False)
+    places: np.ndarray = field(init=False, repr=False)
+
+    def __post_init__(self):
+        rng = np.random.default_rng(self.seed)
+        object.__setattr__(self, "seeds", rng.integers(0, 1 << 63, 2 * self.bins, dtype=np.uint64))
+        object.__setattr__(self, "places", rng.integers(0, 1 << 63, (self.bands, self.rows), dtype=np.uint64) | np.uint64(1))
+
+    def keys(self, sketches: list[np.ndarray]) -> np.ndarray:
+        """The band keys of sketches, one after the other."""
+        if not sketches:
+            return np.zeros(0, dtype=np.uint64)
+        grid = np.stack([x[: self.bands * self.rows] for x in sketches]).reshape(len(sketches), self.bands, self.rows)
+        return mix((mix(grid) * self.places).sum(axis=2) + np.arange(self.bands, dtype=np.uint64)).ravel()
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The BINS coordinates of one non-empty set."""
-    out, empty, at = np.zeros(BINS, dtype=np.uint64), np.ones(BINS, dtype=bool), 0
+
+#: All sets: a pair of 85 % similarity shares no band with a probability of 4e-7 (80 %: 5e-5).
+COARSE = Banding(128, 25, 5, 20_170_811)
+#: Sets that a leader leaves apart: 3e-10 (80 %: 1e-5), and a pair of 60 % shares one in 100 * 0.6**10 = 0.6 bands, not 2.
+FINE = Banding(1024, 100, 10, 20_171_016)
+
+
+def sketch(shingles: np.ndarray, banding: Banding = COARSE) -> np.ndarray:
+    """The coordinates of one non-empty set."""
+    bins = banding.bins
+    bits = bins.bit_length() - 1
+    top, width = np.uint64(64 - bits), np.uint64(62 - 2 * bits)  # a key is bin, round (bits + 2), value
+    places, low = np.arange(bins, dtype=np.uint64), (np.uint64(1) << width) - np.uint64(1)
+    out, empty, at = np.zeros(bins, dtype=np.uint64), np.ones(bins, dtype=bool), 0
     while empty.any():
-        rounds = np.arange(at, min(2 * BINS, at + max(1, 6 * BINS // len(shingles))), dtype=np.uint64)
-        v = mix(shingles[None, :] ^ _SEEDS[rounds][:, None])
-        free = v >> np.uint64(64 - BIN_BITS)
-        bins = np.where(rounds[:, None] < BINS, free, rounds[:, None] - np.uint64(BINS)) if rounds[-1] >= BINS else free
-        keys = np.sort(((bins << np.uint64(64 - BIN_BITS)) | (rounds[:, None] << np.uint64(48)) | (v & _VALUE)).ravel())
-        first = np.searchsorted(keys, _EDGES)
+        rounds = np.arange(at, min(2 * bins, at + max(1, 6 * bins // len(shingles))), dtype=np.uint64)
+        v = mix(shingles[None, :] ^ banding.seeds[rounds][:, None])
+        free = v >> top
+        bin_of = np.where(rounds[:, None] < bins, free, rounds[:, None] - np.uint64(bins)) if rounds[-1] >= bins else free
+        keys = np.sort(((bin_of << top) | (rounds[:, None] << width) | (v & low)).ravel())
+        first = np.searchsorted(keys, places << top)
         found = keys[np.minimum(first, len(keys) - 1)]
-        filled = empty & (first < len(keys)) & ((found & ~_VALUE) >> np.uint64(64 - BIN_BITS) == np.arange(BINS))
+        filled = empty & (first < len(keys)) & (found >> top == places)
         out[filled] = found[filled]
         empty &= ~filled
         at += len(rounds)
@@ -66,19 +96,30 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums.append(m.sum(dtype=np.uint64))
             xors.append(np.bitwise_xor.reduce(mix(m)) if len(s) else np.uint64(0))
             if len(s):
-                rows.append(sketch(s)[: BANDS * ROWS])
+                rows.append(sketch(s))
                 full.append(i)
         lens = np.zeros(len(n), dtype=np.int32)
-        lens[full] = BANDS
-        flat = np.zeros(0, dtype=np.uint64)
-        if rows:
-            grid = np.stack(rows).reshape(len(rows), BANDS, ROWS)
-            flat = mix((mix(grid) * _PLACES).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)).ravel()
+        lens[full] = COARSE.bands
+        flat = COARSE.keys(rows)
         bands = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lens))).astype(np.int32), pa.array(flat.view(np.int64)))
         whole = [np.array(x, dtype=np.uint64).view(np.int64) for x in (sums, xors)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), *map(pa.array, whole), bands], names=["id", "n", "fp1", "fp2", "bands"])
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and fine bands of the non-empty sets."""
+    for batch in batches:
+        at, n, rows = [], [], []
+        for i, s in enumerate(shingle_sets(batch.column("text"))):
+            if len(s):
+                at.append(i)
+                n.append(len(s))
+                rows.append(sketch(s, FINE))
+        ends = np.arange(len(rows) + 1, dtype=np.int32) * FINE.bands
+        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(FINE.keys(rows).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int32())), pa.array(n, pa.int64()), bands], names=["id", "n", "bands"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
@@ -228,20 +269,8 @@ def _groups(texts: DataFrame, schema: T.StructType, percent: int, kept: list[str
     alone = sketches.filter("n = 0 OR id IS NULL").select("id", "n", F.lit(None).cast(kind).alias("rep"))
     mapped = Table(mapped.unionByName(alone), "class-of", path=kept[0]).df
 
-    banded = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "n")
-    shared = Table(banded.groupBy("key").agg(F.count("*").alias("m"), F.count("*").alias("rows")).filter("m > 1"), "shared").df
-    members = Table(join_counted(banded, shared, ["key"], "rows"), "members").df
-    fits = lambda x, y: 100 * F.least(x, y) >= int(percent) * F.greatest(x, y)
-
-    few, many = members.filter(F.col("m") <= SMALL_BUCKET), members.filter(F.col("m") > SMALL_BUCKET)
-    weight = members.groupBy("id").agg(F.sum("m").alias("w"))
-    leader = many.join(weight, "id").groupBy("key", "m").agg(F.min_by(F.struct("id", "n"), F.struct(-F.col("w"), "id")).alias("x"))
-    leader = Table(leader.select("key", "m", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n")), "leaders").df
-    stars = Table(join_counted(many.select("key", "id", "n"), leader, ["key"], "m").filter("id != leader").drop("key").distinct(), "stars").df
-    a, b = (few.select("key", F.col("id").alias(i), F.col("n").alias(n)) for i, n in (("a", "na"), ("b", "nb")))
-    small = a.join(b, "key").filter((F.col("a") < F.col("b")) & fits("na", "nb")).select("a", "b")
-    large = stars.filter(fits("n", "leader_n")).select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    tried = Table(small.unionByName(large).distinct(), "tried").df
+    banded = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "n", F.col("rep").alias("c"))
+    tried, stars = _candidates(banded, percent)
 
     own = mapped.filter("rep IS NOT NULL").select("id", "rep").distinct()
     twice = own.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("m")).filter("lo < hi").drop("hi")
@@ -249,15 +278,22 @@ def _groups(texts: DataFrame, schema: T.StructType, percent: int, kept: list[str
     links = Table(_verified(texts, tried, percent).unionByName(repeated), "links").df
     groups = connected_components(links)
 
-    # Members that no star joined to their leader's group are compared with all members of the leader, in blocks.
-    heads = stars.groupBy("leader").agg(F.count("*").alias("m")).join(groups.withColumnRenamed("id", "leader"), "leader", "left")
-    heads = heads.select("leader", "m", F.coalesce("component", "leader").alias("head"))
-    stars = join_counted(stars.select("leader", "id"), heads, ["leader"], "m").join(groups, "id", "left")
-    stars = Table(stars.select("leader", "id", F.coalesce("component", "id").alias("c"), "head"), "stars").df
-    split = stars.groupBy("leader").agg(F.count("*").alias("m"), F.count_if(F.col("c") != F.col("head")).alias("away")).filter("away > 0").drop("away")
-    if not split.isEmpty():
-        more = Table(_block_links(texts, join_counted(stars, split, ["leader"], "m", "left_semi"), percent), "links").df
-        groups = connected_components(links.unionByName(more))
+    # Members that no star joined to their leader's group are banded finely with all members of the leader; what stars of
+    # the fine buckets leave apart too is compared in blocks.
+    for last in (False, True):
+        apart = _apart(stars, groups)
+        if apart is None:
+            break
+        if last:
+            more = _block_links(texts, apart, percent)
+        else:
+            own = Table(apart.select("id", "c").distinct(), "apart").df
+            fine = _texts_of(texts, own.select("id")).mapInArrow(_fine, T.StructType([schema["id"], schema["n"], schema["bands"]]))
+            fine = Table(fine.distinct().join(own, "id"), "fine").df
+            tried, stars = _candidates(fine.select(F.explode("bands").alias("key"), "id", "n", "c"), percent)
+            more = _verified(texts, tried, percent)
+        links = Table(links.unionByName(more), "links").df
+        groups = connected_components(links)
 
     # Classes of many copies are told too if no link leads to them, so that their rows stay where they are.
     told = classes.groupBy("rep").agg(F.sum("copies").alias("copies")).join(groups.withColumnRenamed("id", "rep"), "rep", "left")
@@ -265,6 +301,38 @@ def _groups(texts: DataFrame, schema: T.StructType, percent: int, kept: list[str
     return mapped, told
 
 
+def _candidates(banded: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` to try, and stars ``(leader, id)``, of ``banded(key, id, n, c)``; rows of one ``c`` are known to be linked.
+
+    A bucket (the rows of a key) of one ``c`` is dropped. Small ones give their pairs, others a pair of each member with the leader.
+    """
+    differ = F.min("c") < F.max("c")
+    shared = Table(banded.groupBy("key").agg(F.count("*").alias("m"), F.count("*").alias("rows"), differ.alias("open")).filter("open").drop("open"), "shared").df
+    members = Table(join_counted(banded, shared, ["key"], "rows"), "members").df
+    fits = lambda x, y: 100 * F.least(x, y) >= int(percent) * F.greatest(x, y)
+
+    few, many = members.filter(F.col("m") <= SMALL_BUCKET), members.filter(F.col("m") > SMALL_BUCKET)
+    weight = members.groupBy("id").agg(F.sum("m").alias("w"))
+    leader = many.join(weight, "id").groupBy("key", "m").agg(F.min_by(F.struct("id", "n", "c"), F.struct(-F.col("w"), "id")).alias("x"))
+    leader = Table(leader.select("key", "m", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.c").alias("leader_c")), "leaders").df
+    stars = Table(join_counted(many.select("key", "id", "n", "c"), leader, ["key"], "m").filter("id != leader").drop("key").distinct(), "stars").df
+    a, b = (few.select("key", *(F.col(c).alias(f"{c}_{i}") for c in ("id", "n", "c"))) for i in "ab")
+    small = a.join(b, "key").filter((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & fits("n_a", "n_b"))
+    large = stars.filter((F.col("c") != F.col("leader_c")) & fits("n", "leader_n"))
+    pairs = small.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(large.select(F.col("id").alias("a"), F.col("leader").alias("b")))
+    return Table(pairs.distinct(), "tried").df, stars.select("leader", "id")
+
+
+def _apart(stars: DataFrame, groups: DataFrame) -> DataFrame | None:
+    """``(leader, id, c, head)`` of the stars in which some member's component ``c`` isn't the leader's (``head``); None if there are none."""
+    heads = stars.groupBy("leader").agg(F.count("*").alias("m")).join(groups.withColumnRenamed("id", "leader"), "leader", "left")
+    heads = heads.select("leader", "m", F.coalesce("component", "leader").alias("head"))
+    named = join_counted(stars, heads, ["leader"], "m").join(groups, "id", "left")
+    named = Table(named.select("leader", "id", F.coalesce("component", "id").alias("c"), "head"), "named-stars").df
+    split = named.groupBy("leader").agg(F.count("*").alias("m"), F.count_if(F.col("c") != F.col("head")).alias("away")).filter("away > 0").drop("away")
+    return None if split.isEmpty() else join_counted(named, split, ["leader"], "m", "left_semi")
+
+
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id.
 

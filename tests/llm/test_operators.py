@@ -65,6 +65,39 @@ def test_near_duplicates_match_brute_force(docs, rows, percent):
     assert got == want
 
 
+def test_members_apart_from_their_leader_are_linked(spark, monkeypatch):
+    """Texts on one form, too far from one another to be linked, and near pairs among them, which no leader sees."""
+    form, texts = prose(45, 70).split(" "), []
+    for i in range(160):
+        own = prose(25, 700 + i).split(" ")
+        texts.append(" ".join(form + own))
+        if i % 16 == 0:
+            texts.append(" ".join(form + own[:-1] + [f"y{i}"]))
+    sets = [shingles(t) for t in texts]
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert len(near) == 10  # each pair is a component
+    want = {i: i for i in range(len(texts))} | dict(near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    blocks, real = [], minhash._block_links
+    monkeypatch.setattr(minhash, "_block_links", lambda *a: blocks.append(1) or real(*a))
+    for small in (minhash.SMALL_BUCKET, 1):  # with 1, fine buckets have leaders too, and blocks decide what those leave apart
+        monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, percent=85).collect()} == want
+    assert blocks == [1]
+
+
+def test_fine_bands_are_shared_by_near_sets_only():
+    r, hits = np.random.default_rng(3), []
+    for shared, own in ((850, 75), (600, 200)):
+        a = r.integers(0, 1 << 63, shared + 2 * own, dtype=np.uint64)
+        x, y = (minhash.sketch(np.unique(p), minhash.FINE) for p in (a[: shared + own], np.concatenate([a[:shared], a[shared + own :]])))
+        assert len(x) == minhash.FINE.bins and abs((x == y).mean() - shared / (shared + 2 * own)) < 0.08
+        hits.append(int((minhash.FINE.keys([x]) == minhash.FINE.keys([y])).sum()))
+    assert hits[0] >= 5 and hits[1] <= 4
+    tiny = minhash.sketch(np.array([7], dtype=np.uint64), minhash.FINE)  # filled in the forced rounds
+    assert (tiny > 0).all()
+
+
 def test_one_of_each_stays(docs, empty):
     kept = minhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns
