@@ -123,3 +123,43 @@ def test_segments_give_the_rows_of_one_fold(spark, monkeypatch):
         assert {x.det_seq: (x.clip_id, x.frame, x.track_id) for x in associate(b, buffer=5).collect()} == want
         begins = segments(b, 0.1, 5).select("clip_id", "segment").distinct().collect()
         assert len(begins) > 9 and {x.clip_id for x in begins} == {"a", "b", None} and min(cut.values()) > 3
+
+
+def test_unbroken_segments_are_split_and_give_the_rows_of_one_fold(spark, monkeypatch):
+    """Boxes on every frame are one segment; its parts, some of them begun with other tracks than they should, give one pass's ids."""
+    from pitchflow.streaming import association
+
+    r, rows = random.Random(8), []
+    for clip in ("a", None):
+        for f in range(300):
+            rows.append((clip, f, 1.5 * f, 0.0, 0.9))  # never forgotten
+            rows += [(clip, f, 300.0 + 120 * k + r.uniform(-20, 20), 400.0 + r.uniform(-20, 20), r.choice([0.15, 0.3, 0.9])) for k in range(4)]
+    want = {}
+    for clip in ("a", None):
+        tracks, mine = Tracks(), [(i, x) for i, x in enumerate(rows) if x[0] == clip]
+        for f, group in itertools.groupby(mine, key=lambda x: x[1][1]):
+            group = list(group)
+            box = np.array([[x[2], x[3], x[2] + 30.0, x[3] + 60.0] for _, x in group])
+            ids = tracks.step(f, box, np.array([x[4] for _, x in group]), 0.25, 0.1, 5, 0.2, 0.5)
+            want.update({i: (clip, f, int(t)) for (i, _), t in zip(group, ids, strict=True)})
+    b = boxes(spark, rows)
+    assert segments(b, 0.1, 5).select("clip_id", "segment").distinct().count() == 2
+    runs = []
+    folded = association._folded
+    monkeypatch.setattr(association, "_folded", lambda rows, step: runs.append(rows.select("clip_id", "segment", "run").distinct().count()) or folded(rows, step))
+    for part, warm in ((64, 16), (32, 0)):
+        monkeypatch.setattr(association, "PART", part)
+        monkeypatch.setattr(association, "WARM", warm)
+        runs.clear()
+        assert {x.det_seq: (x.clip_id, x.frame, x.track_id) for x in associate(b, buffer=5).collect()} == want
+        assert runs[0] >= 2 * (300 // part) and len(runs) > 1
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_small_groups_are_matched_as_large_ones(seed):
+    from pitchflow.streaming.association import _optimal, _optimal_small
+
+    r = np.random.default_rng(seed)
+    n = r.integers(1, 6)
+    gain = np.round(r.random((n, n + r.integers(0, 3))), 1)  # with ties
+    assert _optimal_small(gain.tolist()) == _optimal(gain)
