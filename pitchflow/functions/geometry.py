@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def distance(ax, ay, bx, by) -> Column:
@@ -74,25 +77,86 @@ def fit_homography(pixel: np.ndarray, pitch: np.ndarray, threshold: float = 3.0,
 FITTED = "n bigint, mean_error_m double, max_error_m double, " + ", ".join(f"h{i} double" for i in range(9))
 
 
+def _fits_of_all(pixel: np.ndarray, pitch: np.ndarray, threshold: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """``fit_homography`` of many groups of equally many points: their homographies, and of which groups all points are within ``threshold``.
+
+    That is the first set of points that ``fit_homography`` tries, so these are its fits; the others are to be fitted one by one.
+    """
+    n, ts, pts = pixel.shape[1], [], []
+    for p in (pixel, pitch):
+        mean = p.mean(axis=1, keepdims=True)
+        scale = np.sqrt(2) / np.maximum(np.linalg.norm(p - mean, axis=2).mean(axis=1), 1e-12)
+        t = np.zeros((len(p), 3, 3))
+        t[:, 0, 0], t[:, 1, 1], t[:, 2, 2] = scale, scale, 1
+        t[:, :2, 2] = -scale[:, None] * mean[:, 0]
+        ts.append(t)
+        pts.append((p - mean) * scale[:, None, None])
+    (x, y), (u, v) = (np.moveaxis(p, 2, 0) for p in pts)
+    one, none = np.ones_like(x), np.zeros_like(x)
+    a = np.stack([-x, -y, -one, none, none, none, u * x, u * y, u, none, none, none, -x, -y, -one, v * x, v * y, v], axis=2).reshape(len(x), 2 * n, 9)
+    h = np.linalg.inv(ts[1]) @ np.linalg.svd(a, full_matrices=2 * n < 9)[2][:, -1].reshape(-1, 3, 3) @ ts[0]
+    sound = np.abs(h[:, 2, 2]) > 1e-12
+    h = h / np.where(sound, h[:, 2, 2], 1)[:, None, None]
+    return h, sound & (np.nan_to_num(_errors(h, pixel, pitch), nan=np.inf) <= threshold).all(axis=1)
+
+
+def _errors(h: np.ndarray, pixel: np.ndarray, pitch: np.ndarray) -> np.ndarray:
+    q = np.concatenate([pixel, np.ones((*pixel.shape[:2], 1))], axis=2) @ h.transpose(0, 2, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.linalg.norm(q[..., :2] / q[..., 2:] - pitch, axis=2)
+
+
+def _fits(pixel: np.ndarray, pitch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of many groups of equally many points have a fit, their homographies, and their points' errors."""
+    h, fitted = np.full((len(pixel), 3, 3), np.nan), np.full(len(pixel), False)
+    rows = np.flatnonzero(np.isfinite(pixel).all(axis=(1, 2)) & np.isfinite(pitch).all(axis=(1, 2))) if pixel.shape[1] >= 4 else []
+    try:
+        if len(rows):
+            h[rows], fitted[rows] = _fits_of_all(pixel[rows], pitch[rows])
+    except np.linalg.LinAlgError:
+        fitted[:] = False
+    for i in np.flatnonzero(~fitted):
+        try:
+            h[i], fitted[i] = fit_homography(pixel[i], pitch[i]), True
+        except ValueError:
+            h[i] = np.nan
+    return fitted, h, _errors(h, pixel, pitch)
+
+
 def fit_homographies(pairs: DataFrame, by: str = "video") -> DataFrame:
     """The fit of each ``by`` of ``pairs(pixel_x, pixel_y, pitch_x, pitch_y)``: its points, errors in metres, and ``h0`` to ``h8``.
 
     A group's points are those that someone clicked, so they fit in a task. Without a fit, and with under four points, errors and
-    numbers are null.
+    numbers are null. The groups of a batch with equally many points are fitted at once.
     """
-    columns = [c.split()[0] for c in FITTED.split(", ")]
-
-    def fit(p: pd.DataFrame) -> pd.DataFrame:
-        pixel, pitch = p[["pixel_x", "pixel_y"]].to_numpy(float), p[["pitch_x", "pitch_y"]].to_numpy(float)
-        try:
-            h = fit_homography(pixel, pitch)
-        except ValueError:
-            row = [len(p), *[None] * 11]
-        else:
-            q = np.c_[pixel, np.ones(len(pixel))] @ h.T
-            error = np.linalg.norm(q[:, :2] / q[:, 2:] - pitch, axis=1)
-            row = [len(p), error.mean(), error.max(), *h.ravel()]
-        return pd.DataFrame([[p[by].iloc[0], *row]], columns=[by, *columns])
-
-    kind = pairs.schema[by].dataType.simpleString()
-    return pairs.select(by, "pixel_x", "pixel_y", "pitch_x", "pitch_y").groupBy(by).applyInPandas(fit, f"{by} {kind}, {FITTED}")
+    places = ["pixel_x", "pixel_y", "pitch_x", "pitch_y"]
+    names = [by, *(c.split()[0] for c in FITTED.split(", "))]
+
+    def changes(t: pa.Table) -> np.ndarray:
+        key = t[by].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        return np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+
+    def fit(t: pa.Table) -> pa.RecordBatch:
+        first = changes(t)
+        n, at = np.diff(np.r_[first, len(t)]), np.column_stack([t[c].to_numpy() for c in places]).astype(float)
+        fitted, told = np.full(len(n), False), np.full((len(n), 11), np.nan)
+        for size in np.unique(n):
+            k = np.flatnonzero(n == size)
+            points = at[first[k][:, None] + np.arange(size)]
+            fitted[k], h, error = _fits(points[..., :2], points[..., 2:])
+            told[k] = np.column_stack([error.mean(axis=1), error.max(axis=1), h.reshape(-1, 9)])
+        return pa.RecordBatch.from_arrays([t[by].take(pa.array(first)).combine_chunks(), pa.array(n, pa.int64()), *(pa.array(c, mask=~fitted) for c in told.T)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            last = int(changes(t)[-1]) if len(t) else 0  # its points may go on in the next batch
+            if last:
+                yield fit(t.slice(0, last).combine_chunks())
+            held = t.slice(last)
+        if held is not None and len(held):
+            yield fit(held.combine_chunks())
+
+    schema = T.StructType([pairs.schema[by], *T.StructType.fromDDL(FITTED).fields])
+    return pairs.select(by, *places).repartition(by).sortWithinPartitions(by).mapInArrow(run, schema)

@@ -125,3 +125,35 @@ def test_messages(spark):
     log = spark.createDataFrame([("a", i, i, 1, "person", 0, 1.0, 1.0, 1.0, 1.0, 9.0, False) for i in range(4)], POSITION_LOG)
     got = A.quality_messages(log, mean_error_m=2.345).first()
     assert got.warnings == ["teams_not_separated", "no_ball", "calibration_error"] and len(got.messages) == 3 and "2.3" in got.messages[2]
+
+
+def test_fits_of_many_groups_are_those_of_each_alone(spark, monkeypatch):
+    """Groups of unlike sizes over several batches, outliers, numbers missing and a null key among them; whole groups aren't fitted one by one."""
+    from pitchflow.functions import geometry
+
+    r, rows, want = np.random.default_rng(3), [], {}
+    for video in [*range(40), None]:
+        n = 3 + (video or 0) % 9
+        pixel, shift = r.uniform(0, 1000, (n, 2)), r.uniform(-5, 5, 2)
+        pitch = pixel * 0.1 + shift
+        if video in (8, 17):
+            pitch[0] += 60.0
+        if video == 5:
+            pixel[1, 0] = np.nan
+        rows += [(video, *map(float, p), *map(float, q)) for p, q in zip(pixel, pitch, strict=True)]
+        want[video] = None if n < 4 or video == 5 else (n, shift)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = {x.video: x for x in fit_homographies(spark.createDataFrame(rows, "video bigint, pixel_x double, pixel_y double, pitch_x double, pitch_y double")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert set(got) == set(want)
+    for video, told in want.items():
+        x = got[video]
+        assert (x.h0 is None) == (told is None)
+        if told:
+            assert x.n == told[0] and np.allclose([x.h0, x.h2, x.h4, x.h5], [0.1, told[1][0], 0.1, told[1][1]], atol=1e-6)
+    monkeypatch.setattr(geometry, "fit_homography", None)
+    pixel = r.uniform(0, 1000, (50, 6, 2))
+    assert geometry._fits(pixel, pixel * 0.1)[0].all()
