@@ -186,3 +186,17 @@ def test_progress_of_a_stream(spark, tmp_path):
             __import__("time").sleep(0.1)
     mine = [f for n, f, e in told if n == "job"]
     assert [f for f in mine if f is not None] == [0.2125, 0.375, 0.5375, 0.7, 0.7] and "broken" in listener.errors
+
+
+def test_vote_state_goes_to_python_in_batches(spark):
+    """A call to the state for each track made the time of a batch grow with its tracks: no plan has it, and many tracks come back right."""
+    from pitchflow.sources.files import scratch
+
+    df = spark.range(6000).selectExpr("'a' AS clip_id", "id % 1500 AS track_id", "id AS seq", "CAST(id % 7 % 2 AS INT) AS label")
+    path = scratch(spark, "votes-many")
+    df.write.parquet(path)
+    plan = votes.team_vote_stream(spark.readStream.schema(df.schema).parquet(path))._jdf.queryExecution().logical().toString()
+    assert "TransformWithState" not in plan
+    with jobs.setting(spark, *votes.PROVIDER):
+        got = jobs.in_parts([df.filter("seq < 3000"), df.filter("seq >= 3000")], lambda s: votes.team_vote_stream(s, votes=3), "votes-batches")
+        assert rows_of(got) == rows_of(D.team_votes(df, votes=3))
