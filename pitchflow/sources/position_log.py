@@ -85,6 +85,9 @@ def from_events(events: DataFrame, clip_id: str = "clip") -> DataFrame:
     x = F.when(ref, 5250 + F.col("jx")).when(ball, bx + F.expr("jx div 2") + F.when(F.col("frame") % 29 == 11, 30000).otherwise(0)).otherwise(bx + F.col("jx"))
     y = F.when(ref, 3400 + F.col("jy")).when(ball, by + F.expr("jy div 2")).otherwise(by + F.col("jy"))
     track = F.when(ball, F.lit(-1)).when(F.col("slot") % 7 == 3, F.expr("slot + 100 * (frame div 100)")).otherwise(F.col("slot"))
+    # A filter on a position would be moved below it, with the whole expression for each bound: a generator's columns are made once.
+    e = e.withColumns({"ball": ball, "ref": ref}).select("*", F.inline(F.array(F.struct(x.alias("x"), y.alias("y")))))
+    x, y, ball, ref = map(F.col, ("x", "y", "ball", "ref"))
     return e.select(
         F.lit(clip_id).alias("clip_id"), "log_seq", "frame", track.cast("bigint").alias("track_id"),
         F.when(ball, BALL).when(ref, REF).otherwise(PERSON).alias("class_name"),

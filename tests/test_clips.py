@@ -200,3 +200,9 @@ def test_vote_state_goes_to_python_in_batches(spark):
     with jobs.setting(spark, *votes.PROVIDER):
         got = jobs.in_parts([df.filter("seq < 3000"), df.filter("seq >= 3000")], lambda s: votes.team_vote_stream(s, votes=3), "votes-batches")
         assert rows_of(got) == rows_of(D.team_votes(df, votes=3))
+
+
+def test_filters_on_positions_do_not_repeat_how_these_are_made(spark):
+    made = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("% 401")
+    whole = catalog.log_of(spark, SF)
+    assert made(T.players(whole).filter(T.within(5.0))) <= made(whole)
