@@ -20,6 +20,8 @@ from pitchflow.streaming import state as K
 
 #: Events of an image; their pixels are 8 to a row, or one row if they don't fill rows.
 PER_IMAGE, ROW = 64, 8
+#: Neighbouring images that are drawn in one call.
+AT_ONCE = 256
 _VALUE = "CAST(round(value * 100) AS BIGINT)"
 #: Channels of an event's pixel: factors of its number, its user and its value.
 _BGR = {"b": (1, 0, 3), "g": (7, 5, 1), "r": (2, 13, 7)}
@@ -108,15 +110,15 @@ def _pictures(log: DataFrame) -> DataFrame:
     rows = log.select(T.CLIP, "frame", "log_seq", F.col("bbox_height").cast("bigint").alias("h"))
 
     def draw(p: pd.DataFrame) -> pd.DataFrame:
-        picture = np.zeros((_HIGH, 48, 3), dtype=np.int64)
+        frames, of = np.unique(p["frame"].to_numpy(), return_inverse=True)
+        pictures = np.zeros((len(frames), _HIGH, 48, 3), dtype=np.int64)
         y, dx = np.indices((_HIGH, 2))
-        for n, h in zip(p["log_seq"].tolist(), p["h"].tolist(), strict=True):
-            at = 2 * (n % 24)
-            for c, (fh, fx, fy, fn) in enumerate(_SHIRT.values()):
-                picture[:, at : at + 2, c] = (h * fh + dx * fx + y * fy + n * fn) % 256
-        return pd.DataFrame({T.CLIP: [p[T.CLIP].iloc[0]], "frame": [p["frame"].iloc[0]], "content": [images.encode_png(picture)]})
+        n, h = (p[c].to_numpy()[:, None, None] for c in ("log_seq", "h"))
+        for c, (fh, fx, fy, fn) in enumerate(_SHIRT.values()):
+            pictures[of[:, None, None], y, 2 * (n % 24) + dx, c] = (h * fh + dx * fx + y * fy + n * fn) % 256
+        return pd.DataFrame({T.CLIP: p[T.CLIP].iloc[0], "frame": frames, "content": [images.encode_png(x) for x in pictures]})
 
-    return rows.groupBy(T.CLIP, "frame").applyInPandas(draw, f"{T.CLIP} string, frame bigint, content binary")
+    return rows.groupBy(T.CLIP, F.expr(f"frame div {AT_ONCE}")).applyInPandas(draw, f"{T.CLIP} string, frame bigint, content binary")
 
 
 def _anchor_colors(log: DataFrame) -> DataFrame:
@@ -126,8 +128,9 @@ def _anchor_colors(log: DataFrame) -> DataFrame:
     seen = files.stored(seen, "followed")
     strip = boxes.select(T.CLIP, "frame", F.col("det_seq").alias("crop"), (F.col("det_seq") % 24 * 2).alias("x1"), F.lit(0).alias("y1"), (F.col("det_seq") % 24 * 2 + 2).alias("x2"), F.lit(_HIGH).alias("y2"))
     torso = strip.select(T.CLIP, "frame", "crop", *G.torso_box("x1", "y1", "x2", "y2")).select(T.CLIP, "frame", "crop", *(F.col(f"t{c}").alias(c) for c in D_BOX))
-    wanted = torso.join(seen.select("crop").distinct(), "crop", "left_semi")
-    pixels = images.with_hue(images.crop_pixels(_pictures(log), wanted, [T.CLIP, "frame"]))
+    wanted = files.stored(torso.join(seen.select("crop").distinct(), "crop", "left_semi"), "wanted")
+    shown = log.join(wanted.select(T.CLIP, "frame").distinct(), [T.CLIP, "frame"], "left_semi")  # other pictures have no box to read
+    pixels = images.with_hue(images.crop_pixels(_pictures(shown), wanted, [T.CLIP, "frame"]))
     return D.anchor_colors(seen, pixels).join(clicks.select(F.col("det_seq").alias("start_id"), "track_id"), "start_id").select("track_id", *"bgr")
 
 

@@ -35,6 +35,8 @@ def encode_png(bgr: np.ndarray) -> bytes:
 
 def _unfiltered(raw: np.ndarray, n: int) -> np.ndarray:
     """Rows of bytes without their PNG filters; ``n`` bytes a pixel."""
+    if not raw[:, 0].any():
+        return raw[:, 1:]
     out = np.zeros((raw.shape[0] + 1, raw.shape[1] - 1 + n), dtype=np.uint8)
     for y, row in enumerate(raw, 1):
         kind, line, up = row[0], row[1:], out[y - 1]
@@ -128,15 +130,27 @@ def crop_pixels(images: DataFrame, boxes: DataFrame, on: list[str], content: str
     near = boxes.groupBy(*on).agg(F.collect_list(F.struct("crop", *(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))).alias("boxes"))  # an image's boxes are few
     rows = images.select(*on, F.col(content).alias("content")).filter("content IS NOT NULL").join(near, on).select("content", "boxes")
     schema = T.StructType([T.StructField("crop", boxes.schema["crop"].dataType), *_XYBGR[2:]])
+    names = schema.names
+
+    def told(held: list[tuple[int, np.ndarray]], kind: pa.DataType) -> pa.RecordBatch:
+        crop = pa.array([c for c, _ in held], kind).take(pa.array(np.repeat(np.arange(len(held)), [len(p) for _, p in held])))
+        bgr = np.concatenate([p for _, p in held])
+        return pa.RecordBatch.from_arrays([crop, *(pa.array(bgr[:, c].astype(np.int32)) for c in range(3))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, asked in zip(batch.column("content").to_pylist(), batch.column("boxes").to_pylist(), strict=True):
-                image = decode(data)
-                held = [(b["crop"], image[max(0, b["y1"]) : max(0, b["y2"]), max(0, b["x1"]) : max(0, b["x2"])].reshape(-1, 3)) for b in asked]
-                crop = pa.array([c for c, _ in held]).take(pa.array(np.repeat(np.arange(len(held)), [len(p) for _, p in held])))
-                bgr = np.concatenate([p for _, p in held])
-                yield pa.RecordBatch.from_arrays([crop, *(pa.array(bgr[:, c].astype(np.int32)) for c in range(3))], names=schema.names)
+            held, size, kind = [], 0, batch.column("boxes").type.value_type.field("crop").type
+            for data, asked in zip(batch.column("content"), batch.column("boxes"), strict=True):
+                image = decode(data.as_py())
+                for b in asked.as_py():
+                    part = image[max(0, b["y1"]) : max(0, b["y2"]), max(0, b["x1"]) : max(0, b["x2"])].reshape(-1, 3).copy()  # not the whole image
+                    held.append((b["crop"], part))
+                    size += len(part)
+                    if size >= PIXELS:
+                        yield told(held, kind)
+                        held, size = [], 0
+            if held:
+                yield told(held, kind)
 
     return rows.mapInArrow(run, schema)
 

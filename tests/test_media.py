@@ -157,3 +157,17 @@ def test_fits_of_many_groups_are_those_of_each_alone(spark, monkeypatch):
     monkeypatch.setattr(geometry, "fit_homography", None)
     pixel = r.uniform(0, 1000, (50, 6, 2))
     assert geometry._fits(pixel, pixel * 0.1)[0].all()
+
+
+def test_crops_of_many_images(spark):
+    pictures = [np.arange(4 * 4 * 3).reshape(4, 4, 3) + i for i in range(50)]
+    rows = spark.createDataFrame([(i, bytearray(images.encode_png(x))) for i, x in enumerate(pictures)], "frame bigint, content binary").coalesce(1)
+    boxes = spark.createDataFrame([(i, 2 * i + k, k, 1, 3, 3) for i in range(50) for k in (0, 1)], "frame bigint, crop bigint, x1 int, y1 int, x2 int, y2 int")
+    want = sorted((2 * i + k, *map(int, p)) for i, x in enumerate(pictures) for k in (0, 1) for p in x[1:3, k:3].reshape(-1, 3))
+    assert sorted(map(tuple, images.crop_pixels(rows, boxes, ["frame"]).collect())) == want
+
+
+def test_pictures_are_drawn_many_a_call_where_a_box_is_read(spark):
+    from pitchflow.plans import catalog, media
+
+    assert "div 256" in media._pictures(catalog.log_of(spark, "/root/testdata/sf0.01"))._jdf.queryExecution().analyzed().toString()
