@@ -10,6 +10,7 @@ from pitchflow.operators import render as R
 from pitchflow.operators import tracks as T
 from pitchflow.plans.catalog import _VOTE, BASE, QUERIES, SQL, _clicks, _sightings, log_of
 from pitchflow.plans.pixels import CLIP_FRAMES, _CLIPS
+from pitchflow.sources.files import stored
 from pitchflow.sources.position_log import in_clips
 from pitchflow.streaming.association import BOX, associate
 
@@ -45,6 +46,12 @@ def _passes(log: DataFrame) -> DataFrame:
     return T.pass_events(log, T.possession_runs(T.possessors(log)))
 
 
+def pass_overlay(log: DataFrame) -> DataFrame:
+    """Rings and passes come from one possession, made once."""
+    possession = stored(T.possessors(log), "possessors")
+    return R.pass_overlay(log, possession, stored(T.pass_events(log, T.possession_runs(possession)), "passes"))
+
+
 over_clips("clips_singletons", " SELECT clip_id, det_seq FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, frame, class_name ORDER BY confidence DESC, det_seq) AS k FROM cboxes) WHERE k = 1 OR class_name NOT IN ('sports ball', 'ref')", T.CLIP, "det_seq")(
     lambda log: D.best_of_singletons(D.boxes(log), ("sports ball", "ref"))
 )
@@ -83,7 +90,7 @@ FROM cposs p JOIN c l ON l.clip_id = p.clip_id AND l.frame = p.frame AND l.track
 UNION ALL SELECT clip_id, event_frame + age, 'arrow', from_track, to_track, CAST(trunc(from_x) AS INTEGER), CAST(trunc(from_y) AS INTEGER), CAST(trunc(to_x) AS INTEGER), CAST(trunc(to_y) AS INTEGER), round(1 - age / 40.0::DOUBLE, 6), NULL
 FROM cpasses JOIN z USING (clip_id), (SELECT unnest(range(40)) AS age) WHERE event_frame + age <= last
 UNION ALL SELECT clip_id, frame, 'count', NULL, NULL, 20, 40, NULL, NULL, 1.0, (SELECT count(*) FROM cpasses e WHERE e.clip_id = spine.clip_id AND e.event_frame <= spine.frame) FROM spine""",
-)(lambda log: R.pass_overlay(log, T.possessors(log), _passes(log)))
+)(pass_overlay)
 # No SQL: tests/test_association.py holds it against permutations, tests/test_clips.py each clip against itself alone
 over_clips("clips_bytetrack", None)(lambda log: associate(D.boxes(log).select(T.CLIP, "frame", "det_seq", *BOX, "confidence")))
 

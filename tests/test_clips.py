@@ -206,3 +206,11 @@ def test_filters_on_positions_do_not_repeat_how_these_are_made(spark):
     made = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("% 401")
     whole = catalog.log_of(spark, SF)
     assert made(T.players(whole).filter(T.within(5.0))) <= made(whole)
+
+
+def test_rings_and_passes_come_from_one_possession(spark, monkeypatch):
+    calls = []
+    possessors = T.possessors
+    monkeypatch.setattr(T, "possessors", lambda log: calls.append(log) or possessors(log))
+    catalog.QUERIES["clips_pass_overlay"](spark, SF)
+    assert len(calls) == 1
