@@ -33,11 +33,13 @@ def _event_images(s: SparkSession, d: str) -> DataFrame:
     rows = _events(s, d).selectExpr(f"event_id div {PER_IMAGE} AS number", "event_id", *(f"CAST({_channel(c)} AS INT) AS {c}" for c in "bgr"))
 
     def draw(p: pd.DataFrame) -> pd.DataFrame:
-        pixels = p.sort_values("event_id")[["b", "g", "r"]].to_numpy()
-        shape = (-1, ROW, 3) if len(pixels) % ROW == 0 else (1, -1, 3)
-        return pd.DataFrame({"image": [f"img{p['number'].iloc[0]}"], "number": [p["number"].iloc[0]], "content": [images.encode_png(pixels.reshape(shape))]})
+        made = {}
+        for number, one in p.sort_values("event_id").groupby("number"):
+            pixels = one[["b", "g", "r"]].to_numpy()
+            made[number] = images.encode_png(pixels.reshape((-1, ROW, 3) if len(pixels) % ROW == 0 else (1, -1, 3)))
+        return pd.DataFrame({"image": [f"img{n}" for n in made], "number": list(made), "content": list(made.values())})
 
-    return files.stored(rows.groupBy("number").applyInPandas(draw, "image string, number bigint, content binary"), "images")
+    return files.stored(rows.groupBy(F.expr(f"number div {AT_ONCE}")).applyInPandas(draw, "image string, number bigint, content binary"), "images")
 
 
 def _hue(rows: str) -> str:

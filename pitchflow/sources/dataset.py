@@ -34,8 +34,9 @@ class LabelledImagesWriter(DataSourceWriter):
         store, root = fs.FileSystem.from_uri(self.staging)
         done = Written({}, {})
         for row in iterator:
-            for kind in ("images", "labels"):
-                store.create_dir(f"{root}/{row.split}/{kind}", recursive=True)
+            if row.split not in done.images:
+                for kind in ("images", "labels"):
+                    store.create_dir(f"{root}/{row.split}/{kind}", recursive=True)
             lines = list(row.lines or [])
             with store.open_output_stream(f"{root}/{row.split}/images/{row.image}.png") as out:
                 out.write(bytes(row.content))

@@ -169,7 +169,8 @@ def load_homography(spark: SparkSession, path: str) -> np.ndarray:
 
 def read_labels(spark: SparkSession, root: str) -> DataFrame:
     """``split``, ``image`` and ``line`` of the files ``root/<split>/labels/<image>.txt``."""
-    text = spark.read.text(f"{root}/*/labels/*.txt").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("f"))
+    # The folders are listed: a pattern of files would make each file a path, with a task of its own to look at it.
+    text = spark.read.option("pathGlobFilter", "*.txt").text(f"{root}/*/labels").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("f"))
     return text.filter("line <> ''").select(F.regexp_extract("f", r"/([^/]+)/labels/[^/]+$", 1).alias("split"), F.regexp_extract("f", r"/([^/]+)\.txt$", 1).alias("image"), "line")
 
 

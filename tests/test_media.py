@@ -159,6 +159,15 @@ def test_fits_of_many_groups_are_those_of_each_alone(spark, monkeypatch):
     assert geometry._fits(pixel, pixel * 0.1)[0].all()
 
 
+def test_label_files_are_not_listed_one_by_one(spark, tmp_path, monkeypatch):
+    dataset.write_dataset(data(spark), str(tmp_path / "set"), ["ball", "player"])
+    asked = []
+    text = type(spark.read).text
+    monkeypatch.setattr(type(spark.read), "text", lambda self, path, **kw: asked.append(path) or text(self, path, **kw))
+    rows = files.read_labels(spark, str(tmp_path / "set")).collect()
+    assert rows and asked and not any(p.endswith(".txt") for p in asked)
+
+
 def test_crops_of_many_images(spark):
     pictures = [np.arange(4 * 4 * 3).reshape(4, 4, 3) + i for i in range(50)]
     rows = spark.createDataFrame([(i, bytearray(images.encode_png(x))) for i, x in enumerate(pictures)], "frame bigint, content binary").coalesce(1)
