@@ -291,9 +291,12 @@ def _groups(texts: DataFrame, schema: T.StructType, percent: int, kept: list[str
             fine = _texts_of(texts, own.select("id")).mapInArrow(_fine, T.StructType([schema["id"], schema["n"], schema["bands"]]))
             fine = Table(fine.distinct().join(own, "id"), "fine").df
             tried, stars = _candidates(fine.select(F.explode("bands").alias("key"), "id", "n", "c"), percent)
+            if tried.isEmpty():
+                continue
             more = _verified(texts, tried, percent)
-        links = Table(links.unionByName(more), "links").df
-        groups = connected_components(links)
+        more = Table(more, "more").df
+        if not more.isEmpty():  # groups are stars already: they stand for the links they were made of
+            groups = connected_components(Table(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "links").df)
 
     # Classes of many copies are told too if no link leads to them, so that their rows stay where they are.
     told = classes.groupBy("rep").agg(F.sum("copies").alias("copies")).join(groups.withColumnRenamed("id", "rep"), "rep", "left")

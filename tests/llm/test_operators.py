@@ -86,6 +86,20 @@ def test_members_apart_from_their_leader_are_linked(spark, monkeypatch):
     assert blocks == [1]
 
 
+def test_groups_are_made_anew_only_for_new_links(spark, monkeypatch):
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(k, " ".join(x if r.random() > 0.03 else f"v{k}x{i}" for i, x in enumerate(base))) for k in range(60)]  # close, but under the threshold
+    calls, real = [], minhash.connected_components
+    monkeypatch.setattr(minhash, "connected_components", lambda links: calls.append(links.count()) or real(links))
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 1)
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(116)} for k, t in rows}
+    linked = any(100 * len(sets[a] & sets[b]) >= 95 * len(sets[a] | sets[b]) for a in sets for b in sets if a < b)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=95)
+    assert not linked and all(x.kept for x in got.collect())
+    assert calls == [0]
+
+
 def test_fine_bands_are_shared_by_near_sets_only():
     r, hits = np.random.default_rng(3), []
     for shared, own in ((850, 75), (600, 200)):
